@@ -1,0 +1 @@
+"""Writers: idempotent bar storage, calendars, journals and series."""

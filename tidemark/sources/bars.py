@@ -140,7 +140,6 @@ def from_prints(
     prints: DataFrame,
     timeframe: str,
     tie_break: Sequence[str] = (),
-    extra_keys: Sequence[str] = (),
 ) -> DataFrame:
     """Trade prints (venue, symbol, ts, price, qty, quote_qty) to bars.
 
@@ -155,7 +154,7 @@ def from_prints(
     started = F.timestamp_micros(F.unix_micros("ts") - F.pmod(F.unix_micros("ts"), F.lit(micros)))
     return (
         prints.withColumn("open_time", started)
-        .groupBy("venue", "symbol", *extra_keys, "open_time")
+        .groupBy("venue", "symbol", "open_time")
         .agg(
             F.min_by("price", order).cast(money.PRICE).alias("open"),
             F.max("price").cast(money.PRICE).alias("high"),

@@ -1,0 +1 @@
+"""Structured Streaming: incremental ingestion and bars from prints."""

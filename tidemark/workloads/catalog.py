@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.workloads import policy_queries, rule_queries  # noqa: F401
+from tidemark.workloads import (  # noqa: F401
+    calendar_queries,
+    policy_queries,
+    quality_queries,
+    rule_queries,
+    scan_queries,
+)
 from tidemark.workloads.registry import ORACLES, QUERIES, Query
 
 

@@ -180,7 +180,7 @@ SELECT * FROM (VALUES ('1m', 60), ('5m', 300), ('15m', 900), ('1h', 3600), ('4h'
 
 VIEWS["fx_intraday_bars"] = """
 SELECT venue, symbol, timeframe, size,
-       TIMESTAMP '1970-01-01' + to_seconds(epoch_us(ts) // (size * 1000000) * size) AS open_time,
+       TIMESTAMP '1970-01-01' + to_seconds(epoch_us(ts) // (size::BIGINT * 1000000) * size) AS open_time,
        first(price ORDER BY ts, event_id) AS open, max(price) AS high, min(price) AS low,
        last(price ORDER BY ts, event_id) AS close, sum(qty)::DECIMAL(28,2) AS volume,
        sum(quote_qty)::DECIMAL(28,2) AS quote_volume

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import instants as ts
 from tidemark.functions import money
-from tidemark.parameters import Thresholds, VenueProfile
+from tidemark.parameters import Thresholds, VenueProfile, profile_table
 from tidemark.plans.universe import Market
 from tidemark.sources import bars as bar_source
 from tidemark.sources import envelopes
@@ -38,7 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def brand_number() -> F.Column:
-    return F.substring("p_brand", 7, 10).cast("int")
+    return F.substring("p_brand", 7, 10).try_cast("int")
 
 
 def venue_of_brand() -> F.Column:
@@ -213,3 +213,7 @@ def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
             ),
         )
     )
+
+
+def profiles(spark: SparkSession) -> DataFrame:
+    return profile_table(spark, PROFILES)
