@@ -152,14 +152,19 @@ def close_as_of(bars: DataFrame, probes: DataFrame) -> DataFrame:
     )
 
 
-def carry_close(grid: DataFrame) -> DataFrame:
-    """Fill ``period_close`` forward over an instrument's own refreshes."""
-    so_far = (
+def so_far():
+    """An instrument's refreshes up to the current one; bounded by their number."""
+    return (
         Window.partitionBy(*INSTRUMENT)
         .orderBy("as_of")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return grid.withColumn("close_as_of", F.last("period_close", ignorenulls=True).over(so_far))
+
+
+def carry_close(grid: DataFrame) -> DataFrame:
+    """Fill ``period_close`` forward over an instrument's own refreshes."""
+    carried = F.last("period_close", ignorenulls=True).over(so_far())
+    return grid.withColumn("close_as_of", carried)
 
 
 def extents(bars: DataFrame) -> DataFrame:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from tidemark.workloads import (  # noqa: F401
+    aggregate_queries,
     calendar_queries,
+    flow_queries,
+    join_queries,
     policy_queries,
     quality_queries,
     rule_queries,
