@@ -176,6 +176,16 @@ def extents(bars: DataFrame) -> DataFrame:
     )
 
 
+def extents_of_facts(facts: DataFrame) -> DataFrame:
+    """The same first and last open times, folded out of the refresh facts.
+
+    Every bar belongs to at least one refresh, so nothing is lost.
+    """
+    return facts.groupBy(*INSTRUMENT).agg(
+        F.min("first_open").alias("first_open"), F.max("last_open").alias("last_open")
+    )
+
+
 def observed_windows(extent: DataFrame) -> DataFrame:
     """The span a venue's bars cover: one row per venue, none when it has no bars."""
     return extent.groupBy("venue").agg(

@@ -30,6 +30,7 @@ CALENDAR_COLUMNS = (
 
 def calendar(
     extent: DataFrame,
+    windows: DataFrame,
     metadata: DataFrame,
     profiles: DataFrame,
     announced: DataFrame,
@@ -38,11 +39,11 @@ def calendar(
 ) -> DataFrame:
     """One window per symbol, with the evidence grade it rests on.
 
-    ``extent`` covers every series of the venue, before any quote filter: the
-    truncation edge is a property of the venue.  Symbols without bars get no
+    ``extent`` and ``windows`` cover every series of a venue, before any quote
+    filter: the truncation edge is a property of the venue.  Symbols without bars get no
     entry.  An announced delisting replaces a rebuilt entry for the same symbol.
     """
-    edges = extent.groupBy("venue").agg(F.min("first_open").alias("edge"))
+    edges = windows.select("venue", F.col("observed_from").alias("edge"))
     venues = profiles.join(small(edges, venue_count), "venue")
     truncated = F.col("truncates_history") & (F.col("first_open") <= F.col("edge") + ts.days(1))
     live = F.array_contains("live_statuses", F.coalesce("status", F.lit("")))

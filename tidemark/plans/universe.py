@@ -30,21 +30,28 @@ class Market:
     profiles: tuple[VenueProfile, ...]
     thresholds: Thresholds
     facts: DataFrame
+    extents: DataFrame
 
     @classmethod
     def of(cls, bars, metadata, spreads, profiles, thresholds) -> Market:
         facts = history.refresh_facts(bars, thresholds.lookback_days)
-        return cls(bars, metadata, spreads, tuple(profiles), thresholds, facts)
+        extents = history.extents_of_facts(facts)
+        return cls(bars, metadata, spreads, tuple(profiles), thresholds, facts, extents)
 
     def staged(self) -> Market:
-        """The same market with its facts in a written table.
+        """The same market with its facts and extents in written tables.
 
-        A written table cuts the lineage and survives the loss of executors,
-        which a cached one does not.
+        The bars are read once.  A written table cuts the lineage and survives
+        the loss of executors, which a cached one does not.
         """
-        path = staging_path(self.spark, "facts")
-        self.facts.write.parquet(path)
-        return replace(self, facts=self.spark.read.schema(self.facts.schema).parquet(path))
+        facts = self._written(self.facts, "facts")
+        extents = self._written(history.extents_of_facts(facts), "extents")
+        return replace(self, facts=facts, extents=extents)
+
+    def _written(self, frame: DataFrame, label: str) -> DataFrame:
+        path = staging_path(self.spark, label)
+        frame.write.parquet(path)
+        return self.spark.read.schema(frame.schema).parquet(path)
 
     @property
     def spark(self):
@@ -54,13 +61,6 @@ class Market:
     def venue_count(self) -> int:
         return len(self.profiles)
 
-    @property
-    def extents(self) -> DataFrame:
-        """First and last bar per instrument, folded out of the facts."""
-        return self.facts.groupBy("venue", "symbol").agg(
-            F.min("first_open").alias("first_open"), F.max("last_open").alias("last_open")
-        )
-
     @property
     def windows(self) -> DataFrame:
         return history.observed_windows(self.extents)
@@ -69,6 +69,7 @@ class Market:
     def calendar(self) -> DataFrame:
         return listing.calendar(
             self.extents,
+            self.windows,
             self.metadata,
             profile_table(self.spark, self.profiles),
             announced_delistings(self.spark, self.profiles),

@@ -32,6 +32,8 @@ def build_session(app_name: str = "tidemark", **settings: str) -> SparkSession:
         # The exact median gathers at most one window per group; the default of
         # 128 groups would push every such aggregation into the sort path.
         .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "65536")
+        # Call-site capture costs milliseconds for every column expression.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in settings.items():
         builder = builder.config(key, value)

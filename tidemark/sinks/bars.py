@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import money
 from tidemark.sources import bars as bar_source
 from tidemark.session import staging_path
 
@@ -30,7 +31,9 @@ class BarStore:
         return system.exists(hadoop_path)
 
     def table(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        # A declared schema: left to inference, the partition value 1d is a number.
+        schema = f"{bar_source.BAR_SCHEMA}, month string"
+        return self.spark.read.schema(schema).parquet(self.path)
 
     def read(
         self, wanted: DataFrame, start: Column, end: Column, closed_only: bool = True
@@ -77,6 +80,16 @@ class BarStore:
         return rows
 
 
+SERIES_SCHEMA = (
+    "venue string, symbol string, timeframe string, open_millis bigint, "
+    f"close {money.PRICE}, quote_volume {money.NOTIONAL}"
+)
+
+
+def read_series(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SERIES_SCHEMA).parquet(path)
+
+
 def write_series(bars: DataFrame, path: str) -> None:
     """Reduced daily series (open millis, close, turnover) as one dataset."""
     bars.select(

@@ -23,6 +23,12 @@ BAR_COLUMNS = (
     "is_closed",
     "observed_at",
 )
+BAR_SCHEMA = (
+    "venue string, symbol string, timeframe string, open_time timestamp, "
+    f"open {money.PRICE}, high {money.PRICE}, low {money.PRICE}, close {money.PRICE}, "
+    f"volume {money.QUANTITY}, quote_volume {money.NOTIONAL}, is_closed boolean, "
+    "observed_at timestamp"
+)
 MINIMUM_FIELDS = 8
 
 

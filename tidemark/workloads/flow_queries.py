@@ -45,13 +45,13 @@ def idempotent_write(spark, sf_dir):
 @query(
     "snk_2_series_dataset",
     """
-    SELECT venue, symbol, count(*) AS rows, max(epoch_ms(open_time)) AS last_millis,
+    SELECT venue, symbol, '1d' AS timeframe, count(*) AS rows, max(epoch_ms(open_time)) AS last_millis,
            arg_max(close, open_time)::DECIMAL(34,2)::VARCHAR AS last_close FROM fx_bars GROUP BY ALL""",
 )
 def series_dataset(spark, sf_dir):
     path = staging_path(spark, "series")
     bar_sink.write_series(fx.daily_bars(spark, sf_dir), path)
-    return spark.read.parquet(path).groupBy("venue", "symbol").agg(
+    return bar_sink.read_series(spark, path).groupBy("venue", "symbol", "timeframe").agg(
         F.count("*").alias("rows"),
         F.max("open_millis").alias("last_millis"),
         exact(F.max_by("close", "open_millis"), 2, "last_close"),
