@@ -9,17 +9,18 @@ from pyspark.sql import functions as F
 
 from tidemark.fixed_values import TIMEFRAME_SECONDS
 from tidemark.functions import money
+from tidemark.sources.bars import first_and_last_by
 
 
 def closed_bars(
-    prints: DataFrame, timeframe: str, lateness: str, tie_break: Sequence[str] = ()
+    prints: DataFrame, timeframe: str, lateness: str, order_by: Sequence[str] = ("ts",)
 ) -> DataFrame:
     """Tumbling windows in append mode: closed bars only.
 
     Closing follows event time: a bar closes when the watermark, the newest print
     minus the allowed lateness, has passed its end.
     """
-    order = F.struct("ts", *tie_break)
+    order = first_and_last_by(order_by)
     return (
         prints.withWatermark("ts", lateness)
         .groupBy("venue", "symbol", F.window("ts", f"{TIMEFRAME_SECONDS[timeframe]} seconds"))

@@ -80,7 +80,7 @@ def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
-        bar_source.from_prints(prints(spark, sf_dir), "1d", TIE_BREAK)
+        bar_source.from_prints(prints(spark, sf_dir), "1d", ["ts", *TIE_BREAK])
         .withColumn("is_closed", F.lit(True))
         .withColumn("observed_at", F.col("open_time") + ts.days(1))
         .select(*bar_source.BAR_COLUMNS)

@@ -126,7 +126,7 @@ def closed_bars_stream(spark, sf_dir):
     stream = (
         spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     )
-    closed = live_bars.closed_bars(fx.as_prints(stream), "1h", "10 minutes", ["event_id"])
+    closed = live_bars.closed_bars(fx.as_prints(stream), "1h", "10 minutes", ["ts", "event_id"])
     live_bars.append_available(closed, f"{root}/bars", f"{root}/checkpoint")
     return spark.read.parquet(f"{root}/bars").select(
         "symbol",

@@ -371,7 +371,7 @@ def earliest_bar(spark, sf_dir):
 
 def intraday_bars(spark, sf_dir):
     """One-minute bars from prints, the five longer timeframes from those."""
-    fine = bars.from_prints(fx.intraday_prints(spark, sf_dir), "1m", ["event_id"])
+    fine = bars.from_prints(fx.intraday_prints(spark, sf_dir), "1m", ["ts", "event_id"])
     # The one-minute bars are one of the roll-up's outputs, so prints are read once.
     return bars.roll_up(fine, list(TIMEFRAME_SECONDS))
 
