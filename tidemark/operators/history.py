@@ -121,7 +121,13 @@ def close_as_of(bars: DataFrame, probes: DataFrame) -> DataFrame:
         F.lit(1).alias("kind"),
         F.lit(None).cast(money.PRICE).alias("close"),
     ).distinct()
-    timeline = closes.unionByName(asked).withColumn("month", F.date_trunc("month", "moment"))
+    # Shuffled once, explicitly: both uses below are satisfied by this partitioning
+    # and read the same exchange.
+    timeline = (
+        closes.unionByName(asked)
+        .withColumn("month", F.date_trunc("month", "moment"))
+        .repartition(*INSTRUMENT, "month")
+    )
     within = (
         Window.partitionBy(*INSTRUMENT, "month")
         .orderBy("moment", "kind")

@@ -15,6 +15,29 @@ from tidemark.operators.rules import Rule
 SLICE = ("venue", "quote_policy", "as_of")
 
 
+def named_quotes(policies: Mapping[str, Sequence[str]]) -> Column:
+    """The quote policies as one literal array of (quote_policy, policy_quotes)."""
+    return F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("quote_policy"),
+                F.array(*[F.lit(quote) for quote in quotes]).alias("policy_quotes"),
+            )
+            for name, quotes in policies.items()
+        ]
+    )
+
+
+def fitting_quote_policies(
+    listings: DataFrame, policies: Mapping[str, Sequence[str]] = fv.QUOTE_POLICIES
+) -> DataFrame:
+    """Every listing under every quote policy it fits; the policies are nested sets."""
+    fitting = F.filter(
+        named_quotes(policies), lambda p: F.array_contains(p["policy_quotes"], F.col("quote"))
+    )
+    return listings.withColumn("quote_policy", F.explode(fitting["quote_policy"]))
+
+
 def judge(grid: DataFrame, rules: Iterable[Rule]) -> DataFrame:
     """Every rule against every candidate at every refresh; one column per rule.
 

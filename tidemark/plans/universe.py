@@ -121,16 +121,7 @@ class Market:
         Only the quote rule depends on the policy; everything costly is computed
         once, before the rows are fanned out to the policies.
         """
-        named = F.array(
-            *[
-                F.struct(
-                    F.lit(name).alias("quote_policy"),
-                    F.array(*[F.lit(quote) for quote in quotes]).alias("policy_quotes"),
-                )
-                for name, quotes in self.thresholds.quote_policies.items()
-            ]
-        )
-        fanned = self.grid().select("*", F.inline(named))
+        fanned = self.grid().select("*", F.inline(policy.named_quotes(self.thresholds.quote_policies)))
         return policy.judge(fanned, (*rules.standard_rules(self.thresholds), *extra_rules))
 
     def known_missing(self) -> DataFrame:

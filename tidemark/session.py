@@ -29,6 +29,8 @@ def build_session(app_name: str = "tidemark", **settings: str) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Split a hot key even where the next step must then shuffle once more.
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         # The exact median gathers at most one window per group; the default of
         # 128 groups would push every such aggregation into the sort path.
         .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "65536")
@@ -53,6 +55,17 @@ def small(frame: DataFrame, known_rows: int) -> DataFrame:
     return F.broadcast(frame) if known_rows <= BROADCAST_ROW_LIMIT else frame
 
 
+def lookup(facts: DataFrame, reference: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join a large table to an instrument-level one without shuffling the large side.
+
+    The smaller side is counted first, up to the limit.  Inside the limit it is
+    broadcast, so a key with a third of all rows stays spread over the tasks that
+    read it.  Beyond it the join shuffles and adaptive execution splits hot keys.
+    """
+    counted = reference.limit(BROADCAST_ROW_LIMIT + 1).count()
+    return facts.join(small(reference, counted), keys, how)
+
+
 def staging_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder all executors share.
 

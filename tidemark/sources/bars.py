@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.fixed_values import TIMEFRAME_SECONDS
 from tidemark.functions import instants as ts
 from tidemark.functions import money
+from tidemark.session import lookup
 
 KEY = ("venue", "symbol", "timeframe", "open_time")
 BAR_COLUMNS = (
@@ -215,7 +216,8 @@ def roll_up(bars: DataFrame, timeframes: Sequence[str]) -> DataFrame:
 
 def for_instruments(bars: DataFrame, wanted: DataFrame) -> DataFrame:
     """Bars of an explicit set of instruments; one without bars adds nothing."""
-    return bars.join(wanted.select("venue", "symbol").distinct(), ["venue", "symbol"], "left_semi")
+    chosen = wanted.select("venue", "symbol").distinct()
+    return lookup(bars, chosen, ["venue", "symbol"], "left_semi")
 
 
 def latest_close_time(instruments: DataFrame, bars: DataFrame) -> DataFrame:

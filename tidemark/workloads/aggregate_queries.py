@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fv
 from tidemark.operators import costs, coverage, entitlements, history, journal, listing, policy
+from tidemark.operators import decisions as audit
 from tidemark.parameters import profile_table
-from tidemark.session import dimension
+from tidemark.session import dimension, lookup, small
 from tidemark.sources import metadata as metadata_source
 from tidemark.workloads import fixtures as fx
 from tidemark.workloads import payloads
@@ -221,10 +222,10 @@ def _itemised(spark, sf_dir: str):
     """Fees by venue and role, half the measured spread, slippage by size."""
     schedule = fees(spark).withColumnRenamed("model", "venue")
     spreads = fx.spreads(spark, sf_dir).select("venue", "symbol", "spread_bps")
-    priced = (
-        trades(spark, sf_dir)
-        .join(schedule, ["venue", "role"])
-        .join(spreads.withColumnRenamed("spread_bps", "quoted"), ["venue", "symbol"], "left")
+    priced = lookup(
+        trades(spark, sf_dir).join(small(schedule, len(FEES)), ["venue", "role"]),
+        spreads.withColumnRenamed("spread_bps", "quoted"),
+        ["venue", "symbol"],
     )
     half = F.lit("0.5").cast("decimal(2,1)")
     model = lambda: {
@@ -310,7 +311,7 @@ def verdict_contingency(spark, sf_dir):
             "risk_verdict"
         ),
     )
-    return decisions.groupBy("llm_decision", "risk_verdict").agg(F.count("*").alias("decisions"))
+    return audit.contingency(decisions)
 
 
 @query(

@@ -104,6 +104,8 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("0.01").cast(money.PRICE).alias("tick_size"),
             F.when(n % 2 == 0, "0.001").otherwise("0.01").cast(money.QUANTITY).alias("lot_size"),
             F.when(n % 6 == 0, "50").otherwise("10").cast(money.NOTIONAL).alias("min_notional"),
+            # Constraints are today's; on a past date they are a reconstruction.
+            F.to_timestamp(F.lit("2001-11-05 12:00:00")).alias("constraints_as_of"),
         )
     )
 

@@ -74,7 +74,8 @@ def interval_containment(spark, sf_dir):
     f"""
     SELECT venue, symbol, base, quote, lot_size::DECIMAL(34,3)::VARCHAR AS lot_size,
            min_notional::DECIMAL(34,2)::VARCHAR AS min_notional,
-           strftime(listed_at, {_ISO}) AS listed_at, strftime(delisted_at, {_ISO}) AS delisted_at, provenance
+           strftime(listed_at, {_ISO}) AS listed_at, strftime(delisted_at, {_ISO}) AS delisted_at, provenance,
+           '2001-11-05T12:00:00' AS constraints_as_of
     FROM fx_candidates""",
 )
 def candidates(spark, sf_dir):
@@ -88,6 +89,7 @@ def candidates(spark, sf_dir):
         stamp("listed_at"),
         stamp("delisted_at"),
         "provenance",
+        stamp("constraints_as_of"),
     )
 
 

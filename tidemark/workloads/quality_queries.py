@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark import fixed_values as fv
 from tidemark.functions import instants as ts
 from tidemark.functions import text
-from tidemark.operators import listing, quality
+from tidemark.operators import listing, policy, quality
 from tidemark.sources import bars, envelopes
 from tidemark.workloads import fixtures as fx
 from tidemark.workloads.edge import exact, month, stamp
@@ -220,15 +219,9 @@ def quote_scope(spark, sf_dir):
 )
 def quote_policies(spark, sf_dir):
     """Nested policies in one pass: a symbol is counted under every policy it fits."""
-    pairs = [
-        F.struct(F.lit(name).alias("quote_policy"), F.array(*[F.lit(q) for q in quotes]).alias("quotes"))
-        for name, quotes in fv.QUOTE_POLICIES.items()
-    ]
-    fitting = F.filter(F.array(*pairs), lambda p: F.array_contains(p["quotes"], F.col("quote")))
     return (
-        fx.listings(spark, sf_dir)
-        .select("venue", F.explode(fitting).alias("p"))
-        .groupBy("venue", F.col("p.quote_policy").alias("quote_policy"))
+        policy.fitting_quote_policies(fx.listings(spark, sf_dir))
+        .groupBy("venue", "quote_policy")
         .agg(F.count("*").alias("symbols"))
     )
 
