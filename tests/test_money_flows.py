@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import costs, coverage, cross_section, decisions, entitlements, journal
-from tidemark.session import lookup
+from tidemark.session import lookup, sized_for
 from tidemark.sources import bars as bar_source
 from tidemark.streaming import live_bars
 
@@ -211,3 +211,9 @@ def test_lookup_broadcasts_inside_the_limit_and_shuffles_beyond(spark, monkeypat
         assert sorted(map(str, beyond.collect())) == sorted(map(str, joined.collect()))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_shuffle_settings_follow_the_input():
+    small_job, large_job = sized_for(10**9), sized_for(100 * 10**12)
+    assert small_job["spark.sql.shuffle.partitions"] == "200"
+    assert 100_000 < int(large_job["spark.sql.shuffle.partitions"]) <= 200_000

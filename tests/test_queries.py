@@ -37,3 +37,42 @@ def test_same_rows_as_sql(spark, name):
     frame = QUERIES[name](spark, SF_DIR)
     assert not sidebyside.unscalable_operators(name, frame)
     assert sidebyside.difference(frame, SF_DIR, ORACLES[name], name in SPARSE) is None
+
+
+def test_verdict_counts_of_the_fixture_market(spark):
+    """Counts worked out independently for these tables: admit, reject, not evaluable."""
+    from pyspark.sql import functions as F
+
+    from tidemark import fixed_values as fv
+    from tidemark.operators import policy
+    from tidemark.workloads import fixtures
+
+    expected = {
+        "quote_currency": (1394, 656, 0),
+        "listing_age": (1144, 168, 738),
+        "median_quote_volume": (393, 312, 1345),
+        "median_spread": (6, 6, 2038),
+        "min_notional_feasible": (1722, 328, 0),
+        "lot_size_feasible": (958, 1014, 78),
+        "asset_class": (1886, 164, 0),
+    }
+    market = fixtures.market(spark, "/root/testdata/sf0.01")
+    verdicts = policy.with_memberships(market.verdicts()).where("quote_policy = 'EUR+USD'")
+    counts = [
+        F.count_if(F.col(f"v_{rule}") == outcome).alias(f"{rule}:{outcome}")
+        for rule in expected
+        for outcome in fv.OUTCOMES
+    ]
+    counts += [F.count_if("in_research").alias("research")]
+    counts += [F.count_if(F.col("`in_research+executable`")).alias("executable")]
+    found = verdicts.agg(*counts).first().asDict()
+    for rule, numbers in expected.items():
+        assert tuple(found[f"{rule}:{outcome}"] for outcome in fv.OUTCOMES) == numbers
+    assert (found["research"], found["executable"]) == (94, 7)
+    grades = {(r["venue"], r["provenance"]): r["n"] for r in market.calendar.groupBy("venue", "provenance").agg(F.count("*").alias("n")).collect()}
+    assert grades == {
+        ("alpha", "reconstructed"): 15,
+        ("beta", "unverified"): 9,
+        ("beta", "reconstructed"): 1,
+        ("beta", "venue_announcement"): 2,
+    }

@@ -38,15 +38,20 @@ class Market:
         extents = history.extents_of_facts(facts)
         return cls(bars, metadata, spreads, tuple(profiles), thresholds, facts, extents)
 
-    def staged(self) -> Market:
+    def staged(self, with_bars: bool = False) -> Market:
         """The same market with its facts and extents in written tables.
 
         The bars are read once.  A written table cuts the lineage and survives
-        the loss of executors, which a cached one does not.
+        the loss of executors, which a cached one does not.  ``with_bars`` also
+        writes the bars, for jobs that derive them and then need them again.
         """
-        facts = self._written(self.facts, "facts")
+        bars, facts = self.bars, self.facts
+        if with_bars:
+            bars = self._written(bars, "bars")
+            facts = history.refresh_facts(bars, self.thresholds.lookback_days)
+        facts = self._written(facts, "facts")
         extents = self._written(history.extents_of_facts(facts), "extents")
-        return replace(self, facts=facts, extents=extents)
+        return replace(self, bars=bars, facts=facts, extents=extents)
 
     def _written(self, frame: DataFrame, label: str) -> DataFrame:
         path = staging_path(self.spark, label)
@@ -147,7 +152,8 @@ def latest_only(spreads: DataFrame) -> DataFrame:
     return (
         spreads.where(F.col("observed_at").isNotNull())
         .groupBy("venue", "symbol")
-        .agg(F.max_by("spread_bps", "observed_at").alias("spread_bps"))
+        .agg(F.max(F.struct("observed_at", "spread_bps")).alias("newest"))
+        .select("venue", "symbol", "newest.spread_bps")
     )
 
 

@@ -42,6 +42,22 @@ def build_session(app_name: str = "tidemark", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def sized_for(input_bytes: int) -> dict[str, str]:
+    """Shuffle settings for a job that reads ``input_bytes``.
+
+    Adaptive execution merges small partitions but cannot split what started too
+    coarse, so the starting number follows the input: about 128 MB each, were
+    everything shuffled, and never fewer than Spark's default.
+    """
+    target = 128 * 1024**2
+    partitions = min(max(200, -(-input_bytes // target)), 200_000)
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(2 * target),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target),
+    }
+
+
 def dimension(spark: SparkSession, rows: Sequence[dict], schema: pa.Schema) -> DataFrame:
     """A parameter table held in the plan itself, so its size is known to Catalyst."""
     return spark.createDataFrame(pa.Table.from_pylist(list(rows), schema=schema))

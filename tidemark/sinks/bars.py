@@ -52,20 +52,17 @@ class BarStore:
     def write(self, incoming: DataFrame) -> int:
         """Merge bars into the store; the copy observed last wins.  Returns rows kept.
 
+        The incoming rows are staged first, so whatever produces them runs once.
         Whole partitions are replaced, so the stored rows of the touched
-        partitions are merged first and the result staged: a job cannot
+        partitions are merged in and the result staged as well: a job cannot
         overwrite what it is reading, and a rerun after a failure starts from
         the same inputs.
         """
-        fresh = with_month(incoming.select(*bar_source.BAR_COLUMNS))
-        merged = fresh
+        table = self._staged(incoming.select(*bar_source.BAR_COLUMNS))
         if self.exists():
-            touched = fresh.select(*PARTITION).distinct()
+            touched = table.select(*PARTITION).distinct()
             kept = self.table().join(touched, list(PARTITION), "left_semi")
-            merged = fresh.unionByName(kept.select(*fresh.columns))
-        staged = staging_path(self.spark, "bars")
-        bar_source.newest_observation(merged.drop("month")).write.parquet(staged)
-        table = with_month(self.spark.read.parquet(staged))
+            table = self._staged(table.unionByName(kept.select(*table.columns)).drop("month"))
         rows = table.count()
         # Ranges over (partition, symbol, time) cut a crowded venue-month into
         # several files instead of sending it to one task.
@@ -79,6 +76,11 @@ class BarStore:
         )
         return rows
 
+    def _staged(self, bars: DataFrame) -> DataFrame:
+        path = staging_path(self.spark, "bars")
+        bar_source.newest_observation(bars).write.parquet(path)
+        return with_month(self.spark.read.schema(bar_source.BAR_SCHEMA).parquet(path))
+
 
 SERIES_SCHEMA = (
     "venue string, symbol string, timeframe string, open_millis bigint, "

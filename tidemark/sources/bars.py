@@ -242,11 +242,15 @@ def earliest_open_time(bars: DataFrame) -> DataFrame:
 
 
 def newest_observation(bars: DataFrame) -> DataFrame:
-    """One row per bar key: the copy seen last wins."""
-    rest = [name for name in bars.columns if name not in KEY]
+    """One row per bar key: the copy seen last wins.
+
+    Copies seen at the same time are settled by their values, so a rerun keeps
+    the same one.
+    """
+    rest = [name for name in bars.columns if name not in (*KEY, "observed_at")]
     return (
         bars.groupBy(*KEY)
-        .agg(F.max_by(F.struct(*rest), "observed_at").alias("kept"))
-        .select(*KEY, *[F.col(f"kept.{name}").alias(name) for name in rest])
+        .agg(F.max(F.struct("observed_at", *rest)).alias("kept"))
+        .select(*KEY, "kept.*")
         .select(*bars.columns)
     )

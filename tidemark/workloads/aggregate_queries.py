@@ -45,7 +45,7 @@ def median_quote_volume(spark, sf_dir):
 )
 def observation_count(spark, sf_dir):
     """Bars without a turnover still count as observations."""
-    market = fx.market(spark, sf_dir)
+    market = fx.market(spark, sf_dir, with_bars=True)
     gaps = market.bars.withColumn(
         "quote_volume", F.when(F.col("quote_volume") % 100 != 0, F.col("quote_volume"))
     )

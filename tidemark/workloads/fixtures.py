@@ -31,7 +31,8 @@ PROFILES = (
 THRESHOLDS = Thresholds(
     minimum_median_quote_volume=Decimal(75_000), excluded_bases=("Brand#4", "Brand#9")
 )
-TIE_BREAK = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+#: Prints that agree in these agree in price, so no further column is needed.
+TIE_BREAK = ("l_orderkey", "l_linenumber", "l_partkey")
 
 
 _schemas: dict[str, T.StructType] = {}
@@ -126,9 +127,9 @@ def spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def market(spark: SparkSession, sf_dir: str) -> Market:
-    """The fixture market with its facts staged: one pass over the prints."""
-    return lazy_market(spark, sf_dir).staged()
+def market(spark: SparkSession, sf_dir: str, with_bars: bool = False) -> Market:
+    """The fixture market, staged: one pass over the prints, whatever reads it."""
+    return lazy_market(spark, sf_dir).staged(with_bars)
 
 
 def lazy_market(spark: SparkSession, sf_dir: str) -> Market:

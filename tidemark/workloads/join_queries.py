@@ -196,7 +196,7 @@ _MID_MONTHS = """
 )
 def trailing_window(spark, sf_dir):
     """Thirty days at arbitrary instants: noon in the middle of each month."""
-    market = fx.market(spark, sf_dir)
+    market = fx.market(spark, sf_dir, with_bars=True)
     asked = market.refreshes.select(
         "venue", (F.col("as_of") + F.expr("INTERVAL '14 12' DAY TO HOUR")).alias("as_of")
     )

@@ -212,7 +212,7 @@ def policy_gap(spark, sf_dir):
     WHERE c.delisted_at IS NOT NULL GROUP BY ALL""",
 )
 def delisting_markout(spark, sf_dir):
-    market = fx.market(spark, sf_dir)
+    market = fx.market(spark, sf_dir, with_bars=True)
     return costs.delisting_markout(market.calendar, market.bars).select(
         "venue", "symbol", stamp("delisted_at"), stamp("last_traded"), exact("exit_price", 2)
     )

@@ -299,7 +299,7 @@ def read_stored_bars(spark, sf_dir):
 )
 def latest_close_time(spark, sf_dir):
     """Announced but unseen instruments have no bars, so their answer is NULL."""
-    market = fx.market(spark, sf_dir)
+    market = fx.market(spark, sf_dir, with_bars=True)
     asked = market.calendar.select("venue", "symbol", F.lit("1d").alias("timeframe"))
     flagged = market.bars.withColumn(
         "is_closed",
