@@ -327,3 +327,58 @@ def test_month_windows_match_brute_force(spark):
         window = _brute_window(rows, moment, 45)
         assert facts[moment]["observations"] == len(window)
     assert len(rows) == history.extents(sm.bars(spark, rows)).first()["bars"]
+
+
+def test_money_in_floating_point_is_refused(spark):
+    found = sm.market(spark, sm.history("AAA") + TODAY, ["AAA"])
+    from tidemark.plans.universe import Market
+
+    rough = found.bars.withColumn("close", F.col("close").cast("double"))
+    with pytest.raises(TypeError, match="close"):
+        Market.of(rough, found.metadata, found.spreads, found.profiles, found.thresholds)
+
+
+def test_instruments_at_uses_the_given_calendar_and_refuses_others(spark):
+    from tidemark.plans.universe import instruments_at
+
+    metadata = sm.metadata(spark, ["ALIVE", "DEAD", "LOST"])
+    calendar = spark.createDataFrame(
+        [
+            (sm.VENUE, "ALIVE", dt.datetime(2020, 1, 1), None, True),
+            (sm.VENUE, "DEAD", dt.datetime(2020, 1, 1), dt.datetime(2022, 1, 1), True),
+            (sm.VENUE, "LOST", dt.datetime(2020, 1, 1), dt.datetime(2022, 1, 1), False),
+        ],
+        "venue string, symbol string, listed_at timestamp_ntz, delisted_at timestamp_ntz, metadata_available boolean",
+    ).select(
+        "venue",
+        "symbol",
+        F.col("listed_at").cast("timestamp").alias("listed_at"),
+        F.col("delisted_at").cast("timestamp").alias("delisted_at"),
+        F.lit("reconstructed").alias("provenance"),
+        "metadata_available",
+    )
+    moments = ["2021-06-01 00:00:00", "2022-01-01 00:00:00"]
+    found = instruments_at(metadata, calendar, [sm.VENUE], moments).collect()
+    assert {(r["as_of"].year, r["symbol"]) for r in found} == {(2021, "ALIVE"), (2021, "DEAD"), (2022, "ALIVE")}
+    with pytest.raises(LookupError, match="elsewhere"):
+        instruments_at(metadata, calendar, ["elsewhere"], moments)
+
+
+def test_given_calendar_replaces_the_rebuilt_one(spark):
+    from dataclasses import replace
+
+    found = sm.market(spark, sm.history("AAA", days=300) + TODAY, ["AAA"])
+    dated = found.calendar.withColumn("listed_at", F.to_timestamp(F.lit("2024-05-01"))).withColumn(
+        "provenance", F.lit("venue_announcement")
+    )
+    given = replace(found, given_calendar=dated)
+    assert judged(found)["AAA"]["v_listing_age"] == fv.ADMIT
+    assert judged(given)["AAA"]["v_listing_age"] == fv.REJECT
+
+
+def test_last_close_survives_months_without_bars(spark):
+    rows = sm.history("GAP", days=20, until=dt.datetime(2023, 11, 10), close="42") + sm.history("AAA", days=400) + TODAY
+    row = judged(sm.market(spark, rows, ["GAP", "AAA"]))["GAP"]
+    assert row["close_as_of"] == Decimal(42)
+    assert row["v_lot_size_feasible"] == fv.ADMIT
+    assert row["v_median_quote_volume"] == fv.NOT_EVALUABLE

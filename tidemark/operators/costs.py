@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import money
+from tidemark.session import lookup
 
 COMPONENTS = ("fee_bps", "spread_bps", "slippage_bps", "funding_bps")
 
@@ -86,7 +87,7 @@ def by_venue_model(trades: DataFrame, fees: DataFrame, venues: list[str]) -> Dat
     for venue in venues:
         cost = cost_amount(F.col("gross"), F.col(f"bps_{venue}"))
         sums.append(F.sum(F.col("gross") - cost).cast("decimal(34,8)").alias(f"net_{venue}"))
-    return trades.join(F.broadcast(schedule), "role").groupBy("symbol").agg(*sums)
+    return lookup(trades, schedule, ["role"], "inner").groupBy("symbol").agg(*sums)
 
 
 def delisting_markout(listed: DataFrame, bars: DataFrame) -> DataFrame:

@@ -59,7 +59,9 @@ def fetch_failures(finals: DataFrame, symbol: str = "symbol") -> DataFrame:
 def delisted_probe(probe: DataFrame, finals: DataFrame, bar_stats: DataFrame) -> DataFrame:
     """found, empty, rejected or unavailable per named symbol, with bar evidence.
 
-    ``bar_stats`` has (venue, symbol, bars, first_open, last_open).
+    ``finals`` has (venue, symbol, final_outcome, detail) and ``bar_stats`` has
+    (venue, symbol, bars, first_open, last_open).  The probe keeps its own
+    columns, such as the source that says the symbol is gone.
     """
     outcome = (
         F.when(F.col("final_outcome").isNull(), F.lit("not_requested"))
@@ -72,9 +74,9 @@ def delisted_probe(probe: DataFrame, finals: DataFrame, bar_stats: DataFrame) ->
         probe.join(finals, ["venue", "symbol"], "left")
         .join(bar_stats, ["venue", "symbol"], "left")
         .select(
-            "venue",
-            "symbol",
+            *probe.columns,
             outcome.alias("outcome"),
+            F.when(~answered, F.substring("detail", 1, 200)).alias("detail"),
             F.when(answered, F.coalesce("bars", F.lit(0))).alias("bar_count"),
             F.when(answered, F.col("first_open")).alias("first_bar"),
             F.when(answered, F.col("last_open")).alias("last_bar"),

@@ -44,7 +44,7 @@ def calendar(
     entry.  An announced delisting replaces a rebuilt entry for the same symbol.
     """
     edges = windows.select("venue", F.col("observed_from").alias("edge"))
-    venues = profiles.join(small(edges, venue_count), "venue")
+    venues = edges.join(small(profiles, venue_count), "venue")
     truncated = F.col("truncates_history") & (F.col("first_open") <= F.col("edge") + ts.days(1))
     live = F.array_contains("live_statuses", F.coalesce("status", F.lit("")))
     status_text = F.concat(F.lit("venue status '"), F.coalesce("status", F.lit("")), F.lit("'; "))
@@ -72,7 +72,7 @@ def calendar(
             F.lit(True).alias("metadata_available"),
         )
     )
-    missing = announced.join(small(edges, venue_count), "venue", "left_semi").select(
+    missing = announced.join(small(venues, venue_count), "venue", "left_semi").select(
         "venue",
         "symbol",
         F.to_timestamp(F.lit(fv.ANNOUNCED_LISTING_FLOOR)).alias("listed_at"),

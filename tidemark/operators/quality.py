@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark import fixed_values as fv
 from tidemark.functions import money
@@ -19,6 +20,13 @@ def price_fault(text: Column) -> Column:
     )
 
 
+def require_exact(frame: DataFrame, *columns: str) -> None:
+    """Refuse money held in binary floating point, before anything runs."""
+    for name in columns:
+        if isinstance(frame.schema[name].dataType, (T.FloatType, T.DoubleType)):
+            raise TypeError(f"{name}: money must be a decimal, not a float")
+
+
 def is_venue_slug(name: Column) -> Column:
     return F.coalesce(name.rlike(VENUE_SLUG), F.lit(False))
 

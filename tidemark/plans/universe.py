@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import instants as ts
 from tidemark.operators import history, listing, policy, rules
+from tidemark.operators.quality import require_exact
 from tidemark.parameters import Thresholds, VenueProfile, announced_delistings, profile_table
 from tidemark.session import small, staging_path
 
-CONSTRAINTS = ("base", "quote", "tick_size", "lot_size", "min_notional")
-
 
 @dataclass(frozen=True)
 class Market:
@@ -31,9 +30,13 @@ class Market:
     thresholds: Thresholds
     facts: DataFrame
     extents: DataFrame
+    given_calendar: DataFrame | None = None
 
     @classmethod
     def of(cls, bars, metadata, spreads, profiles, thresholds) -> Market:
+        require_exact(bars, "close", "quote_volume")
+        require_exact(metadata, "lot_size", "min_notional")
+        require_exact(spreads, "spread_bps")
         facts = history.refresh_facts(bars, thresholds.lookback_days)
         extents = history.extents_of_facts(facts)
         return cls(bars, metadata, spreads, tuple(profiles), thresholds, facts, extents)
@@ -68,10 +71,17 @@ class Market:
 
     @property
     def windows(self) -> DataFrame:
-        return history.observed_windows(self.extents)
+        """Observed windows of the profiled venues: never more rows than profiles."""
+        profiled = profile_table(self.spark, self.profiles).select("venue")
+        return history.observed_windows(
+            self.extents.join(small(profiled, self.venue_count), "venue", "left_semi")
+        )
 
     @property
     def calendar(self) -> DataFrame:
+        """The given listing calendar, or the one rebuilt from the bars."""
+        if self.given_calendar is not None:
+            return self.given_calendar
         return listing.calendar(
             self.extents,
             self.windows,
@@ -157,6 +167,20 @@ def latest_only(spreads: DataFrame) -> DataFrame:
     )
 
 
+def instruments_at(
+    metadata: DataFrame, calendar: DataFrame, venues: list[str], moments: list[str]
+) -> DataFrame:
+    """Instruments listed at explicit instants, from a calendar someone supplies.
+
+    A venue the calendar does not cover is refused: today's survivors are not an
+    answer about the past.
+    """
+    have = {row["venue"] for row in calendar.select("venue").distinct().collect()}
+    listing.require_calendar(have, set(venues))
+    entries = calendar.where(F.col("venue").isin(*venues))
+    return listing.listed_on(listing.candidates(metadata, entries), moments)
+
+
 def universe_at(market: Market, quote_policy: str, chosen: str, moments: list[str]) -> DataFrame:
     """Point lookup: members of a policy at explicit instants.
 

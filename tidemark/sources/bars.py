@@ -43,7 +43,10 @@ def _judge(rows: DataFrame) -> DataFrame:
         negative = negative | (price < 0)
     return rows.withColumn(
         "reason",
-        F.when(F.size("fields") < MINIMUM_FIELDS, F.lit("too few fields"))
+        F.when(
+            ts.timeframe_seconds(F.col("timeframe")).isNull(), F.lit("timeframe: not served")
+        )
+        .when(F.size("fields") < MINIMUM_FIELDS, F.lit("too few fields"))
         .when(F.col("open_time").isNull(), F.lit("open_time: expected an integer"))
         .when(
             unreadable | F.col("volume").isNull() | F.col("quote_volume").isNull(),

@@ -162,7 +162,10 @@ def delisted_probe(spark, sf_dir):
     newest = (
         _finals_with_symbol(spark, sf_dir)
         .groupBy("venue", "symbol")
-        .agg(F.max_by("final_outcome", request).alias("final_outcome"))
+        .agg(
+            F.max_by("final_outcome", request).alias("final_outcome"),
+            F.max_by("detail", request).alias("detail"),
+        )
     )
     stats = history.extents(fx.daily_bars(spark, sf_dir))
     return journal.delisted_probe(probe, newest, stats).select(
