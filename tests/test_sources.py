@@ -254,3 +254,52 @@ def test_calendar_instants_need_an_offset(spark, tmp_path):
     assert row["listed_at"] is None
     assert row["delisted_at"] == dt.datetime(2024, 1, 31, 23)
     assert row["note"] == ""
+
+
+def test_unreadable_payloads_are_never_empty_results(spark):
+    """Each failure leaves a row that names it; only a true empty answer has none."""
+    for payload in ('{"code":-1121,"msg":"Invalid symbol."}', "not json", "null"):
+        rows = bars.parse_klines(page(spark, payload)).collect()
+        assert [r["reason"] for r in rows] == ["payload: expected an array of rows"], payload
+    found = {}
+    for payload in (
+        '{"error":["EQuery:Invalid asset pair"]}',
+        '{"error":["EService:Busy"]}',
+        '{"error":[]}',
+        '{"error":[],"result":{"XXBTZEUR":7,"last":5}}',
+        '{"error":[],"result":{"last":5}}',
+    ):
+        parsed = bars.parse_ohlc(page(spark, payload))
+        found[payload] = [r["reason"] for r in bars.quarantine(parsed).collect()]
+        assert bars.good_bars(parsed).count() == 0
+    assert list(found.values()) == [
+        ["envelope: rejected"],
+        ["envelope: unavailable"],
+        ["envelope: malformed"],
+        ["result: expected an array of rows"],
+        [],
+    ]
+    pages = spark.createDataFrame([("v", 0, "oops")], "venue string, page bigint, payload string")
+    assert metadata.parse_symbols(pages).first()["reason"] == "page or symbol: not as described"
+    assert metadata.parse_pairs(pages).first()["reason"] == "page or altname: not as described"
+    assert metadata.good_metadata(metadata.parse_symbols(pages)).count() == 0
+    book = spark.createDataFrame([("v", dt.datetime(2024, 1, 1), "oops")], "venue string, as_of timestamp, payload string")
+    wanted = spark.createDataFrame([("v", "A")], "venue string, symbol string")
+    with pytest.raises(PySparkException, match="unreadable book page"):
+        books.ticker_spreads(book, wanted).collect()
+
+
+def test_broken_calendar_file_is_an_error(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"venue": "v", "entries": [{]}')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_calendar_json(spark, str(tmp_path / "c.json")).collect()
+
+
+def test_asof_join_shuffles_its_timeline_once(spark):
+    from tidemark.operators import history
+
+    frame = sm.bars(spark, sm.history("AAA", days=90))
+    probes = frame.select("venue", "symbol", F.col("open_time").alias("as_of"))
+    found = history.close_as_of(frame, probes)
+    found.collect()
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()

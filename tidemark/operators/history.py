@@ -122,10 +122,12 @@ def close_as_of(bars: DataFrame, probes: DataFrame) -> DataFrame:
         F.lit(None).cast(money.PRICE).alias("close"),
     ).distinct()
     # Shuffled once, explicitly: both uses below are satisfied by this partitioning
-    # and read the same exchange.
+    # and read the same exchange.  The keys are filtered here because Catalyst
+    # would otherwise infer the filter on one of the two uses and plan them apart.
     timeline = (
         closes.unionByName(asked)
         .withColumn("month", F.date_trunc("month", "moment"))
+        .where("venue IS NOT NULL AND symbol IS NOT NULL AND month IS NOT NULL")
         .repartition(*INSTRUMENT, "month")
     )
     within = (

@@ -33,7 +33,7 @@ def read_calendar_json(spark: SparkSession, path: str, one_per_file: bool = True
     """
     documents = (
         spark.read.schema(f"venue string, methodology string, entries array<{_ENTRY}>")
-        .option("multiLine", one_per_file)
+        .options(multiLine=one_per_file, mode="FAILFAST")
         .json(path)
     )
     entry = documents.select("venue", "methodology", F.inline("entries"))
@@ -85,4 +85,4 @@ JOURNAL_SCHEMA = """venue string, method string, url string, params map<string,s
 
 
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(JOURNAL_SCHEMA).json(path)
+    return spark.read.schema(JOURNAL_SCHEMA).option("mode", "FAILFAST").json(path)

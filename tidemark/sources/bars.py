@@ -11,6 +11,7 @@ from tidemark.fixed_values import TIMEFRAME_SECONDS
 from tidemark.functions import instants as ts
 from tidemark.functions import money
 from tidemark.session import lookup
+from tidemark.sources.envelopes import envelope_outcome
 
 KEY = ("venue", "symbol", "timeframe", "open_time")
 BAR_COLUMNS = (
@@ -46,6 +47,7 @@ def _judge(rows: DataFrame) -> DataFrame:
         F.when(
             ts.timeframe_seconds(F.col("timeframe")).isNull(), F.lit("timeframe: not served")
         )
+        .when(F.col("fields").isNull(), F.coalesce("fault", F.lit("row: expected an array")))
         .when(F.size("fields") < MINIMUM_FIELDS, F.lit("too few fields"))
         .when(F.col("open_time").isNull(), F.lit("open_time: expected an integer"))
         .when(
@@ -59,22 +61,33 @@ def _judge(rows: DataFrame) -> DataFrame:
     )
 
 
-def parse_klines(payloads: DataFrame) -> DataFrame:
-    """(venue, symbol, timeframe, observed_at, payload) to bars plus ``reason``.
-
-    The payload is an array of arrays: 0 open millis, 1-4 open high low close,
-    5 volume, 7 quote volume.
-    """
-    parsed = payloads.select(
+def _exploded(payloads: DataFrame, rows: Column, fault: Column) -> DataFrame:
+    """One row per bar, or one row for a faulty payload, which then keeps its text."""
+    nothing = F.array(F.lit(None).cast("array<string>"))
+    return payloads.withColumn("fault", fault).select(
         "venue",
         "symbol",
         "timeframe",
         "observed_at",
-        F.explode_outer(F.from_json("payload", "array<array<string>>")).alias("fields"),
+        "fault",
+        F.when(F.col("fault").isNotNull(), F.col("payload")).alias("faulty"),
+        F.explode(F.when(F.col("fault").isNotNull(), nothing).otherwise(rows)).alias("fields"),
     )
+
+
+def parse_klines(payloads: DataFrame) -> DataFrame:
+    """(venue, symbol, timeframe, observed_at, payload) to bars plus ``reason``.
+
+    The payload is an array of arrays: 0 open millis, 1-4 open high low close,
+    5 volume, 7 quote volume.  An empty array has no bars; a payload that is not
+    an array is a row with a reason.
+    """
+    rows = F.from_json("payload", "array<array<string>>")
+    fault = F.when(rows.isNull(), F.lit("payload: expected an array of rows"))
+    parsed = _exploded(payloads, rows, fault)
     field = lambda at, kind: money.parse_money(F.get("fields", F.lit(at)), kind)
     return _judge(
-        parsed.where(F.col("fields").isNotNull()).select(
+        parsed.select(
             "*",
             ts.from_epoch_millis(F.get("fields", F.lit(0)).try_cast("bigint")).alias("open_time"),
             field(1, money.PRICE).alias("open"),
@@ -90,19 +103,22 @@ def parse_klines(payloads: DataFrame) -> DataFrame:
 def parse_ohlc(payloads: DataFrame) -> DataFrame:
     """OHLC envelopes to bars plus ``reason``.
 
-    The series is the first result entry not called ``last``.  Times are epoch
-    seconds, field 5 is the volume-weighted price and 6 the volume; turnover is
-    their product, rounded at the scale of the notional type.
+    The series is the first result entry not called ``last``; without one there
+    are no bars.  Times are epoch seconds, field 5 is the volume-weighted price
+    and 6 the volume; turnover is their product, rounded at the scale of the
+    notional type.  A refusal or an outage inside the envelope is a row whose
+    reason names it.
     """
     envelope = F.from_json("payload", "struct<error: array<string>, result: map<string,string>>")
-    series = F.map_values(F.map_filter("body.result", lambda key, _: key != "last"))
-    parsed = payloads.select("*", envelope.alias("body")).select(
-        "venue",
-        "symbol",
-        "timeframe",
-        "observed_at",
-        F.explode(F.from_json(F.get(series, F.lit(0)), "array<array<string>>")).alias("fields"),
+    series = F.get(
+        F.map_values(F.map_filter(envelope["result"], lambda key, _: key != "last")), F.lit(0)
+    )
+    rows = F.from_json(F.coalesce(series, F.lit("[]")), "array<array<string>>")
+    outcome = envelope_outcome(F.col("payload"))
+    fault = F.when(outcome != "ok", F.concat(F.lit("envelope: "), outcome)).when(
+        rows.isNull(), F.lit("result: expected an array of rows")
     )
+    parsed = _exploded(payloads, rows, fault)
     field = lambda at, kind: money.parse_money(F.get("fields", F.lit(at)), kind)
     turnover = field(5, "decimal(18,10)") * field(6, "decimal(20,8)")
     return _judge(
@@ -125,7 +141,12 @@ def good_bars(parsed: DataFrame) -> DataFrame:
 
 def quarantine(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("reason").isNotNull()).select(
-        "venue", "symbol", "timeframe", "observed_at", "reason", F.to_json("fields").alias("raw")
+        "venue",
+        "symbol",
+        "timeframe",
+        "observed_at",
+        "reason",
+        F.coalesce(F.to_json("fields"), F.col("faulty")).alias("raw"),
     )
 
 

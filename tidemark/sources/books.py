@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import money
+from tidemark.sources.bars import for_instruments
 
 _TICKERS = "array<struct<symbol: string, bidPrice: string, askPrice: string>>"
 _LEVELS = """struct<
@@ -15,11 +16,9 @@ _LEVELS = """struct<
 
 def ticker_spreads(payloads: DataFrame, wanted: DataFrame) -> DataFrame:
     """Arrays of best bid and ask, restricted to the wanted symbols."""
-    books = payloads.select(
-        "venue", "as_of", F.inline(F.from_json("payload", _TICKERS))
-    ).join(wanted.select("venue", "symbol").distinct(), ["venue", "symbol"], "left_semi")
+    books = payloads.select("venue", "as_of", F.inline(_readable(_TICKERS)))
     return _spreads(
-        books.select(
+        for_instruments(books, wanted).select(
             "venue",
             "symbol",
             "as_of",
@@ -35,7 +34,7 @@ def level_spreads(payloads: DataFrame, metadata: DataFrame) -> DataFrame:
     A canonical name the metadata does not know keeps its own name.
     """
     books = payloads.select(
-        "venue", "as_of", F.explode(F.from_json("payload", _LEVELS)["result"])
+        "venue", "as_of", F.explode(_readable(_LEVELS, "result"))
     ).select(
         "venue",
         F.col("key").alias("canonical"),
@@ -50,6 +49,14 @@ def level_spreads(payloads: DataFrame, metadata: DataFrame) -> DataFrame:
     return _spreads(named.select("venue", "symbol", "as_of", "bid", "ask"))
 
 
+def _readable(schema: str, field: str | None = None) -> Column:
+    """The parsed page; a page without the expected content fails the job."""
+    parsed = F.from_json("payload", schema)
+    content = parsed if field is None else parsed[field]
+    complaint = F.concat(F.lit("unreadable book page: "), F.substring("payload", 1, 200))
+    return F.coalesce(content, F.raise_error(complaint))
+
+
 def _spreads(books: DataFrame) -> DataFrame:
     return books.select(
         "venue", "symbol", "as_of", money.spread_bps(F.col("bid"), F.col("ask")).alias("spread_bps")

@@ -37,7 +37,13 @@ def load(spark: SparkSession, venue: str, root: str, series_per_line: bool = Fal
         raise FileNotFoundError(f"{root}: neither {' nor '.join(METADATA_FILES)}")
     described = (
         spark.read.text(f"{root}/{found}", wholetext=True)
-        .select(F.explode(F.from_json("value", _METADATA)))
+        .select(
+            F.explode(
+                F.coalesce(
+                    F.from_json("value", _METADATA), F.raise_error(F.lit(f"{root}/{found}: not readable"))
+                )
+            )
+        )
         .select(
             F.lit(venue).alias("venue"),
             F.col("key").alias("symbol"),
@@ -58,7 +64,7 @@ def load(spark: SparkSession, venue: str, root: str, series_per_line: bool = Fal
 def _series(spark: SparkSession, venue: str, root: str, per_line: bool) -> DataFrame:
     schema = "symbol string, timeframe string, rows array<array<string>>"
     if _exists(spark, f"{root}/bars"):
-        reader = spark.read.schema(schema).option("multiLine", not per_line)
+        reader = spark.read.schema(schema).options(multiLine=not per_line, mode="FAILFAST")
         documents = reader.json(f"{root}/bars")
     else:
         documents = spark.createDataFrame([], schema)

@@ -54,12 +54,13 @@ def parse_symbols(payloads: DataFrame) -> DataFrame:
 
     Halted symbols are kept: the venue describing them is the evidence that they
     existed.  A symbol that states no minimum order value has none, which is
-    zero; a symbol without a tick or lot size is malformed.
+    zero; a symbol without a tick or lot size is malformed.  Pages that cannot be
+    read leave one row with a reason per venue.
     """
     exploded = payloads.select(
         "venue",
         "page",
-        F.posexplode(F.from_json("payload", _SYMBOL)["symbols"]).alias("at", "s"),
+        F.posexplode_outer(F.from_json("payload", _SYMBOL)["symbols"]).alias("at", "s"),
     )
     parsed = exploded.select(
         "venue",
@@ -87,7 +88,8 @@ def parse_symbols(payloads: DataFrame) -> DataFrame:
         money.parse_money(F.col("tick_text"), money.PRICE).alias("tick_size"),
         money.parse_money(F.col("lot_text"), money.QUANTITY).alias("lot_size"),
         money.parse_money(F.col("notional_text"), money.NOTIONAL).alias("min_notional"),
-        F.when(F.col("tick_text").isNull(), F.lit("missing PRICE_FILTER.tickSize"))
+        F.when(F.col("symbol").isNull(), F.lit("page or symbol: not as described"))
+        .when(F.col("tick_text").isNull(), F.lit("missing PRICE_FILTER.tickSize"))
         .when(F.col("lot_text").isNull(), F.lit("missing LOT_SIZE.stepSize"))
         .alias("reason"),
     )
@@ -102,11 +104,13 @@ def parse_pairs(payloads: DataFrame) -> DataFrame:
     exploded = payloads.select(
         "venue",
         "page",
-        F.posexplode(F.map_entries(F.from_json("payload", _PAIRS)["result"])).alias("at", "pair"),
+        F.posexplode_outer(F.map_entries(F.from_json("payload", _PAIRS)["result"])).alias(
+            "at", "pair"
+        ),
     )
     legs = F.split(F.col("pair.value.wsname"), "/")
     lot = money.power_of_ten(F.col("pair.value.lot_decimals"))
-    parsed = exploded.where(F.size(legs) == 2).select(
+    parsed = exploded.where(F.col("pair").isNull() | (F.size(legs) == 2)).select(
         "venue",
         F.col("pair.value.altname").alias("symbol"),
         F.struct("page", "at").alias("position"),
@@ -120,7 +124,8 @@ def parse_pairs(payloads: DataFrame) -> DataFrame:
     )
     return _last_wins(parsed).withColumn(
         "reason",
-        F.when(F.col("tick_size").isNull(), F.lit("tick_size: expected a decimal"))
+        F.when(F.col("symbol").isNull(), F.lit("page or altname: not as described"))
+        .when(F.col("tick_size").isNull(), F.lit("tick_size: expected a decimal"))
         .when(F.col("lot_size").isNull(), F.lit("lot_decimals: expected 0 to 8"))
         .when(F.col("min_notional").isNull(), F.lit("costmin: expected a decimal")),
     )

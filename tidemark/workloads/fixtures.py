@@ -16,6 +16,7 @@ from tidemark.functions import instants as ts
 from tidemark.functions import money
 from tidemark.parameters import Thresholds, VenueProfile, profile_table
 from tidemark.plans.universe import Market
+from tidemark.session import staging_path
 from tidemark.sources import bars as bar_source
 from tidemark.sources import envelopes
 
@@ -88,6 +89,13 @@ def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def staged_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily bars in a written table, for queries that read them repeatedly."""
+    path = staging_path(spark, "bars")
+    daily_bars(spark, sf_dir).write.parquet(path)
+    return spark.read.schema(bar_source.BAR_SCHEMA).parquet(path)
+
+
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per brand, with its current trading constraints."""
     n = F.col("n")

@@ -36,7 +36,7 @@ def _early_copy(bars):
 def idempotent_write(spark, sf_dir):
     """Final copies twice, then early ones on top: the final ones stay."""
     store = bar_sink.BarStore(spark, staging_path(spark, "store"))
-    final = fx.daily_bars(spark, sf_dir)
+    final = fx.staged_bars(spark, sf_dir)
     for batch in (final, final, _early_copy(final)):
         store.write(batch)
     return _bar_rows(store.table())
@@ -95,7 +95,7 @@ def incremental_ingest(spark, sf_dir):
     must not replace it.
     """
     root = staging_path(spark, "ingest")
-    final = fx.daily_bars(spark, sf_dir)
+    final = fx.staged_bars(spark, sf_dir)
     store = bar_sink.BarStore(spark, f"{root}/store")
     early_years = F.col("open_time") < F.to_timestamp(F.lit("1999-01-01"))
 

@@ -216,7 +216,7 @@ def trailing_window(spark, sf_dir):
 )
 def ordered_history(spark, sf_dir):
     """Duplicates are removed first: every bar is given twice, the older copy wrong."""
-    good = fx.daily_bars(spark, sf_dir)
+    good = fx.staged_bars(spark, sf_dir)
     stale = good.withColumn("close", F.lit(0).cast("decimal(20,10)")).withColumn(
         "observed_at", F.col("observed_at") - ts.days(1)
     )
