@@ -382,3 +382,18 @@ def test_last_close_survives_months_without_bars(spark):
     assert row["close_as_of"] == Decimal(42)
     assert row["v_lot_size_feasible"] == fv.ADMIT
     assert row["v_median_quote_volume"] == fv.NOT_EVALUABLE
+
+
+def test_a_bar_still_forming_is_not_consumed(spark):
+    from tidemark.plans.universe import Market
+
+    found = sm.market(spark, sm.history("AAA", days=300) + TODAY, ["AAA"])
+    forming = sm.bars(spark, [("AAA", dt.datetime(2024, 6, 20), "9", "999999999")])
+    hourly = sm.bars(spark, [("AAA", dt.datetime(2024, 5, 20, 7), "9", "999999999")])
+    noisy = found.bars.unionByName(forming.withColumn("is_closed", F.lit(False))).unionByName(
+        hourly.withColumn("timeframe", F.lit("1h"))
+    )
+    again = Market.of(noisy, found.metadata, found.spreads, found.profiles, found.thresholds)
+    rows = lambda market: sorted(map(str, market.monthly().collect()))
+    assert rows(found) == rows(again)
+    assert again.windows.first()["observed_to"] == found.windows.first()["observed_to"]

@@ -16,7 +16,7 @@ from tidemark.session import small, staging_path
 
 @dataclass(frozen=True)
 class Market:
-    """The inputs of a run.  ``bars`` are closed daily bars, unique per key.
+    """The inputs of a run.  ``bars`` are unique per key; closed daily ones are used.
 
     ``facts`` holds one row per instrument and refresh.  Everything after it is
     small next to the bars, and several parts of a plan read it, so a job over
@@ -37,6 +37,8 @@ class Market:
         require_exact(bars, "close", "quote_volume")
         require_exact(metadata, "lot_size", "min_notional")
         require_exact(spreads, "spread_bps")
+        # A bar that is still forming is not knowable yet, whatever it says.
+        bars = bars.where("timeframe = '1d' AND is_closed")
         facts = history.refresh_facts(bars, thresholds.lookback_days)
         extents = history.extents_of_facts(facts)
         return cls(bars, metadata, spreads, tuple(profiles), thresholds, facts, extents)

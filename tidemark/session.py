@@ -82,6 +82,11 @@ def lookup(facts: DataFrame, reference: DataFrame, keys: list[str], how: str = "
     return facts.join(small(reference, counted), keys, how)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+
+
 def staging_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder all executors share.
 

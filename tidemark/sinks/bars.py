@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import money
 from tidemark.sources import bars as bar_source
-from tidemark.session import staging_path
+from tidemark.session import path_exists, staging_path
 
 PARTITION = ("venue", "timeframe", "month")
 
@@ -26,9 +26,7 @@ class BarStore:
     path: str
 
     def exists(self) -> bool:
-        hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        system = hadoop_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return system.exists(hadoop_path)
+        return path_exists(self.spark, self.path)
 
     def table(self) -> DataFrame:
         # A declared schema: left to inference, the partition value 1d is a number.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import instants as ts
 from tidemark.functions import money
+from tidemark.session import path_exists
 
 METADATA_FILES = ("symbol_metadata.json", "pair_metadata.json")
 SPREAD_FILE = "spread_snapshot.json"
@@ -32,7 +33,7 @@ def load(spark: SparkSession, venue: str, root: str, series_per_line: bool = Fal
     Two metadata names are accepted.  A venue without a snapshot has an empty
     spread table, and a venue without metadata is an error, not an empty venue.
     """
-    found = next((name for name in METADATA_FILES if _exists(spark, f"{root}/{name}")), None)
+    found = next((name for name in METADATA_FILES if path_exists(spark, f"{root}/{name}")), None)
     if found is None:
         raise FileNotFoundError(f"{root}: neither {' nor '.join(METADATA_FILES)}")
     described = (
@@ -63,7 +64,7 @@ def load(spark: SparkSession, venue: str, root: str, series_per_line: bool = Fal
 
 def _series(spark: SparkSession, venue: str, root: str, per_line: bool) -> DataFrame:
     schema = "symbol string, timeframe string, rows array<array<string>>"
-    if _exists(spark, f"{root}/bars"):
+    if path_exists(spark, f"{root}/bars"):
         reader = spark.read.schema(schema).options(multiLine=not per_line, mode="FAILFAST")
         documents = reader.json(f"{root}/bars")
     else:
@@ -83,7 +84,7 @@ def _series(spark: SparkSession, venue: str, root: str, per_line: bool) -> DataF
 
 
 def _snapshot(spark: SparkSession, venue: str, root: str) -> DataFrame:
-    if not _exists(spark, f"{root}/{SPREAD_FILE}"):
+    if not path_exists(spark, f"{root}/{SPREAD_FILE}"):
         return spark.createDataFrame(
             [], f"venue string, symbol string, spread_bps {money.BPS}, observed_at timestamp"
         )
@@ -98,8 +99,3 @@ def _snapshot(spark: SparkSession, venue: str, root: str) -> DataFrame:
             F.try_to_timestamp("observed").alias("observed_at"),
         )
     )
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,11 +47,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_schemas[path]).parquet(path)
 
 
-def brand_number() -> F.Column:
+def brand_number() -> Column:
     return F.substring("p_brand", 7, 10).try_cast("int")
 
 
-def venue_of_brand() -> F.Column:
+def venue_of_brand() -> Column:
     return F.when(F.col("n") <= 15, F.lit("alpha")).otherwise(F.lit("beta"))
 
 

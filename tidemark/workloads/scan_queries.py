@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.fixed_values import TIMEFRAME_SECONDS
@@ -18,7 +19,7 @@ from tidemark.workloads.registry import query
 _ISO = "'%Y-%m-%dT%H:%M:%S'"
 
 
-def _moment(text: str) -> F.Column:
+def _moment(text: str) -> Column:
     return F.to_timestamp(F.lit(text))
 
 
