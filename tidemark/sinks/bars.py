@@ -12,6 +12,7 @@ from tidemark.sources import bars as bar_source
 from tidemark.session import path_exists, staging_path
 
 PARTITION = ("venue", "timeframe", "month")
+ROWS_PER_FILE = 2_000_000
 
 
 def with_month(bars: DataFrame) -> DataFrame:
@@ -61,18 +62,29 @@ class BarStore:
             touched = table.select(*PARTITION).distinct()
             kept = self.table().join(touched, list(PARTITION), "left_semi")
             table = self._staged(table.unionByName(kept.select(*table.columns)).drop("month"))
-        rows = table.count()
+        size = (
+            table.groupBy(*PARTITION)
+            .agg(F.count("*").alias("bars"))
+            .agg(F.coalesce(F.sum("bars"), F.lit(0)).alias("rows"), F.count("*").alias("parts"))
+            .first()
+        )
         # Ranges over (partition, symbol, time) cut a crowded venue-month into
-        # several files instead of sending it to one task.
+        # several files instead of sending it to one task.  There are as many as
+        # the rows need, or enough to write the touched partitions side by side.
+        ranges = max(
+            -(-size["rows"] // ROWS_PER_FILE),
+            min(self.spark.sparkContext.defaultParallelism, size["parts"]),
+            1,
+        )
         (
-            table.repartitionByRange(*PARTITION, "symbol", "open_time")
+            table.repartitionByRange(ranges, *PARTITION, "symbol", "open_time")
             .sortWithinPartitions(*PARTITION, "symbol", "open_time")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(*PARTITION)
             .parquet(self.path)
         )
-        return rows
+        return size["rows"]
 
     def _staged(self, bars: DataFrame) -> DataFrame:
         path = staging_path(self.spark, "bars")
