@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing
+from tidemark.llm import mixing, quality
 from tidemark.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,13 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), weights=(5, 2, 1), most=3.0)
 
 
+def op8_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail chances of every document; the model learns from ``labels``."""
+    docs = documents(spark, sf_dir)
+    model = quality.fit(docs, quality.ratings_of(documents(spark, sf_dir, "labels")), n_grades=3)
+    return quality.graded(docs, model)
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
 
