@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, quality
+from tidemark.llm import mixing, quality, suffixes
 from tidemark.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,9 +24,33 @@ def op8_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.graded(docs, model)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that a document of smaller id has too, 50 in a row."""
+    return suffixes.deduplicated(documents(spark, sf_dir), window=50, with_kept=False).drop("kept")
+
+
+OP10_SQL = """
+WITH d AS (SELECT doc_id, coalesce(hex(encode(text)), '') AS h FROM documents),
+starts AS (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS s FROM d),
+w AS (SELECT doc_id, s, substr(h, 2 * s + 1, 100) AS k FROM starts),
+f AS (SELECT k, min(doc_id) AS first_doc FROM w GROUP BY k),
+r AS (SELECT w.doc_id, w.s FROM w JOIN f USING (k) WHERE f.first_doc < w.doc_id),
+g AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50 THEN 0 ELSE 1 END AS fresh FROM r),
+i AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM g),
+spans AS (SELECT doc_id, span, min(s) AS a, max(s) + 50 AS b FROM i GROUP BY doc_id, span),
+gaps AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+k AS (SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head,
+        max(b) AS last_b, sum(b - a) AS gone, count(*) AS n
+      FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last_b, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_suffix_dedup": OP10_SQL}
