@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, quality, suffixes
+from tidemark.llm import fm_index, mixing, quality, suffixes
 from tidemark.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,9 +48,29 @@ FROM d LEFT JOIN k USING (doc_id)
 """
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document outside all 35-word stretches that occur again anywhere."""
+    return fm_index.deduplicated(documents(spark, sf_dir), window=35, with_kept=False).drop("kept")
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 33, 1))) AS i FROM d),
+k AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS stretch FROM s),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY stretch) AS c FROM k) WHERE c > 1),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d),
+marked AS (SELECT words.doc_id, word, j, coalesce(j - r.i <= 34, false) AS gone
+           FROM words ASOF LEFT JOIN r ON words.doc_id = r.doc_id AND words.j >= r.i),
+kept AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (WHERE NOT gone) AS rest
+         FROM marked GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_suffix_dedup": OP10_SQL}
+    return {"op6_substring_dedup": OP6_SQL, "op10_suffix_dedup": OP10_SQL}

@@ -45,6 +45,10 @@ class Texts:
     data: np.ndarray
     begins: np.ndarray  # of each symbol in data
     ends: np.ndarray
+    bounds: np.ndarray  # of each document in data
+
+    def text(self, number: int) -> str:
+        return self.data[self.bounds[number] : self.bounds[number + 1]].tobytes().decode()
 
 
 @dataclass(frozen=True)
@@ -63,33 +67,42 @@ class Search:
         data, offsets = blocks.flat(texts)
         if self.by_word:
             starts, ends, first = blocks.words(data, offsets)
-            return Texts(blocks.word_hashes(data, starts, ends, fold=False), first, data, starts, ends)
+            return Texts(blocks.word_hashes(data, starts, ends, fold=False), first, data, starts, ends, offsets)
         places = np.arange(len(data))
-        return Texts(blocks.BYTE_VALUE[data], offsets, data, places, places + 1)
+        return Texts(blocks.BYTE_VALUE[data], offsets, data, places, places + 1, offsets)
 
 
 @dataclass(frozen=True)
 class Runs:
-    """Windows in a row with one anchor: first window, one past the last, anchor."""
+    """Windows in a row with one anchor: first window, one past the last, anchor, and
+    whether some window holds the anchor's piece twice (not told where ``earlier``)."""
 
     first: np.ndarray
     last: np.ndarray
     anchor: np.ndarray
+    twice: np.ndarray
+
+
+def _least(values: np.ndarray, reach: int) -> np.ndarray:
+    """The least of every ``reach`` values in a row."""
+    span = 1
+    while span * 2 <= reach:
+        values = np.minimum(values[:-span], values[span:])
+        span *= 2
+    if reach > span:
+        values = np.minimum(values[: len(values) - (reach - span)], values[reach - span :])
+    return values
 
 
 def runs(search: Search, texts: Texts) -> Runs:
     none = np.zeros(0, np.int64)
     grams = blocks.Rolling(texts.symbols).windows(search.gram)
-    span, reach = 1, search.window - search.gram + 1
+    reach = search.window - search.gram + 1
     if len(grams) < reach:
-        return Runs(none, none, none.astype(_U))
+        return Runs(none, none, none.astype(_U), none.astype(bool))
     # The low bits tell equal grams at different places apart.
-    least = (grams & ~_U(63)) | (np.arange(len(grams)) & 63).astype(_U)
-    while span * 2 <= reach:
-        least = np.minimum(least[:-span], least[span:])
-        span *= 2
-    if reach > span:
-        least = np.minimum(least[: len(least) - (reach - span)], least[reach - span :])
+    place, high = (np.arange(len(grams)) & 63).astype(_U), grams & ~_U(63)
+    least = _least(high | place, reach)
     inside = np.ones(len(least) + 1, bool)
     inside[-1] = False
     edges = texts.offsets[1:-1]
@@ -100,7 +113,13 @@ def runs(search: Search, texts: Texts) -> Runs:
     turn[1:-1] = (least[1:] != least[:-1]) | ~inside[:-2]
     first = np.flatnonzero(turn[:-1] & inside[:-1])
     last = np.flatnonzero(inside[:-1] & (turn[1:] | ~inside[1:])) + 1
-    return Runs(first, last, blocks.mixed(least[first] >> _U(6)))
+    twice = np.zeros(len(first), bool)
+    if not search.earlier:
+        # Counting places down, an only piece is found at the same place again.
+        other = _least(high | (_U(63) - place), reach)
+        ties = np.concatenate(([0], np.cumsum((least ^ other) & _U(63) != _U(63))))
+        twice = ties[last] > ties[first]
+    return Runs(first, last, blocks.mixed(least[first] >> _U(6)), twice)
 
 
 def _code(anchor: np.ndarray, shards: int) -> np.ndarray:
@@ -117,22 +136,23 @@ def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 def _ask_anchors(search: Search, shards: int) -> Callable:
     def question(table: pa.Table) -> Iterator[tuple[int, int, bytes]]:
-        codes, owner = [], []
+        codes, owner, twice = [], [], []
         for rows, texts in exchange.opened(table, BLOCK):
             there = search.texts(texts)
             found = runs(search, there)
             codes.append(_code(found.anchor, shards))
+            twice.append(found.twice)
             doc = np.searchsorted(there.offsets, found.first, side="right") - 1
             owner.append(exchange.doc_ids(rows)[doc])
-        codes, owner = np.concatenate(codes), np.concatenate(owner)
+        codes, owner, twice = np.concatenate(codes), np.concatenate(owner), np.concatenate(twice)
         order = np.lexsort((owner, codes)) if search.earlier else np.argsort(codes)
-        codes, owner = codes[order], owner[order]
+        codes, owner, twice = codes[order], owner[order], twice[order]
         starts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))) if len(codes) else np.zeros(0, np.int64)
         counts = np.diff(np.append(starts, len(codes)))
         if search.earlier:
             again = owner[starts] != owner[starts + counts - 1]
         else:
-            again = counts > 1
+            again = (counts > 1) | (np.maximum.reduceat(twice, starts) if len(starts) else False)
         told = (np.minimum(counts, 127) | (again << 7)).astype(np.uint8)
         codes = codes[starts]
         bucket = table.column("_bucket")[0].as_py()
