@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import fm_index, mixing, ngram_join, quality, suffixes
+from tidemark.llm import fm_index, mixing, ngram_join, quality, sketch, suffixes
 from tidemark.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,11 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), weights=(5, 2, 1), most=3.0)
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scaled sketches of every text and of the text with its last quarter replaced."""
+    return sketch.fingerprints(documents(spark, sf_dir))
+
+
 def op8_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade and tail chances of every document; the model learns from ``labels``."""
     docs = documents(spark, sf_dir)
