@@ -27,8 +27,9 @@ from tidemark.llm.tables import parts
 ASKED = "_shard int, _bucket int, _blob binary"
 ANSWERED = "_bucket int, _blob binary"
 
-#: Buckets and shards per shuffle partition: several, so that partitions even out.
-PER_PARTITION = 4
+#: Buckets and shards per shuffle partition: more than one, so that partitions even
+#: out; few, because there is a block for each bucket and shard.
+PER_PARTITION = 2
 
 
 def pieces(docs: DataFrame) -> int:

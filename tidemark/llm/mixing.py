@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import blocks
 from tidemark.llm.tables import written
@@ -189,3 +190,36 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0
         "doc_id", "r.source", "size", "source_size", "target",
         (F.col("size") * (F.coalesce("whole", F.lit(0)) + F.col("extra"))).cast("long").alias("taken"),
     )
+
+
+def repeated(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, seed: int = 17) -> DataFrame:
+    """The rows of ``docs``, columns unchanged, each as often as the mix takes it.
+
+    A document without words is never taken.
+    """
+    schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in docs.schema), T.StructField("_size", T.LongType())])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks.cut(batches):
+            _, _, first = blocks.words(*blocks.flat(block.column("text")))
+            yield pa.RecordBatch.from_arrays([*block.columns, pa.array(np.diff(first), pa.int64())], names=schema.names)
+
+    same = ["doc_id", "source", "_size"]
+    # Rows that share id, source and size share what is taken of them, in order of their texts.
+    choice = (
+        mix(docs, weights, most, seed)
+        .groupBy("doc_id", "source", "size")
+        .agg(F.sum(F.when(F.col("size") > 0, F.expr("taken div size"))).alias("_copies"), F.count("*").alias("_rows"))
+        .where("_copies > 0")
+    )
+    on = F.expr("d.doc_id <=> c.doc_id AND d.source <=> c.source AND d._size = c.size")
+    found = docs.mapInArrow(measure, schema).alias("d").join(choice.alias("c"), on).select("d.*", "_copies", "_rows")
+    several = found.where("_rows > 1").withColumn("_nth", F.row_number().over(Window.partitionBy(*same).orderBy("text")))
+    counted = (
+        found.where("_rows = 1")
+        .withColumn("_nth", F.lit(1))
+        .unionByName(several)
+        .withColumn("_times", F.expr("_copies div _rows + CAST(_nth <= _copies % _rows AS INT)").cast("int"))
+        .where("_times > 0")
+    )
+    return counted.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_times")).alias("_time")).drop("_time")

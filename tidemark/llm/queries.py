@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import fm_index, mixing, ngram_join, quality, sketch, suffixes
+from tidemark.llm import fm_index, mixing, ngram_join, packing, quality, sketch, suffixes
 from tidemark.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,11 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprints(documents(spark, sf_dir))
 
 
+def op7_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in windows of 2048 ids beside their lexical neighbours."""
+    return packing.packed(documents(spark, sf_dir), window=2048)
+
+
 def op8_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade and tail chances of every document; the model learns from ``labels``."""
     docs = documents(spark, sf_dir)

@@ -114,21 +114,30 @@ def _names(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray
 
 
 def doubled(text: np.ndarray) -> np.ndarray:
-    """The suffix array of a string of many letters: ranks of 1, 2, 4, ... letters."""
+    """The suffix array of a string of many letters: ranks of 1, 2, 4, ... letters.
+
+    A rank is the first place of its group, so groups of one are final and only the
+    others are sorted again.
+    """
     n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.uint64)
+    order = np.argsort(text, kind="stable")
+    rank = np.empty(n, np.int64)
+    live, keys = np.arange(n), text[order]
     span = 1
     while True:
-        second = np.zeros(n, np.uint64)
-        second[: max(n - span, 0)] = rank[span:] + np.uint64(1)
-        both = rank * np.uint64(n + 1) + second
-        order = np.argsort(both, kind="stable")
-        fresh = np.ones(n, bool)
-        fresh[1:] = both[order][1:] != both[order][:-1]
-        rank[order] = (np.cumsum(fresh) - 1).astype(np.uint64)
-        span *= 2
-        if fresh.all() or span >= 2 * n:
+        fresh = np.ones(len(live) + 1, bool)
+        fresh[1:-1] = keys[1:] != keys[:-1]
+        starts = np.flatnonzero(fresh[:-1])
+        rank[order[live]] = np.repeat(live[starts], np.diff(np.append(starts, len(live))))
+        live = live[~(fresh[:-1] & fresh[1:])]
+        if not len(live):
             return order
+        items = order[live]
+        after = items + span
+        keys = rank[items] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        by = np.argsort(keys, kind="stable")
+        order[live], keys = items[by], keys[by]
+        span *= 2
 
 
 def suffix_array(text: np.ndarray, letters: int) -> np.ndarray:
@@ -172,6 +181,18 @@ def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     live = np.flatnonzero(left_differs & (before >= 0))
     shared = np.zeros(n, np.int64)
     step = 0
+    if text.dtype == np.uint8:
+        # Eight letters at a time; the end counts as letters that differ.
+        padded = np.concatenate((text, np.zeros(8, np.uint8)))
+        eight = np.ndarray(n, np.uint64, padded.data, strides=(1,))
+        while len(live):
+            off = eight[live + step] ^ eight[before[live] + step]
+            lowest = off & (~off + np.uint64(1))
+            equal = np.where(off == 0, 8, np.bitwise_count(lowest - np.uint64(1)) >> 3)
+            reach = n - step - np.maximum(live, before[live])
+            shared[live] += np.minimum(equal, reach)
+            live = live[(equal == 8) & (reach > 8)]
+            step += 8
     while len(live):
         live = live[(live + step < n) & (before[live] + step < n)]
         equal = text[live + step] == text[before[live] + step]
