@@ -103,12 +103,13 @@ def cut(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = BLO
             begin = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the runs of ``[^\\x20\\x09-\\x0D]`` and each text's first word.
 
-    The third array has one entry per text and a last one for the total.
+    The third array has one entry per text and a last one for the total.  ``gaps``
+    may name other bytes that separate words.
     """
-    solid = ~SPACE[data]
+    solid = ~gaps[data]
     opens, closes = solid.copy(), solid.copy()
     opens[1:] &= ~solid[:-1]
     closes[:-1] &= ~solid[1:]

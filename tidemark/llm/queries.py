@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import fm_index, mixing, ngram_join, packing, quality, sketch, suffixes
+from tidemark.llm import fm_index, licenses, mixing, neighbours, ngram_join, packing, quality, sketch, suffixes
 from tidemark.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,16 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), weights=(5, 2, 1), most=3.0)
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth vector, by cosine."""
+    return neighbours.nearest(documents(spark, sf_dir, "embeddings"), queries="vec_id % 50 = 0", k=5)
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents with coverage and span."""
+    return licenses.scanned(documents(spark, sf_dir))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scaled sketches of every text and of the text with its last quarter replaced."""
     return sketch.fingerprints(documents(spark, sf_dir))
