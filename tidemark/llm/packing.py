@@ -37,13 +37,19 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Ids of whole texts, word by word: this tokenizer never joins across white space."""
+    """Ids of whole texts, word by word: the tokenizers used never join across white space.
 
-    def __init__(self, path: str):
+    ``lead`` goes before every word, ``end`` is the id after every text, and ``fold``
+    makes A-Z small.
+    """
+
+    def __init__(self, path: str, end: int = END_ID, lead: str = "", fold: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.end, self.lead, self.fold = Tokenizer.from_file(path), end, lead, fold
+        if fold:
+            self.tokenizer.encode_special_tokens = True
         self._forget()
 
     def _forget(self) -> None:
@@ -52,8 +58,15 @@ class Encoder:
         self.starts, self.sizes, self.total = [], [], 0
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, each with END_ID after it, and where each begins."""
+        """The ids of all texts, each with the end id after it, and where each begins."""
+        ids, begins, _ = self.tokens(texts)
+        return ids, begins
+
+    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Like ``encode``, and where the ids of each word begin."""
         data, offsets = blocks.flat(texts)
+        if self.fold:
+            data = blocks.FOLD[data]
         starts, ends, first = blocks.words(data, offsets)
         hashes, where, number = np.unique(blocks.word_hashes(data, starts, ends, fold=False), return_index=True, return_inverse=True)
         if len(self.known) > REMEMBERED:
@@ -63,7 +76,7 @@ class Encoder:
         if new:
             whole = data.tobytes()
             at = where[new]
-            strings = [whole[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            strings = [self.lead + whole[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
             for begin in range(0, len(strings), 20_000):
                 some = [e.ids for e in self.tokenizer.encode_batch(strings[begin : begin + 20_000], add_special_tokens=False)]
                 self.ids.append(np.array([i for ids in some for i in ids], np.uint16))
@@ -79,19 +92,22 @@ class Encoder:
         laid = np.concatenate(([0], np.cumsum(size)))
         # Every text's ids are followed by the end id.
         begins = laid[first] + np.arange(len(first))
-        out = np.full(int(laid[-1]) + len(texts), END_ID, np.uint16)
+        out = np.full(int(laid[-1]) + len(texts), self.end, np.uint16)
         doc = np.repeat(np.arange(len(texts)), np.diff(first))
-        out[blocks.spread(laid[:-1] + doc, size)] = every[blocks.spread(begin, size)]
-        return out, begins
+        places = laid[:-1] + doc
+        out[blocks.spread(places, size)] = every[blocks.spread(begin, size)]
+        return out, begins, places
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple, Encoder] = {}
 
 
-def _encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, **settings) -> Encoder:
+    """One per worker and setting, so that words are remembered from task to task."""
+    key = (path, *sorted(settings.items()))
+    if key not in _encoders:
+        _encoders[key] = Encoder(path, **settings)
+    return _encoders[key]
 
 
 def _distinct(ids: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,11 +235,11 @@ def packed(docs: DataFrame, window: int = 2048, tokenizer: str | None = None) ->
     spark, shards = docs.sparkSession, exchange.pieces(docs)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, press, names = _encoder(path), zstandard.ZstdCompressor(level=1), ["shard", "doc_id", "n", "z", "df", "n_docs"]
-        vocabulary = encoder.tokenizer.get_vocab_size()
+        coder, press, names = encoder(path), zstandard.ZstdCompressor(level=1), ["shard", "doc_id", "n", "z", "df", "n_docs"]
+        vocabulary = coder.tokenizer.get_vocab_size()
         frequency, n_docs = np.zeros(vocabulary, np.int64), 0
         for block in blocks.cut(batches):
-            ids, begins = encoder.encode(block.column("text"))
+            ids, begins = coder.encode(block.column("text"))
             frequency += np.bincount((_distinct(ids, begins)[0] & np.uint64(0xFFFF)).astype(np.int64), minlength=vocabulary)
             n_docs += block.num_rows
             raw, cuts = ids.tobytes(), (begins * 2).tolist()

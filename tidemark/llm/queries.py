@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import fm_index, licenses, mixing, neighbours, ngram_join, packing, quality, sketch, suffixes
+from tidemark.llm import fm_index, language_model, licenses, mixing, neighbours, ngram_join, packing, quality, sketch, suffixes
 from tidemark.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,11 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(documents(spark, sf_dir))
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every text under word counts and under the attention model."""
+    return language_model.scored(documents(spark, sf_dir))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scaled sketches of every text and of the text with its last quarter replaced."""
     return sketch.fingerprints(documents(spark, sf_dir))
