@@ -22,6 +22,11 @@ from tidemark.llm import repeats
 MANY_LETTERS = 512
 
 
+def _places(n: int) -> type:
+    """The smallest type that holds every place of a text of n letters."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
 def _types(text: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than its right neighbour's; the last one is."""
     n = len(text)
@@ -29,7 +34,7 @@ def _types(text: np.ndarray) -> np.ndarray:
     differs[:-1] = text[:-1] != text[1:]
     smaller = np.ones(n, bool)
     smaller[:-1] = text[:-1] < text[1:]
-    at = np.where(differs, np.arange(n), n - 1)
+    at = np.where(differs, np.arange(n, dtype=_places(n)), n - 1)
     return smaller[np.minimum.accumulate(at[::-1])[::-1]]
 
 
@@ -37,7 +42,7 @@ def _induced(text: np.ndarray, small: np.ndarray, lms: np.ndarray, sizes: np.nda
     """The suffix array that follows when ``lms`` is placed at the bucket ends in this order."""
     n, letters = len(text), len(sizes)
     starts = np.cumsum(sizes) - sizes
-    order = np.full(n, -1, np.int64)
+    order = np.full(n, -1, _places(n))
     head, tail = starts.copy(), starts + sizes
 
     def grouped(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,14 +177,13 @@ def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     the left agree, the value is one less than that of the place to the left.
     """
     n = len(text)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, _places(n))
     before[order[1:]] = order[:-1]
     left_differs = np.ones(n, bool)
-    inner = (np.arange(n) > 0) & (before > 0)
-    at = np.flatnonzero(inner)
+    at = np.flatnonzero(before[1:] > 0) + 1
     left_differs[at] = text[at - 1] != text[before[at] - 1]
     live = np.flatnonzero(left_differs & (before >= 0))
-    shared = np.zeros(n, np.int64)
+    shared = np.zeros(n, _places(n))
     step = 0
     if text.dtype == np.uint8:
         # Eight letters at a time; the end counts as letters that differ.
@@ -199,7 +203,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
         live = live[equal]
         shared[live] += 1
         step += 1
-    place = np.arange(n)
+    place = np.arange(n, dtype=_places(n))
     known = np.where(left_differs, shared + place, 0)
     return np.maximum(np.maximum.accumulate(known) - place, 0)
 
