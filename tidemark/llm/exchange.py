@@ -27,12 +27,13 @@ from tidemark.llm.tables import parts
 ASKED = "_shard int, _bucket int, _blob binary"
 ANSWERED = "_bucket int, _blob binary"
 
-#: Buckets and shards per shuffle partition: more than one, so that partitions even
-#: out; few, because there is a block for each bucket and shard.
+#: Shards per shuffle partition; there is one bucket.  Few, because there is a block
+#: for each bucket and shard, and a shard's index has to fit a task.
 PER_PARTITION = 2
 
 
 def pieces(docs: DataFrame) -> int:
+    """The number of shards."""
     return PER_PARTITION * parts(docs.sparkSession)
 
 
@@ -55,7 +56,7 @@ def bucketed(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
             columns = [*batch.columns[:-1], pa.array(packed, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    bucket = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(pieces(docs))).cast("int")
+    bucket = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(parts(docs.sparkSession))).cast("int")
     return docs.select(bucket.alias("_bucket"), *carry, F.col("text").alias("_text")).mapInArrow(squeeze, schema)
 
 
