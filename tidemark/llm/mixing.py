@@ -71,19 +71,21 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...], most: float
     return target
 
 
-def fitted(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+def fitted(lengths: np.ndarray, counts: np.ndarray, budget: int, copies: int = 1) -> np.ndarray:
     """How many documents of each length to take so that their sum comes near ``budget``.
 
-    Never above it; the even shares leave at most one document of each length,
-    which is topped up from the long lengths until the rest is small, and the
-    rest is fitted exactly by a bounded-knapsack table of reachable sums.
+    The even shares leave at most one document of each length, which is topped up
+    from the long lengths until the rest is small, and the rest is fitted by a
+    bounded-knapsack table of reachable sums, in which every document may come up to
+    ``copies`` times.  One more document is taken if that comes nearer.
     """
     total = int((lengths * counts).sum())
     taken = np.zeros(len(lengths), np.int64)
     if not total or budget <= 0:
         return taken
-    if budget >= total:
-        return counts.astype(np.int64)
+    room = counts.astype(np.int64) * copies
+    if budget >= total * copies:
+        return room
     # Integer shares: the fraction is kept as a ratio of exact numbers.
     taken = np.array([int(c) * budget // total for c in counts], np.int64)
     left = budget - int((lengths * taken).sum())
@@ -91,33 +93,36 @@ def fitted(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     for i in longest_first:
         if left <= FITTED_BUDGET:
             break
-        more = min(int(counts[i] - taken[i]), (left - FITTED_BUDGET // 2) // int(lengths[i]))
+        more = min(int(room[i] - taken[i]), (left - FITTED_BUDGET // 2) // int(lengths[i]))
         if more > 0:
             taken[i] += more
             left -= more * int(lengths[i])
     # Reachable sums; via[s] is the length that first reached s, used[s] how many of it.
-    usable = [i for i in longest_first if 0 < lengths[i] <= left and counts[i] > taken[i]]
+    usable = [i for i in longest_first if 0 < lengths[i] <= left and room[i] > taken[i]]
     via, used = np.full(left + 1, -1, np.int64), np.zeros(left + 1, np.int64)
     reached = np.zeros(left + 1, bool)
     reached[0] = True
     for i in usable:
         if reached[left]:
             break
-        step, room = int(lengths[i]), min(int(counts[i] - taken[i]), left // int(lengths[i]))
-        before, so_far = reached.copy(), reached
-        for copies in range(1, room + 1):
+        step, before = int(lengths[i]), reached.copy()
+        for n in range(1, min(int(room[i] - taken[i]), left // step) + 1):
             moved = np.zeros(left + 1, bool)
-            moved[step * copies :] = before[: left + 1 - step * copies]
-            new = moved & ~so_far
+            moved[step * n :] = before[: left + 1 - step * n]
+            new = moved & ~reached
             if not new.any():
                 break
-            so_far |= new
-            via[new], used[new] = i, copies
+            reached |= new
+            via[new], used[new] = i, n
     at = int(np.flatnonzero(reached)[-1])
+    left -= at
     while at:
         i = int(via[at])
         taken[i] += used[at]
         at -= int(used[at] * lengths[i])
+    above = [i for i in longest_first if left < lengths[i] < 2 * left and room[i] > taken[i]]
+    if above:
+        taken[above[-1]] += 1
     return taken
 
 
@@ -139,13 +144,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0
         lengths, counts = table.column("size").to_numpy(), table.column("n").to_numpy()
         source_size, target = table.column("source_size")[0].as_py(), table.column("target")[0].as_py()
         whole = int(target // source_size) if source_size else 0
-        taken = fitted(lengths, counts, int(round(target - whole * source_size)))
+        taken = fitted(lengths, counts, int(round(target - whole * source_size)), int(most) - whole)
+        # More than one copy of every document of a length is another whole pass over it.
+        passes, picked = whole + taken // counts, taken % counts
         return pa.table(
             {
                 "source": table.column("source"),
                 "size": table.column("size"),
-                "whole": pa.array(np.full(len(lengths), whole), pa.int64()),
-                "picked": pa.array(taken, pa.int64()),
+                "whole": pa.array(passes, pa.int64()),
+                "picked": pa.array(picked, pa.int64()),
             }
         )
 
