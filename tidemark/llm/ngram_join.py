@@ -3,9 +3,11 @@
 The incidence matrix has a row per distinct set and a column per n-gram.  Two sets
 of Jaccard similarity t share at least one of the first n - ceil(t n) + 1 n-grams of
 each, whatever the common order; ordering by document frequency (counted over all
-documents) leaves few columns with more than one row.  Blocks of those columns are
-multiplied, overlap counts of the products are added up, and pairs that the two
-sizes and the last shared place rule out are discarded before sets are compared.
+documents) leaves few columns with more than one row.  Sets that meet in those columns
+form clusters; a cluster is cut into blocks of bounded size, each block of the
+matrix is multiplied with its transpose, which adds up the overlap counts, and pairs
+below the bound that their sizes set are discarded.  A block hands on only as many
+links as it takes to join its components, never all pairs of a group.
 
 Equal sets are one row from the start.  Sets that are near to the same hub (they
 share a least hash) are compared with the hub first; pairs inside a component known
@@ -30,8 +32,10 @@ _U = np.uint64
 _SLOTS = 1 << 40
 #: Least hashes by which sets find a hub.
 STARS = 4
-#: Pairs held at once while a block of columns is multiplied.
-TILE = 1 << 20
+#: Sets of a tile of the matrix; two tiles are multiplied in one task.
+TILE = 1500
+#: Columns with more rows than this are multiplied densely, so many at a time.
+DENSE, COLUMNS = 48, 2048
 
 
 def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,53 +175,65 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.where(fits).select("a", "b", "left_n", "left_grams", "right_n", "right_grams").mapInArrow(compare, "a binary, b binary")
 
 
+def overlaps(row: np.ndarray, gram: np.ndarray, n_rows: int) -> np.ndarray:
+    """The product of a block of the incidence matrix with its transpose, above the diagonal.
+
+    Columns of few rows are multiplied pair by pair, all columns at once; the others
+    are laid out densely, a bounded number of them at a time.
+    """
+    order = np.lexsort((row, gram))
+    row, gram = row[order], gram[order]
+    starts = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1]))) if len(gram) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(gram)))
+    total = np.zeros(n_rows * n_rows, np.float32)
+    rare = np.repeat(sizes <= DENSE, sizes)
+    few, column = row[rare], np.repeat(np.arange(len(sizes)), sizes)[rare]
+    live = np.arange(len(few))
+    for step in range(1, DENSE):
+        live = live[live + step < len(few)]
+        live = live[column[live] == column[live + step]]
+        if not len(live):
+            break
+        total += np.bincount(few[live] * n_rows + few[live + step], minlength=len(total)).astype(np.float32)
+    total = total.reshape(n_rows, n_rows)
+    common = np.flatnonzero(sizes > DENSE)
+    for low in range(0, len(common), COLUMNS):
+        some = common[low : low + COLUMNS]
+        block = np.zeros((n_rows, len(some)), np.float32)
+        block[row[blocks.spread(starts[some], sizes[some])], np.repeat(np.arange(len(some)), sizes[some])] = 1
+        total += block @ block.T
+    return np.triu(total, 1)
+
+
 def _product(percent: int):
-    """Overlap counts of the pairs in a block of columns, by tiles of bounded size."""
+    """Links between components in one block of sets: as many as it takes to join them."""
 
     def multiply(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("gram", "ascending"), ("n", "ascending"), ("key", "ascending")])
-        keys, number = np.unique(np.array(table.column("key").to_pylist(), dtype=object), return_inverse=True)
-        group = np.unique(np.array(table.column("component").to_pylist(), dtype=object), return_inverse=True)[1]
-        gram, n, at = (table.column(c).to_numpy() for c in ("gram", "n", "place"))
-        column = np.cumsum(np.concatenate(([0], np.diff(gram) != 0)))
-        # Rows of a column ascend by size, so partners of fitting size are the next few.
-        scaled = column * (int(n.max()) * 2 + 2) + n
-        past = np.searchsorted(scaled, column * (int(n.max()) * 2 + 2) + np.minimum(n * 100 // percent, int(n.max())), side="right")
-        span = np.maximum(past - np.arange(len(n)) - 1, 0)
-        cuts = np.searchsorted(np.cumsum(span), np.arange(0, int(span.sum()) + TILE, TILE))
-        found: dict[str, list] = {"a": [], "b": [], "shared": [], "rest": []}
-        low = 0
-        for high in [*np.unique(cuts[1:]).tolist(), len(n)]:
-            high = min(max(high, low), len(n))
-            some = np.arange(low, high)
-            low = high
-            left = np.repeat(some, span[some])
-            if not len(left):
-                continue
-            right = blocks.spread(some + 1, span[some])
-            other = group[left] != group[right]
-            left, right = left[other], right[other]
-            need = -(-percent * (n[left] + n[right]) // (100 + percent))
-            rest = np.minimum(n[left] - at[left], n[right] - at[right]) - 1
-            may = np.minimum(at[left], at[right]) + 1 + rest >= need
-            x, y, rest = number[left[may]], number[right[may]], rest[may]
-            x, y = np.minimum(x, y), np.maximum(x, y)
-            pair = x.astype(np.int64) * len(keys) + y
-            order = np.lexsort((rest, pair))
-            starts = np.flatnonzero(np.concatenate(([True], np.diff(pair[order]) != 0))) if len(pair) else np.zeros(0, np.int64)
-            found["a"].append(x[order][starts])
-            found["b"].append(y[order][starts])
-            found["shared"].append(np.diff(np.append(starts, len(pair))))
-            found["rest"].append(rest[order][starts])
-        whole = {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in found.items()}
-        return pa.table(
-            {
-                "a": pa.array(keys[whole["a"]].tolist(), pa.binary()),
-                "b": pa.array(keys[whole["b"]].tolist(), pa.binary()),
-                "shared": pa.array(whole["shared"], pa.int64()),
-                "rest": pa.array(whole["rest"], pa.int64()),
-            }
-        )
+        found: list[tuple[bytes, bytes]] = []
+        table = table.sort_by([("n", "ascending"), ("key", "ascending")])
+        keys, n = table.column("key").to_pylist(), table.column("n").to_numpy()
+        names, group = np.unique(np.array(table.column("component").to_pylist(), dtype=object), return_inverse=True)
+        if len(names) > 1:
+            lists = [np.frombuffer(g, _U) for g in table.column("grams").to_pylist()]
+            row = np.repeat(np.arange(len(keys)), [len(g) for g in lists])
+            shared = overlaps(row, np.concatenate(lists), len(keys))
+            linked = 100 * shared >= percent * (n[:, None] + n[None, :] - shared)
+            x, y = np.nonzero(np.triu(linked, 1) & (group[:, None] != group[None, :]))
+            _, once = np.unique(np.minimum(group[x], group[y]) * len(names) + np.maximum(group[x], group[y]), return_index=True)
+            root = list(range(len(names)))
+
+            def top(i: int) -> int:
+                while root[i] != i:
+                    root[i] = root[root[i]]
+                    i = root[i]
+                return i
+
+            for i in once.tolist():
+                p, q = top(group[x[i]]), top(group[y[i]])
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    found.append((keys[x[i]], keys[y[i]]))
+        return pa.table([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
     return multiply
 
@@ -245,25 +261,23 @@ def joined(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         .select("key", "n", "component", F.explode("z").alias("z"))
         .select("key", "n", "component", F.col("z.prefix").alias("gram"), F.col("z.place").alias("place"))
     )
-    pieces = exchange.pieces(docs)
-    columns = entries.withColumn("block", F.pmod("gram", F.lit(pieces)).cast("int"))
-    # A column whose rows are all in one component has nothing to multiply.
-    open_columns = columns.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gram")
-    products = (
-        columns.join(open_columns, "gram", "left_semi")
-        .groupBy("block")
-        .applyInArrow(_product(percent), "a binary, b binary, shared long, rest long")
-        .groupBy("a", "b")
-        .agg(F.sum("shared").alias("shared"), F.min("rest").alias("rest"))
+    # Columns with rows of one component only have nothing to multiply.
+    column = entries.groupBy("gram").agg(F.min("key").alias("least"), F.min("component").alias("x"), F.max("component").alias("y"))
+    meeting = entries.join(column.where("x <> y").select("gram", "least"), "gram").select(F.col("key").alias("a"), F.col("least").alias("b"))
+    # Sets that meet in a column, directly or through others, are one cluster of the matrix.
+    cluster = written(components(meeting.distinct()), "ngram-clusters")
+    tiles = cluster.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("t")).select(F.col("component").alias("cluster"), "t")
+    placed = (
+        cluster.select(F.col("node").alias("key"), F.col("component").alias("cluster"))
+        .join(tiles, "cluster")
+        .withColumn("own", F.pmod(F.xxhash64("key"), "t").cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
+        .select("key", "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     )
-    size = sets.select("key", "n")
-    bounded = (
-        products.join(size.withColumnsRenamed({"key": "a", "n": "left_n"}), "a")
-        .join(size.withColumnsRenamed({"key": "b", "n": "right_n"}), "b")
-        .where(F.expr(f"(shared + rest) * {100 + percent} >= {percent} * (left_n + right_n)"))
-        .select("a", "b")
+    member_of = sets.select("key", "n", "grams").alias("s").join(known.alias("k"), F.expr("s.key = k.node"), "left").select("s.*", F.coalesce("component", "key").alias("component"))
+    crossing = written(
+        placed.join(member_of, "key").groupBy("cluster", "i", "j").applyInArrow(_product(percent), "a binary, b binary"), "ngram-links"
     )
-    crossing = written(_linked(bounded, sets, percent), "ngram-links")
     every = known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(crossing.select("a", "b"))
     final = components(every) if not crossing.isEmpty() else known
     member = rows.select("doc_id", "n", "key").alias("r").join(final.alias("f"), F.expr("r.key = f.node"), "left").select(
