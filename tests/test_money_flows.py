@@ -217,3 +217,30 @@ def test_shuffle_settings_follow_the_input():
     small_job, large_job = sized_for(10**9), sized_for(100 * 10**12)
     assert small_job["spark.sql.shuffle.partitions"] == "200"
     assert 100_000 < int(large_job["spark.sql.shuffle.partitions"]) <= 200_000
+
+
+def test_small_costs_are_not_rounded_away(spark):
+    kinds = "notional decimal(24,8), bps decimal(20,10)"
+    rows = [(Decimal("0.00123400"), Decimal(10)), (Decimal(1_000_000), Decimal("0.00004")), (Decimal("-12.5"), Decimal("26"))]
+    frame = spark.createDataFrame(rows, kinds).select(costs.cost_amount(F.col("notional"), F.col("bps")).alias("c"))
+    assert [r["c"] for r in frame.collect()] == [Decimal("0.00000123"), Decimal("0.004"), Decimal("-0.0325")]
+
+
+def test_lots_beyond_eight_decimals_and_far_above_one(spark):
+    from tidemark.operators import rules
+
+    rows = [(Decimal(10**9), Decimal("4E-9")), (Decimal(10**11), Decimal(10)), (Decimal("1E-10"), Decimal(10**9)), (Decimal(0), Decimal(5))]
+    frame = spark.createDataFrame(rows, "lot_size decimal(28,12), close_as_of decimal(20,10)")
+    verdicts = frame.select(rules.lot_size_feasible(Decimal("1.875")).verdict().alias("v")).collect()
+    assert [r["v"] for r in verdicts] == ["reject", "reject", "admit", "admit"]
+
+
+def test_failure_details_stay_whole_and_runs_stay_apart(spark):
+    long = "x" * 500
+    kinds = "venue string, url string, params string, run string, attempt int, outcome string, detail string"
+    rows = [("v", "/u", "p", "r1", 1, "ok", "fine"), ("v", "/u", "p", "r2", 1, "retryable", "busy"), ("v", "/u", "p", "r2", 2, "rejected", long), ("v", "/u", "p", "r2", 3, "retryable", "busy")]
+    finals = journal.final_outcomes(spark.createDataFrame(rows, kinds))
+    found = {r["run"]: (r["final_outcome"], r["detail"]) for r in finals.collect()}
+    assert found == {"r1": ("ok", "fine"), "r2": ("rejected", long)}
+    failures = journal.fetch_failures(finals.withColumn("symbol", F.lit("S"))).collect()
+    assert [r["reason"] for r in failures] == [f"rejected: {long}"]

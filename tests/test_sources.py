@@ -247,13 +247,18 @@ def test_calendar_document_round_trip(spark, tmp_path):
     )
 
 
-def test_calendar_instants_need_an_offset(spark, tmp_path):
-    entry = {"symbol": "A", "listed_at": "2024-01-01T00:00:00", "delisted_at": "2024-02-01T00:00:00+01:00", "provenance": "reconstructed", "metadata_available": True}
-    (tmp_path / "c.json").write_text(json.dumps({"venue": "v", "methodology": "m", "entries": [entry]}, indent=1))
-    row = read_calendar_json(spark, str(tmp_path / "c.json")).first()
-    assert row["listed_at"] is None
-    assert row["delisted_at"] == dt.datetime(2024, 1, 31, 23)
-    assert row["note"] == ""
+@pytest.mark.parametrize(
+    ("field", "value"), [("listed_at", "2024-01-01T00:00:00"), ("listed_at", None), ("delisted_at", "2024-02-01"), ("delisted_at", "never")]
+)
+def test_calendar_instants_need_an_offset(spark, tmp_path, field, value):
+    """An unreadable delisting must never read as "still listed"."""
+    entry = {"symbol": "A", "listed_at": "2024-01-01T00:00:00Z", "delisted_at": "2024-02-01T00:00:00+01:00", "provenance": "reconstructed", "metadata_available": True}
+    (tmp_path / "good.json").write_text(json.dumps({"venue": "v", "methodology": "m", "entries": [entry]}, indent=1))
+    row = read_calendar_json(spark, str(tmp_path / "good.json")).first()
+    assert row["delisted_at"] == dt.datetime(2024, 1, 31, 23) and row["note"] == ""
+    (tmp_path / "bad.json").write_text(json.dumps({"venue": "v", "methodology": "m", "entries": [entry | {field: value}]}, indent=1))
+    with pytest.raises(PySparkException, match=f"v A {field}"):
+        read_calendar_json(spark, str(tmp_path / "bad.json")).collect()
 
 
 def test_unreadable_payloads_are_never_empty_results(spark):
@@ -281,7 +286,7 @@ def test_unreadable_payloads_are_never_empty_results(spark):
     ]
     pages = spark.createDataFrame([("v", 0, "oops")], "venue string, page bigint, payload string")
     assert metadata.parse_symbols(pages).first()["reason"] == "page or symbol: not as described"
-    assert metadata.parse_pairs(pages).first()["reason"] == "page or altname: not as described"
+    assert metadata.parse_pairs(pages).first()["reason"] == "envelope: malformed"
     assert metadata.good_metadata(metadata.parse_symbols(pages)).count() == 0
     book = spark.createDataFrame([("v", dt.datetime(2024, 1, 1), "oops")], "venue string, as_of timestamp, payload string")
     wanted = spark.createDataFrame([("v", "A")], "venue string, symbol string")
@@ -303,3 +308,91 @@ def test_asof_join_shuffles_its_timeline_once(spark):
     found = history.close_as_of(frame, probes)
     found.collect()
     assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def _symbol(name, tick="0.1", lot="1", least=None):
+    filters = [{"filterType": "PRICE_FILTER", "tickSize": tick}, {"filterType": "LOT_SIZE", "stepSize": lot}]
+    return {"symbol": name, "baseAsset": "A", "quoteAsset": "B", "status": "TRADING", "filters": filters + ([{"filterType": "NOTIONAL", "minNotional": least}] if least else [])}
+
+
+def test_junk_numbers_are_no_metadata(spark):
+    symbols = [_symbol("T", tick="abc"), _symbol("L", lot="x"), _symbol("M", least="junk"), _symbol("OK")]
+    pages = spark.createDataFrame([("v", 0, json.dumps({"symbols": symbols}))], "venue string, page bigint, payload string")
+    found = {r["symbol"]: r["reason"] for r in metadata.parse_symbols(pages).collect()}
+    assert found == {
+        "T": "PRICE_FILTER.tickSize: expected a decimal", "L": "LOT_SIZE.stepSize: expected a decimal", "M": "minNotional: expected a decimal", "OK": None,
+    }
+
+
+def test_every_faulty_page_leaves_its_own_row(spark):
+    pages = spark.createDataFrame([("v", n, "oops") for n in range(3)], "venue string, page bigint, payload string")
+    assert metadata.parse_symbols(pages).count() == 3
+    bodies = ['{"error":["EQuery:Unknown"]}', '{"error":["EService:Busy"]}', "oops"]
+    pages = spark.createDataFrame([("v", n, b) for n, b in enumerate(bodies)], "venue string, page bigint, payload string")
+    assert sorted(r["reason"] for r in metadata.parse_pairs(pages).collect()) == ["envelope: malformed", "envelope: rejected", "envelope: unavailable"]
+
+
+def test_lot_decimals_beyond_eight(spark):
+    pair = lambda n: {"altname": f"P{n}", "wsname": "A/B", "status": "online", "tick_size": "0.1", "lot_decimals": n, "costmin": "1"}
+    body = {"error": [], "result": {f"k{n}": pair(n) for n in (10, 0, -2, 40)}}
+    rows = {r["symbol"]: r for r in metadata.parse_pairs(spark.createDataFrame([("v", 0, json.dumps(body))], "venue string, page bigint, payload string")).collect()}
+    assert rows["P10"]["lot_size"] == Decimal("1E-10") and rows["P0"]["lot_size"] == 1 and rows["P-2"]["lot_size"] == 100
+    assert rows["P40"]["reason"] == "lot_decimals: outside what a lot can hold"
+
+
+def test_wide_prices_and_volumes_are_bars(spark):
+    rows = [[1_704_067_200, "200000000", "200000000", "200000000", "200000000", "200000000.5", "3.25", 1], [1_704_153_600, "1", "1", "1", "1", "0.5", "2000000000000.00000001", 1]]
+    parsed = bars.parse_ohlc(page(spark, {"error": [], "result": {"X": rows, "last": 1}}, "2024-01-05 00:00:00"))
+    assert not bars.quarantine(parsed).collect()
+    assert sorted(r["quote_volume"] for r in bars.good_bars(parsed).collect()) == [Decimal("650000001.6250000000000"), Decimal("1000000000000.0000000050000")]
+
+
+@pytest.mark.parametrize("fault", ["metadata", "close", "time", "turnover", "snapshot"])
+def test_broken_venue_files_fail(spark, tmp_path, fault):
+    described = {"X": {"canonical": "X", "base": "A", "quote": "B", "status": "online", "tick_size": "junk" if fault == "metadata" else "0.1", "lot_size": "1", "min_notional": None}}
+    (tmp_path / "pair_metadata.json").write_text(json.dumps(described))
+    row = [str(JAN_1) if fault != "time" else "noon", "1" if fault != "close" else "x", "junk" if fault == "turnover" else ""]
+    (tmp_path / "bars").mkdir()
+    (tmp_path / "bars" / "x.json").write_text(json.dumps({"symbol": "X", "timeframe": "1d", "rows": [row]}))
+    (tmp_path / "spread_snapshot.json").write_text("not json" if fault == "snapshot" else json.dumps({"observed_at": "2024-01-01T00:00:00Z", "bps": {"X": "1"}}))
+    files = datasets.load(spark, "v", str(tmp_path))
+    with pytest.raises(PySparkException, match="not readable"):
+        for frame in (files.metadata, files.bars, files.spreads):
+            frame.collect()
+
+
+def test_responses_have_typed_fields(spark):
+    good = {"action": "long", "strategy": "s", "confidence": 0.5}
+    bodies = [good, good | {"strategy": 5}, good | {"strategy": None}, good | {"rationale": None}, good | {"regime": "ranging"}]
+    frame = spark.createDataFrame([(i, json.dumps(b)) for i, b in enumerate(bodies)], "i int, payload string")
+    found = [r["f"] for r in frame.orderBy("i").select(envelopes.recommendation_fault(F.col("payload")).alias("f")).collect()]
+    assert found == [None, "strategy: expected string", "strategy: expected string", "rationale: expected string", None]
+
+
+def test_a_write_reads_only_the_touched_partitions(spark, tmp_path):
+    store = BarStore(spark, str(tmp_path / "store"))
+    rows = [("v", "A", "1d", dt.datetime(2024, m, 5), *[Decimal(1)] * 6, True, dt.datetime(2024, m, 6)) for m in range(1, 9)]
+    frame = spark.createDataFrame(rows, bars.BAR_SCHEMA)
+    store.write(frame)
+    from tidemark.sinks.bars import with_month
+
+    batch = with_month(frame.where("month(open_time) = 3"))
+    kept = store.touched(batch)
+    assert len(kept.collect()) == 1
+    scan = kept._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    assert scan.metrics().apply("numPartitions").value() == 1
+    assert store.write(frame.where("month(open_time) = 3")) == 1
+    assert store.table().count() == 8
+
+
+def test_staged_copies_are_deleted(spark, tmp_path, monkeypatch):
+    from tidemark.sinks import bars as sink
+
+    staged = []
+    monkeypatch.setattr(sink, "staging_path", lambda _, label: staged.append(str(tmp_path / f"{label}{len(staged)}")) or staged[-1])
+    store = BarStore(spark, str(tmp_path / "store"))
+    rows = [("v", "A", "1d", dt.datetime(2024, 1, 5), *[Decimal(1)] * 6, True, dt.datetime(2024, 1, 6))]
+    frame = spark.createDataFrame(rows, bars.BAR_SCHEMA)
+    store.write(frame)
+    store.write(frame)
+    assert len(staged) == 3 and [p.name for p in tmp_path.iterdir()] == ["store"]

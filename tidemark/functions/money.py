@@ -9,6 +9,8 @@ PRICE = "decimal(20,10)"
 QUANTITY = "decimal(24,8)"
 #: Four digits short of Spark's maximum so that (a + b) / 2 keeps every digit.
 NOTIONAL = "decimal(34,13)"
+#: Lots: venues state up to twelve decimals.  Times a price this is still exact.
+LOT = "decimal(28,12)"
 MEDIAN = "decimal(37,14)"
 BPS = "decimal(20,10)"
 
@@ -40,9 +42,10 @@ def spread_bps(bid: Column, ask: Column) -> Column:
     return F.when(usable, F.try_divide(width, (bid + ask).cast("decimal(21,10)")).cast(BPS))
 
 
-def power_of_ten(exponent: Column, kind: str = QUANTITY) -> Column:
-    """10 to a non-positive integer power, exactly, for 0 to 8 decimal places."""
-    text = F.when(exponent == 0, F.lit("1")).otherwise(
+def power_of_ten(exponent: Column, kind: str = LOT) -> Column:
+    """10 to the power ``-exponent``, exactly; NULL where ``kind`` cannot hold it."""
+    text = F.when(exponent <= 0, F.rpad(F.lit("1"), 1 - exponent, F.lit("0"))).otherwise(
         F.concat(F.lit("0."), F.repeat(F.lit("0"), exponent - 1), F.lit("1"))
     )
-    return F.when(exponent.between(0, 8), text.try_cast(kind))
+    value = text.try_cast(kind)
+    return F.when(value > 0, value)

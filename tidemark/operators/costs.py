@@ -34,9 +34,8 @@ def estimate(trades: DataFrame, model: CostModel) -> DataFrame:
 
 def cost_amount(notional: Column, bps: Column) -> Column:
     """Cost of a trade in quote units, at eight decimal places."""
-    return (notional.cast("decimal(18,2)") * bps.cast("decimal(12,4)") / 10_000).cast(
-        "decimal(28,8)"
-    )
+    fraction = (bps.cast(money.BPS) * F.lit("0.0001").cast("decimal(4,4)")).cast("decimal(13,10)")
+    return (notional.cast(money.QUANTITY) * fraction).cast("decimal(28,8)")
 
 
 def equity_curve(trades: DataFrame) -> DataFrame:

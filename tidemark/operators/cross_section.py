@@ -11,17 +11,12 @@ from tidemark.operators.policy import SLICE
 def rank_and_score(members: DataFrame, value: str) -> DataFrame:
     """Rank and z-score of ``value`` within each slice.
 
-    The mean and deviation are aggregated per slice and joined back, so only the
-    rank needs the slice in order; a slice is at most one venue's instruments.
+    All three come from one shuffle of the members by slice, so what makes the
+    members is computed once; a slice is at most one venue's instruments.
     """
     number = F.col(value).cast("double")
-    moments = members.groupBy(*SLICE).agg(
-        F.avg(number).alias("mean"), F.stddev_samp(number).alias("deviation")
-    )
-    order = Window.partitionBy(*SLICE).orderBy(F.col(value).desc())
-    return (
-        members.withColumn("rank", F.rank().over(order))
-        .join(moments, list(SLICE))
-        .withColumn("z_score", (number - F.col("mean")) / F.nullif(F.col("deviation"), F.lit(0.0)))
-        .drop("mean", "deviation")
+    whole = Window.partitionBy(*SLICE)
+    mean, deviation = F.avg(number).over(whole), F.stddev_samp(number).over(whole)
+    return members.withColumn("rank", F.rank().over(whole.orderBy(F.col(value).desc()))).withColumn(
+        "z_score", (number - mean) / F.nullif(deviation, F.lit(0.0))
     )

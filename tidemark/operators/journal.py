@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.fixed_values import MAX_ATTEMPTS
 
 REQUEST = ("venue", "url", "params")
+#: Further columns that tell requests apart, where a journal has them.
+RUN = ("method", "run")
 
 
 def endpoint_summary(journal: DataFrame) -> DataFrame:
@@ -22,21 +24,23 @@ def endpoint_summary(journal: DataFrame) -> DataFrame:
 def final_outcomes(journal: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """One row per logical request: ok, rejected, unavailable or pending.
 
-    A success or a refusal on any attempt decides; a request whose attempts were
-    all used up without either is unavailable.
+    A success or a refusal on any attempt decides and gives the detail; a request
+    whose attempts were all used up without either is unavailable.  The same
+    request of two runs is two requests: ``run`` names the run, if there is one.
     """
+    keys = [*REQUEST, *(name for name in RUN if name in journal.columns)]
     ok = F.col("outcome") == "ok"
     rejected = F.col("outcome") == "rejected"
     return (
-        journal.groupBy(*REQUEST)
+        journal.groupBy(*keys)
         .agg(
             F.max("attempt").alias("attempts"),
             F.bool_or(ok).alias("any_ok"),
             F.bool_or(rejected).alias("any_rejected"),
-            F.max_by("detail", "attempt").alias("detail"),
+            F.max_by("detail", F.struct(ok, rejected, "attempt")).alias("detail"),
         )
         .select(
-            *REQUEST,
+            *keys,
             "attempts",
             F.when(F.col("any_ok"), F.lit("ok"))
             .when(F.col("any_rejected"), F.lit("rejected"))
@@ -49,8 +53,8 @@ def final_outcomes(journal: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> Data
 
 
 def fetch_failures(finals: DataFrame, symbol: str = "symbol") -> DataFrame:
-    """Symbols whose fetch failed, with the reason cut to a readable length."""
-    reason = F.concat(F.col("final_outcome"), F.lit(": "), F.substring("detail", 1, 160))
+    """Symbols whose fetch failed, with the whole reason."""
+    reason = F.concat(F.col("final_outcome"), F.lit(": "), F.col("detail"))
     return finals.where(F.col("final_outcome").isin("rejected", "unavailable")).select(
         "venue", symbol, reason.alias("reason")
     )
@@ -76,7 +80,7 @@ def delisted_probe(probe: DataFrame, finals: DataFrame, bar_stats: DataFrame) ->
         .select(
             *probe.columns,
             outcome.alias("outcome"),
-            F.when(~answered, F.substring("detail", 1, 200)).alias("detail"),
+            F.when(~answered, F.col("detail")).alias("detail"),
             F.when(answered, F.coalesce("bars", F.lit(0))).alias("bar_count"),
             F.when(answered, F.col("first_open")).alias("first_bar"),
             F.when(answered, F.col("last_open")).alias("last_bar"),

@@ -89,8 +89,8 @@ def min_notional_feasible(allowance) -> Rule:
 
 def lot_size_feasible(allowance) -> Rule:
     def verdict() -> Column:
-        step = F.col("lot_size").cast("decimal(18,8)") * F.col("close_as_of").cast("decimal(18,8)")
-        fits = (step <= 0) | (step <= _amount(allowance, money.NOTIONAL))
+        lot, close = F.col("lot_size"), F.col("close_as_of")
+        fits = (lot <= 0) | (close <= 0) | (lot * close <= _amount(allowance, money.NOTIONAL))
         return unless_unknown(F.col("close_as_of").isNull(), admit_when(fits))
 
     return Rule(fv.LOT_SIZE_FEASIBLE, verdict)
@@ -123,7 +123,7 @@ def standard_rules(thresholds: Thresholds) -> tuple[Rule, ...]:
 def account_columns(equity: Column, positions: Column, min_share, lot_share) -> list[Column]:
     """Target position and the two allowances, for accounts held as rows."""
     target = F.when(
-        positions > 0, F.try_divide(equity.cast("decimal(18,2)"), positions.cast("decimal(6,0)"))
+        positions > 0, F.try_divide(equity.cast(money.QUANTITY), positions.cast("decimal(10,0)"))
     ).cast("decimal(24,8)")
     return [
         target.alias("target_position"),

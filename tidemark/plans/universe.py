@@ -186,7 +186,9 @@ def instruments_at(
 def universe_at(market: Market, quote_policy: str, chosen: str, moments: list[str]) -> DataFrame:
     """Point lookup: members of a policy at explicit instants.
 
-    Refuses a venue without a calendar instead of answering with nothing.
+    Refuses a venue without a calendar instead of answering with nothing.  A spread
+    counts if it was measured at exactly the asked instant.  The bars read are
+    bounded by the instants.
     """
     have = {row["venue"] for row in market.windows.select("venue").collect()}
     listing.require_calendar(have, {p.venue for p in market.profiles})
@@ -195,11 +197,23 @@ def universe_at(market: Market, quote_policy: str, chosen: str, moments: list[st
     cells = market.candidates.withColumn("as_of", F.explode(asked))
     venues = profile_table(spark, market.profiles).select("venue")
     instants = venues.select("venue", F.explode(asked).alias("as_of"))
-    windowed = history.window_at(bars, instants, market.thresholds.lookback_days)
+    moment = lambda text: F.to_timestamp(F.lit(text))
+    # A daily bar is visible a day after it opened, so later ones cannot matter.
+    visible = bars.where(F.col("open_time") <= F.greatest(*map(moment, moments)) - ts.days(1)) if len(moments) > 1 else bars.where(
+        F.col("open_time") <= moment(moments[0]) - ts.days(1)
+    )
+    first = F.least(*map(moment, moments)) if len(moments) > 1 else moment(moments[0])
+    recent = visible.where(F.col("open_time") >= first - ts.days(market.thresholds.lookback_days))
+    windowed = history.window_at(recent, instants, market.thresholds.lookback_days)
+    measured = (
+        market.spreads.where(F.col("observed_at").isNotNull())
+        .groupBy("venue", "symbol", F.col("observed_at").alias("as_of"))
+        .agg(F.max("spread_bps").alias("spread_bps"))
+    )
     grid = (
         cells.join(history.window_statistics(windowed), ["venue", "symbol", "as_of"], "left")
-        .join(history.close_as_of(bars, cells), ["venue", "symbol", "as_of"], "left")
-        .withColumn("spread_bps", F.lit(None).cast("decimal(20,10)"))
+        .join(history.close_as_of(visible, cells), ["venue", "symbol", "as_of"], "left")
+        .join(measured, ["venue", "symbol", "as_of"], "left")
         .withColumn("quote_policy", F.lit(quote_policy))
         .withColumn(
             "policy_quotes",

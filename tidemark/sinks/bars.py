@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import money
 from tidemark.sources import bars as bar_source
-from tidemark.session import path_exists, staging_path
+from tidemark.session import delete_path, path_exists, staging_path
 
 PARTITION = ("venue", "timeframe", "month")
 ROWS_PER_FILE = 2_000_000
@@ -55,13 +55,32 @@ class BarStore:
         Whole partitions are replaced, so the stored rows of the touched
         partitions are merged in and the result staged as well: a job cannot
         overwrite what it is reading, and a rerun after a failure starts from
-        the same inputs.
+        the same inputs.  The touched partitions are a short list of names and
+        go into the scan as literals, so nothing else of the store is read.  The
+        staged copies are deleted once the store is written.
         """
-        table = self._staged(incoming.select(*bar_source.BAR_COLUMNS))
+        staged: list[str] = []
+        try:
+            return self._merge(incoming, staged)
+        finally:
+            for path in staged:
+                delete_path(self.spark, path)
+
+    def touched(self, batch: DataFrame) -> DataFrame:
+        """The stored rows of the partitions that ``batch`` (with its month) falls into."""
+        months: dict[tuple[str, str], list[str]] = {}
+        for row in batch.select(*PARTITION).distinct().collect():
+            months.setdefault((row["venue"], row["timeframe"]), []).append(row["month"])
+        wanted = F.lit(False)
+        for (venue, timeframe), some in sorted(months.items()):
+            wanted = wanted | ((F.col("venue") == venue) & (F.col("timeframe") == timeframe) & F.col("month").isin(*sorted(some)))
+        return self.table().where(wanted)
+
+    def _merge(self, incoming: DataFrame, staged: list[str]) -> int:
+        table = self._staged(incoming.select(*bar_source.BAR_COLUMNS), staged)
         if self.exists():
-            touched = table.select(*PARTITION).distinct()
-            kept = self.table().join(touched, list(PARTITION), "left_semi")
-            table = self._staged(table.unionByName(kept.select(*table.columns)).drop("month"))
+            kept = self.touched(table)
+            table = self._staged(table.unionByName(kept.select(*table.columns)).drop("month"), staged)
         size = (
             table.groupBy(*PARTITION)
             .agg(F.count("*").alias("bars"))
@@ -86,8 +105,9 @@ class BarStore:
         )
         return size["rows"]
 
-    def _staged(self, bars: DataFrame) -> DataFrame:
+    def _staged(self, bars: DataFrame, staged: list[str]) -> DataFrame:
         path = staging_path(self.spark, "bars")
+        staged.append(path)
         bar_source.newest_observation(bars).write.parquet(path)
         return with_month(self.spark.read.schema(bar_source.BAR_SCHEMA).parquet(path))
 

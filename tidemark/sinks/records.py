@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import instants as ts
@@ -28,8 +28,9 @@ def write_calendar(calendar: DataFrame, path: str, methodology: str = METHOD) ->
 def read_calendar_json(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
     """Calendar documents ``{venue, methodology, entries: [...]}`` to entries.
 
-    Instants carry their offset; an entry without one is not readable and its
-    instants come back NULL.
+    Instants carry their offset.  An entry with an instant that cannot be read, or
+    without a listing instant, fails the job: a lost delisting would turn a dead
+    symbol into a survivor.
     """
     documents = (
         spark.read.schema(f"venue string, methodology string, entries array<{_ENTRY}>")
@@ -38,14 +39,20 @@ def read_calendar_json(spark: SparkSession, path: str, one_per_file: bool = True
     )
     entry = documents.select("venue", "methodology", F.inline("entries"))
     has_offset = r"(Z|[+-][0-9]{2}:?[0-9]{2})$"
-    instant = lambda name: F.when(
-        F.col(name).rlike(has_offset), F.try_to_timestamp(F.col(name))
-    ).alias(name)
+
+    def instant(name: str, required: bool) -> Column:
+        read = F.when(F.col(name).rlike(has_offset), F.try_to_timestamp(F.col(name)))
+        fault = F.concat_ws(
+            " ", F.lit("calendar:"), "venue", "symbol", F.lit(f"{name}: not an instant with an offset:"), F.coalesce(name, F.lit("null"))
+        )
+        wrong = read.isNull() if required else read.isNull() & F.col(name).isNotNull()
+        return F.when(wrong, F.raise_error(fault).cast("timestamp")).otherwise(read).alias(name)
+
     return entry.select(
         "venue",
         "symbol",
-        instant("listed_at"),
-        instant("delisted_at"),
+        instant("listed_at", required=True),
+        instant("delisted_at", required=False),
         "provenance",
         F.coalesce("note", F.lit("")).alias("note"),
         "metadata_available",

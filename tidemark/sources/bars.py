@@ -120,7 +120,13 @@ def parse_ohlc(payloads: DataFrame) -> DataFrame:
     )
     parsed = _exploded(payloads, rows, fault)
     field = lambda at, kind: money.parse_money(F.get("fields", F.lit(at)), kind)
-    turnover = field(5, "decimal(18,10)") * field(6, "decimal(20,8)")
+    # Whole and fraction apart, since the product of both types needs more digits
+    # than a decimal has.
+    price, volume = field(5, money.PRICE), field(6, money.QUANTITY)
+    whole = volume.cast("decimal(16,0)")
+    turnover = (price * whole).cast(money.NOTIONAL) + (
+        price * (volume - whole).cast("decimal(9,8)")
+    ).cast(money.NOTIONAL)
     return _judge(
         parsed.select(
             "*",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import instants as ts
@@ -20,6 +20,16 @@ _METADATA = """map<string, struct<
 _SNAPSHOT = "struct<observed_at: string, bps: map<string, string>>"
 
 
+def _read(text: Column, parsed: Column, kind: str, what: str) -> Column:
+    """``parsed``, or a failed job naming what cannot be read; only NULL text may be NULL."""
+    fault = F.concat(F.lit(f"{what}: not readable: "), text)
+    return F.when(text.isNotNull() & parsed.isNull(), F.raise_error(fault).cast(kind)).otherwise(parsed)
+
+
+def _money(text: Column, kind: str, what: str) -> Column:
+    return _read(text, money.parse_money(text, kind), kind, what)
+
+
 @dataclass(frozen=True)
 class VenueFiles:
     metadata: DataFrame
@@ -52,9 +62,9 @@ def load(spark: SparkSession, venue: str, root: str, series_per_line: bool = Fal
             F.col("value.base").alias("base"),
             F.col("value.quote").alias("quote"),
             F.col("value.status").alias("status"),
-            money.parse_money(F.col("value.tick_size"), money.PRICE).alias("tick_size"),
-            money.parse_money(F.col("value.lot_size"), money.QUANTITY).alias("lot_size"),
-            money.parse_money(F.col("value.min_notional"), money.NOTIONAL).alias("min_notional"),
+            _money(F.col("value.tick_size"), money.PRICE, f"{root}/{found}: tick_size").alias("tick_size"),
+            _money(F.col("value.lot_size"), money.LOT, f"{root}/{found}: lot_size").alias("lot_size"),
+            _money(F.col("value.min_notional"), money.NOTIONAL, f"{root}/{found}: min_notional").alias("min_notional"),
         )
     )
     return VenueFiles(
@@ -70,16 +80,17 @@ def _series(spark: SparkSession, venue: str, root: str, per_line: bool) -> DataF
     else:
         documents = spark.createDataFrame([], schema)
     row = F.col("row")
+    opened = F.coalesce(F.get(row, F.lit(0)), F.lit("null"))
     return documents.select(
         F.lit(venue).alias("venue"), "symbol", "timeframe", F.explode("rows").alias("row")
     ).select(
         "venue",
         "symbol",
         "timeframe",
-        ts.from_epoch_millis(F.get(row, F.lit(0)).try_cast("bigint")).alias("open_time"),
-        money.parse_money(F.get(row, F.lit(1)), money.PRICE).alias("close"),
+        ts.from_epoch_millis(_read(opened, opened.try_cast("bigint"), "bigint", f"{root}/bars: open time")).alias("open_time"),
+        _money(F.get(row, F.lit(1)), money.PRICE, f"{root}/bars: close").alias("close"),
         # An empty text means the venue gave no turnover, which is not zero.
-        money.parse_money(F.get(row, F.lit(2)), money.NOTIONAL).alias("quote_volume"),
+        _money(F.nullif(F.get(row, F.lit(2)), F.lit("")), money.NOTIONAL, f"{root}/bars: turnover").alias("quote_volume"),
     )
 
 
@@ -88,14 +99,16 @@ def _snapshot(spark: SparkSession, venue: str, root: str) -> DataFrame:
         return spark.createDataFrame(
             [], f"venue string, symbol string, spread_bps {money.BPS}, observed_at timestamp"
         )
+    path = f"{root}/{SPREAD_FILE}"
     body = F.from_json("value", _SNAPSHOT)
+    body = F.when(body["observed_at"].isNull() | body["bps"].isNull(), F.raise_error(F.lit(f"{path}: not readable")).cast(_SNAPSHOT)).otherwise(body)
     return (
         spark.read.text(f"{root}/{SPREAD_FILE}", wholetext=True)
         .select(body["observed_at"].alias("observed"), F.explode(body["bps"]))
         .select(
             F.lit(venue).alias("venue"),
             F.col("key").alias("symbol"),
-            money.parse_money(F.col("value"), money.BPS).alias("spread_bps"),
-            F.try_to_timestamp("observed").alias("observed_at"),
+            _money(F.col("value"), money.BPS, f"{path}: bps").alias("spread_bps"),
+            _read(F.col("observed"), F.try_to_timestamp("observed"), "timestamp", f"{path}: observed_at").alias("observed_at"),
         )
     )

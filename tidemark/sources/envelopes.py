@@ -113,6 +113,14 @@ def _response_fault(payload, labels, required, allowed) -> Column:
             F.map_contains_key(fields, F.lit(name)) & ~F.coalesce(value.isin(*values), F.lit(False)),
             F.lit(f"{name}: unknown label"),
         )
+    # Texts must be JSON strings: a number or a null is not one.
+    document = F.try_parse_json(payload)
+    for name in (name for name in allowed if name != "confidence"):
+        written = F.schema_of_variant(F.try_variant_get(document, f"$.{name}", "variant"))
+        fault = fault.when(
+            F.map_contains_key(fields, F.lit(name)) & (F.coalesce(written, F.lit("VOID")) != "STRING"),
+            F.lit(f"{name}: expected string"),
+        )
     in_range = F.coalesce(confidence.between(0.0, 1.0), F.lit(False))
     return fault.when(~in_range, F.lit("confidence: outside 0..1"))
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.fixed_values import ARCHIVE_PREFIX
 from tidemark.functions import money
+from tidemark.sources.envelopes import envelope_outcome
 
 COLUMNS = (
     "venue",
@@ -34,13 +35,22 @@ _PAIRS = """struct<
 
 
 def _last_wins(parsed: DataFrame) -> DataFrame:
-    """Later pages and later positions replace earlier ones for the same symbol."""
+    """Later pages and later positions replace earlier ones for the same symbol.
+
+    Rows without a symbol, such as pages that cannot be read, all stay.
+    """
     rest = [name for name in parsed.columns if name not in ("venue", "symbol", "position")]
-    return (
-        parsed.groupBy("venue", "symbol")
+    named = (
+        parsed.where(F.col("symbol").isNotNull())
+        .groupBy("venue", "symbol")
         .agg(F.max_by(F.struct(*rest), "position").alias("kept"))
         .select("venue", "symbol", *[F.col(f"kept.{name}").alias(name) for name in rest])
     )
+    return named.unionByName(parsed.where(F.col("symbol").isNull()).select("venue", "symbol", *rest))
+
+
+def _junk(text: str, kind: str) -> Column:
+    return money.parse_money(F.col(text), kind).isNull()
 
 
 def _last_filter(kind: str):
@@ -54,8 +64,8 @@ def parse_symbols(payloads: DataFrame) -> DataFrame:
 
     Halted symbols are kept: the venue describing them is the evidence that they
     existed.  A symbol that states no minimum order value has none, which is
-    zero; a symbol without a tick or lot size is malformed.  Pages that cannot be
-    read leave one row with a reason per venue.
+    zero; a symbol without a tick or lot size, or with one that is no decimal, is
+    malformed.  Every page that cannot be read leaves one row with a reason.
     """
     exploded = payloads.select(
         "venue",
@@ -86,11 +96,14 @@ def parse_symbols(payloads: DataFrame) -> DataFrame:
         "quote",
         "status",
         money.parse_money(F.col("tick_text"), money.PRICE).alias("tick_size"),
-        money.parse_money(F.col("lot_text"), money.QUANTITY).alias("lot_size"),
+        money.parse_money(F.col("lot_text"), money.LOT).alias("lot_size"),
         money.parse_money(F.col("notional_text"), money.NOTIONAL).alias("min_notional"),
         F.when(F.col("symbol").isNull(), F.lit("page or symbol: not as described"))
         .when(F.col("tick_text").isNull(), F.lit("missing PRICE_FILTER.tickSize"))
         .when(F.col("lot_text").isNull(), F.lit("missing LOT_SIZE.stepSize"))
+        .when(_junk("tick_text", money.PRICE), F.lit("PRICE_FILTER.tickSize: expected a decimal"))
+        .when(_junk("lot_text", money.LOT), F.lit("LOT_SIZE.stepSize: expected a decimal"))
+        .when(_junk("notional_text", money.NOTIONAL), F.lit("minNotional: expected a decimal"))
         .alias("reason"),
     )
 
@@ -99,15 +112,18 @@ def parse_pairs(payloads: DataFrame) -> DataFrame:
     """(venue, page, payload) pair descriptions to metadata plus ``reason``.
 
     A pair whose display name is absent or is not exactly ``BASE/QUOTE`` is
-    skipped: splitting the concatenated name would be a guess.
+    skipped: splitting the concatenated name would be a guess.  A page that is a
+    refusal or an outage is a row whose reason names which.
     """
     exploded = payloads.select(
         "venue",
         "page",
+        envelope_outcome(F.col("payload")).alias("outcome"),
         F.posexplode_outer(F.map_entries(F.from_json("payload", _PAIRS)["result"])).alias(
             "at", "pair"
         ),
     )
+    refused = exploded["pair"].isNull() & (F.col("outcome") != "ok")
     legs = F.split(F.col("pair.value.wsname"), "/")
     lot = money.power_of_ten(F.col("pair.value.lot_decimals"))
     parsed = exploded.where(F.col("pair").isNull() | (F.size(legs) == 2)).select(
@@ -121,14 +137,18 @@ def parse_pairs(payloads: DataFrame) -> DataFrame:
         money.parse_money(F.col("pair.value.tick_size"), money.PRICE).alias("tick_size"),
         lot.alias("lot_size"),
         money.parse_money(F.col("pair.value.costmin"), money.NOTIONAL).alias("min_notional"),
+        F.when(refused, F.concat(F.lit("envelope: "), "outcome")).alias("fault"),
     )
     return _last_wins(parsed).withColumn(
         "reason",
-        F.when(F.col("symbol").isNull(), F.lit("page or altname: not as described"))
+        F.coalesce("fault", F.when(F.col("symbol").isNull(), F.lit("page or altname: not as described")))
+    ).withColumn(
+        "reason",
+        F.when(F.col("reason").isNotNull(), F.col("reason"))
         .when(F.col("tick_size").isNull(), F.lit("tick_size: expected a decimal"))
-        .when(F.col("lot_size").isNull(), F.lit("lot_decimals: expected 0 to 8"))
+        .when(F.col("lot_size").isNull(), F.lit("lot_decimals: outside what a lot can hold"))
         .when(F.col("min_notional").isNull(), F.lit("costmin: expected a decimal")),
-    )
+    ).drop("fault")
 
 
 def good_metadata(parsed: DataFrame) -> DataFrame:

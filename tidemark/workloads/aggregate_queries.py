@@ -181,7 +181,7 @@ def delisted_probe(spark, sf_dir):
 @query(
     "agg_10_fetch_failures",
     """
-    SELECT venue, symbol, params, final_outcome || ': ' || substr(detail, 1, 160) AS reason FROM fx_finals
+    SELECT venue, symbol, params, final_outcome || ': ' || detail AS reason FROM fx_finals
     WHERE final_outcome IN ('rejected', 'unavailable')""",
 )
 def fetch_failures(spark, sf_dir):
@@ -201,7 +201,7 @@ FEES = [
 _FEES_SQL = """(VALUES ('alpha', 'maker', 8.00), ('alpha', 'taker', 10.00), ('beta', 'maker', 16.00),
     ('beta', 'taker', 26.00)) f(model, role, fee)"""
 _TRADES_SQL = """SELECT *, quote_qty AS gross,
-    CASE WHEN l_linenumber % 2 = 0 THEN 'maker' ELSE 'taker' END AS role FROM fx_prints"""
+    CASE WHEN l_linenumber % 2 = 0 THEN 'maker' ELSE 'taker' END AS role FROM fx_every_print"""
 
 
 def fees(spark):
@@ -211,7 +211,7 @@ def fees(spark):
 
 def trades(spark, sf_dir: str):
     """Every print is a trade of ours; odd line numbers take liquidity."""
-    return fx.prints(spark, sf_dir).select(
+    return fx.all_prints(spark, sf_dir).select(
         "venue",
         "symbol",
         F.to_date("ts").alias("day"),

@@ -2,14 +2,17 @@
 
 VIEWS: dict[str, str] = {}
 
-VIEWS["fx_prints"] = """
+VIEWS["fx_every_print"] = """
 SELECT CASE WHEN n <= 15 THEN 'alpha' ELSE 'beta' END AS venue, p_brand AS symbol,
        l_shipdate AS ts, p_retailprice::DECIMAL(18,2) AS price,
        l_quantity::DECIMAL(18,2) AS qty, l_extendedprice::DECIMAL(18,2) AS quote_qty,
-       l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice
+       l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, n
 FROM (SELECT *, CAST(substr(p_brand, 7) AS INT) AS n FROM lineitem JOIN part ON l_partkey = p_partkey)
-WHERE NOT (n % 5 = 0 AND l_shipdate > TIMESTAMP '1999-06-30')
-  AND NOT (n % 7 = 0 AND l_shipdate < TIMESTAMP '1997-03-15')
+"""
+
+VIEWS["fx_prints"] = """
+SELECT * FROM fx_every_print
+WHERE NOT (n % 5 = 0 AND ts > TIMESTAMP '1999-06-30') AND NOT (n % 7 = 0 AND ts < TIMESTAMP '1997-03-15')
 """
 
 VIEWS["fx_bars"] = """
@@ -217,6 +220,6 @@ SELECT venue, url, params, any_value(symbol) AS symbol, any_value(request) AS re
   max(attempt) AS attempts,
   CASE WHEN bool_or(outcome = 'ok') THEN 'ok' WHEN bool_or(outcome = 'rejected') THEN 'rejected'
        WHEN max(attempt) >= 5 THEN 'unavailable' ELSE 'pending' END AS final_outcome,
-  arg_max(detail, attempt) AS detail, max(requested_at) AS last_at
+  arg_max(detail, (outcome = 'ok')::INT * 100 + (outcome = 'rejected')::INT * 10 + attempt) AS detail, max(requested_at) AS last_at
 FROM fx_journal GROUP BY venue, url, params
 """

@@ -47,8 +47,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_schemas[path]).parquet(path)
 
 
+def brand_number_of(column: str) -> Column:
+    return F.substring(column, 7, 10).try_cast("int")
+
+
 def brand_number() -> Column:
-    return F.substring("p_brand", 7, 10).try_cast("int")
+    return brand_number_of("p_brand")
 
 
 def venue_of_brand() -> Column:
@@ -56,22 +60,26 @@ def venue_of_brand() -> Column:
 
 
 def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trade prints.  Halted brands stop in 1999, late brands start in 1997."""
+    """The prints behind the market: halted brands stop in 1999, late brands start in 1997."""
+    n, moment = brand_number_of("symbol"), F.col("ts")
+    cut = ((n % 5 == 0) & (moment > F.lit("1999-06-30").cast("timestamp"))) | (
+        (n % 7 == 0) & (moment < F.lit("1997-03-15").cast("timestamp"))
+    )
+    return all_prints(spark, sf_dir).where(~cut)
+
+
+def all_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line item as a trade print."""
     parts = table(spark, sf_dir, "part").select(
         "p_partkey", "p_brand", "p_retailprice", brand_number().alias("n")
     )
-    moment = F.col("l_shipdate").cast("timestamp")
-    cut = ((F.col("n") % 5 == 0) & (moment > F.lit("1999-06-30").cast("timestamp"))) | (
-        (F.col("n") % 7 == 0) & (moment < F.lit("1997-03-15").cast("timestamp"))
-    )
     return (
         table(spark, sf_dir, "lineitem")
         .join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .where(~cut)
         .select(
             venue_of_brand().alias("venue"),
             F.col("p_brand").alias("symbol"),
-            moment.alias("ts"),
+            F.col("l_shipdate").cast("timestamp").alias("ts"),
             F.col("p_retailprice").cast("decimal(18,2)").alias("price"),
             F.col("l_quantity").cast("decimal(18,2)").alias("qty"),
             F.col("l_extendedprice").cast("decimal(18,2)").alias("quote_qty"),
@@ -111,7 +119,7 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(n % 3 == 0, "EUR").when(n % 3 == 1, "USD").otherwise("USDT").alias("quote"),
             F.when(n % 5 == 0, "BREAK").otherwise("TRADING").alias("status"),
             F.lit("0.01").cast(money.PRICE).alias("tick_size"),
-            F.when(n % 2 == 0, "0.001").otherwise("0.01").cast(money.QUANTITY).alias("lot_size"),
+            F.when(n % 2 == 0, "0.001").otherwise("0.01").cast(money.LOT).alias("lot_size"),
             F.when(n % 6 == 0, "50").otherwise("10").cast(money.NOTIONAL).alias("min_notional"),
             # Constraints are today's; on a past date they are a reconstruction.
             F.to_timestamp(F.lit("2001-11-05 12:00:00")).alias("constraints_as_of"),

@@ -155,11 +155,11 @@ def not_yet_stored(spark, sf_dir):
     "jn_8_wanted_only",
     """
     SELECT venue, symbol, count(*) AS prints, sum(quote_qty)::DECIMAL(34,2)::VARCHAR AS turnover
-    FROM fx_prints WHERE symbol IN (SELECT symbol FROM fx_meta WHERE quote <> 'USDT') GROUP BY ALL""",
+    FROM fx_every_print WHERE symbol IN (SELECT symbol FROM fx_meta WHERE quote <> 'USDT') GROUP BY ALL""",
 )
 def wanted_only(spark, sf_dir):
     wanted = fx.metadata(spark, sf_dir).where("quote <> 'USDT'")
-    kept = bar_source.for_instruments(fx.prints(spark, sf_dir), wanted)
+    kept = bar_source.for_instruments(fx.all_prints(spark, sf_dir), wanted)
     return kept.groupBy("venue", "symbol").agg(
         F.count("*").alias("prints"), exact(F.sum("quote_qty"), 2, "turnover")
     )
