@@ -102,10 +102,10 @@ def window_statistics(windowed: DataFrame) -> DataFrame:
 def close_as_of(bars: DataFrame, probes: DataFrame) -> DataFrame:
     """As-of join: the newest close visible at each (venue, symbol, as_of).
 
-    Bars and probes are unioned and ordered by time inside (instrument, month),
-    so a hot instrument is split by month instead of being sorted in one task.
-    A probe that finds nothing in its own month takes the close carried from the
-    months before, which is a table of one row per instrument and month.
+    Bars and probes are unioned and ordered by time inside (instrument, day), so
+    neither a hot instrument nor very many probes of one are sorted in one task.
+    A probe that finds nothing in its own day takes the close carried from the
+    days before, which is a table of one row per instrument and day.
     At equal times the bar comes first: a bar closing exactly at the instant is
     visible.
     """
@@ -126,36 +126,36 @@ def close_as_of(bars: DataFrame, probes: DataFrame) -> DataFrame:
     # would otherwise infer the filter on one of the two uses and plan them apart.
     timeline = (
         closes.unionByName(asked)
-        .withColumn("month", F.date_trunc("month", "moment"))
-        .where("venue IS NOT NULL AND symbol IS NOT NULL AND month IS NOT NULL")
-        .repartition(*INSTRUMENT, "month")
+        .withColumn("day", F.date_trunc("day", "moment"))
+        .where("venue IS NOT NULL AND symbol IS NOT NULL AND day IS NOT NULL")
+        .repartition(*INSTRUMENT, "day")
     )
     within = (
-        Window.partitionBy(*INSTRUMENT, "month")
+        Window.partitionBy(*INSTRUMENT, "day")
         .orderBy("moment", "kind")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    monthly = timeline.groupBy(*INSTRUMENT, "month").agg(
-        F.max_by("close", F.when(F.col("kind") == 0, F.col("moment"))).alias("month_close")
+    daily = timeline.groupBy(*INSTRUMENT, "day").agg(
+        F.max_by("close", F.when(F.col("kind") == 0, F.col("moment"))).alias("day_close")
     )
     before = (
         Window.partitionBy(*INSTRUMENT)
-        .orderBy("month")
+        .orderBy("day")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    carried = monthly.select(
+    carried = daily.select(
         *INSTRUMENT,
-        "month",
-        F.last("month_close", ignorenulls=True).over(before).alias("carried"),
+        "day",
+        F.last("day_close", ignorenulls=True).over(before).alias("carried"),
     )
     return (
-        timeline.withColumn("in_month", F.last("close", ignorenulls=True).over(within))
+        timeline.withColumn("in_day", F.last("close", ignorenulls=True).over(within))
         .where("kind = 1")
-        .join(carried, [*INSTRUMENT, "month"])
+        .join(carried, [*INSTRUMENT, "day"])
         .select(
             *INSTRUMENT,
             F.col("moment").alias("as_of"),
-            F.coalesce("in_month", "carried").alias("close_as_of"),
+            F.coalesce("in_day", "carried").alias("close_as_of"),
         )
     )
 

@@ -38,16 +38,15 @@ def is_listed_at(spark, sf_dir):
     HAVING count(*) FILTER (open_time + INTERVAL 1 DAY <= TIMESTAMP '2001-06-15 12:00:00') > 0""",
 )
 def closed_bar_guard(spark, sf_dir):
-    """The default read drops forming bars; the strict guard then lets every row pass."""
+    """How many bars a default read keeps; that the strict guard fails the job is a unit test."""
     observed = F.to_timestamp(F.lit("2001-06-15 12:00:00"))
     flagged = fx.daily_bars(spark, sf_dir).withColumn(
         "is_closed", ts.close_time(F.col("open_time"), F.col("timeframe")) <= observed
     )
-    kept = bars.require_closed(flagged.where("is_closed"))
     return (
-        kept.groupBy("venue", "symbol")
-        .agg(F.count("*").alias("closed"))
-        .join(flagged.groupBy("venue", "symbol").agg(F.count("*").alias("bars")), ["venue", "symbol"])
+        flagged.groupBy("venue", "symbol")
+        .agg(F.count("*").alias("bars"), F.count_if("is_closed").alias("closed"))
+        .where("closed > 0")
     )
 
 
