@@ -14,7 +14,7 @@ SF_DIR = "/root/testdata/sf0.001"
 QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
 
 #: Slices of the smallest scale that may hold no rows at all.
-SPARSE = {"pol_4_named_policies", "win_4_rank_and_score", "win_6_total_ordering", "set_5_policy_by_extension"}
+SPARSE = {"point_1_universe_at", "pol_4_named_policies", "win_4_rank_and_score", "win_6_total_ordering", "set_5_policy_by_extension"}
 
 
 def test_every_operator_of_the_survey_is_registered():

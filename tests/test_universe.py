@@ -248,6 +248,15 @@ def test_point_lookup_agrees_with_the_monthly_plan(spark):
     assert looked_up == {("2024-04", "GONE"), ("2024-04", "AAA"), ("2024-05", "AAA")}
 
 
+def test_point_lookup_counts_a_spread_measured_at_that_instant(spark):
+    kinds = "venue string, symbol string, spread_bps decimal(20,10), observed_at timestamp"
+    measured = [(sm.VENUE, "AAA", Decimal(1), dt.datetime(2024, 4, 1)), (sm.VENUE, "AAA", Decimal(1), dt.datetime(2024, 4, 30))]
+    found = sm.market(spark, sm.history("AAA", days=300) + TODAY, ["AAA"], spreads=spark.createDataFrame(measured, kinds))
+    moments = ["2024-04-01 00:00:00", "2024-05-01 00:00:00"]
+    rows = universe_at(found, "EUR", "research+spread", moments).collect()
+    assert [(r["as_of"], r["symbol"]) for r in rows] == [(dt.datetime(2024, 4, 1), "AAA")]
+
+
 def test_point_lookup_refuses_a_venue_without_a_calendar(spark):
     from dataclasses import replace
 

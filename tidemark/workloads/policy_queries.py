@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fv
 from tidemark.operators import costs, listing, policy
-from tidemark.plans import report
+from tidemark.plans import report, universe
 from tidemark.workloads import fixtures as fx
 from tidemark.workloads.edge import exact, month, stamp
 from tidemark.workloads.registry import query
@@ -337,3 +337,38 @@ def total_ordering(spark, sf_dir):
         .select("venue", "quote_policy", month(), "symbol")
         .orderBy("venue", "quote_policy", "month", "symbol")
     )
+
+
+#: First of some months, so that the monthly table answers the same question.
+ASKED = ("1996-03-01 00:00:00", "1998-06-01 00:00:00", "2000-01-01 00:00:00")
+_ASKED = ", ".join(f"TIMESTAMP '{moment}'" for moment in ASKED)
+
+
+@query(
+    "point_1_universe_at",
+    f"""
+    SELECT venue, quote_policy, strftime(as_of, '%Y-%m') AS month, symbol FROM fx_verdicts
+    WHERE quote_policy IN ('EUR', 'EUR+USD+USDT') AND in_research AND as_of IN ({_ASKED})""",
+)
+def universe_lookup(spark, sf_dir):
+    """Members at three explicit instants under the narrowest and the widest quote policy."""
+    market = fx.market(spark, sf_dir, with_bars=True)
+    found = [
+        universe.universe_at(market, quotes, "research", list(ASKED)).withColumn("quote_policy", F.lit(quotes))
+        for quotes in ("EUR", "EUR+USD+USDT")
+    ]
+    return found[0].unionByName(found[1]).select("venue", "quote_policy", month(), "symbol")
+
+
+@query(
+    "point_2_instruments_at",
+    f"""
+    SELECT c.venue, strftime(t.as_of, '%Y-%m') AS month, c.symbol
+    FROM fx_candidates c, (SELECT unnest([{_ASKED}]) AS as_of) t
+    WHERE c.listed_at <= t.as_of AND (c.delisted_at IS NULL OR t.as_of < c.delisted_at)""",
+)
+def instruments_lookup(spark, sf_dir):
+    """Instruments listed at three explicit instants, from the rebuilt calendar."""
+    market = fx.market(spark, sf_dir)
+    found = universe.instruments_at(market.metadata, market.calendar, ["alpha", "beta"], list(ASKED))
+    return found.select("venue", month(), "symbol")
