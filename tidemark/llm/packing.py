@@ -89,14 +89,21 @@ class Encoder:
         self.ids = [every]
         entry = np.fromiter((known[h] for h in raw), np.int64, len(raw))
         begin, size = np.array(self.starts, np.int64)[entry][number], np.array(self.sizes, np.int64)[entry][number]
-        laid = np.concatenate(([0], np.cumsum(size)))
-        # Every text's ids are followed by the end id.
-        begins = laid[first] + np.arange(len(first))
-        out = np.full(int(laid[-1]) + len(texts), self.end, np.uint16)
-        doc = np.repeat(np.arange(len(texts)), np.diff(first))
-        places = laid[:-1] + doc
-        out[blocks.spread(places, size)] = every[blocks.spread(begin, size)]
-        return out, begins, places
+        return laid_out(every, begin, size, first, self.end)
+
+
+def laid_out(every: np.ndarray, begin: np.ndarray, size: np.ndarray, first: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of texts from those of their words, which are stretches of ``every``.
+
+    Every text's ids are followed by the end id.  Also returns where texts and where
+    words begin.
+    """
+    laid = np.concatenate(([0], np.cumsum(size)))
+    begins = laid[first] + np.arange(len(first))
+    out = np.full(int(laid[-1]) + len(first) - 1, end, np.uint16)
+    places = laid[:-1] + np.repeat(np.arange(len(first) - 1), np.diff(first))
+    out[blocks.spread(places, size)] = every[blocks.spread(begin, size)]
+    return out, begins, places
 
 
 _encoders: dict[tuple, Encoder] = {}
