@@ -341,6 +341,26 @@ def test_training_lowers_the_loss():
     assert language_model.log_probabilities(p, classes, ids, sizes).mean() > before + 0.5
 
 
+def test_the_model_learns_from_every_training_document(docs, monkeypatch):
+    seen, fit = [], language_model.fit
+    monkeypatch.setattr(language_model, "fit", lambda tokens, *more: seen.append(tokens) or fit(tokens, *more))
+    found = language_model.scored(docs).collect()
+    sizes = [blocks.unpacked(r["z"], np.uint16, np.int64)[1] for r in seen[0].collect()]
+    assert sorted(np.concatenate(sizes).tolist()) == sorted(r["n_ids"] for r in found if not r["held_out"])
+
+
+def test_rounds_share_out_all_windows(monkeypatch):
+    draw = np.random.default_rng(2)
+    sizes = np.array([1, 400, 33, 70])
+    classes = draw.integers(0, language_model.CLASSES, int(sizes.sum()))
+    used = []
+    monkeypatch.setattr(language_model, "gradient", lambda p, read, inside, scored, target: used.extend(target[scored].tolist()) or (0.0, {}))
+    p = language_model.fresh(np.zeros((language_model.CLASSES + 1, language_model.CLASSES), np.float32))
+    for turn in range(language_model.ROUNDS):
+        language_model.trained(p, classes, sizes, 0.01, turn)
+    assert sorted(used) == sorted(classes.tolist())
+
+
 def test_quality_on_held_out_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     ratings = quality.ratings_of(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))
