@@ -251,6 +251,23 @@ def test_bm25_prefers_documents_that_share_rare_terms():
     assert index.like(0, np.array([False, True, True, True])).tolist()[0] == 2
 
 
+def test_windows_take_every_neighbour_before_unrelated_documents():
+    # 100 short documents share a term with the seed, 100 longer ones do not.
+    like = [np.array([50, 60 + i % 7, 1]) for i in range(100)]
+    other = [np.array([200, 201, 202, 203, 1]) for _ in range(100)]
+    texts = [np.array([50, 51, 52, 53, 54, 55, 1]), *like, *other]
+    sizes = np.array([len(t) for t in texts])
+    index = packing.Index(np.concatenate(texts).astype(np.uint16), np.concatenate(([0], np.cumsum(sizes))), np.ones(1 << 16), float(sizes.mean()))
+    assert sorted(index.like(0, np.arange(201) > 0).tolist()) == list(range(1, 101))
+    assert {doc for doc, _, _ in packing.filled(sizes, index, 256)[0]} <= set(range(101))
+
+
+def test_a_seed_asks_with_all_its_terms():
+    ids = np.array([*range(10, 70), 1, 10, 1, 69, 1], np.uint16)
+    index = packing.Index(ids, np.array([0, 61, 63, 65]), np.ones(1 << 16), 20.0)
+    assert sorted(index.like(0, np.array([False, True, True])).tolist()) == [1, 2]
+
+
 def test_license_scan(spark, docs, empty):
     texts = {n: t for n, t in licenses.TEMPLATES.items()}
     changed = texts["MIT"].replace("Software", "Program", 2).replace("without limitation ", "")

@@ -23,8 +23,8 @@ from tidemark.llm import blocks, exchange
 from tidemark.llm.tables import written
 
 END_ID = 1
-#: Terms of a seed that are looked up, the most telling first, and neighbours kept.
-QUERY_TERMS, NEIGHBOURS = 24, 32
+#: Of so many best neighbours those that fit whole go before one that has to be cut.
+NEIGHBOURS = 32
 #: Words a task remembers the ids of; beyond that it starts afresh.
 REMEMBERED = 1_000_000
 K1, B = 1.2, 0.75
@@ -134,10 +134,8 @@ class Index:
         doc, term = (pairs >> np.uint64(16)).astype(np.int64), (pairs & np.uint64(0xFFFF)).astype(np.int64)
         length = np.diff(begins)
         weight = rarity[term] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * length[doc] / mean))
-        # A document's query: its terms of largest weight.
-        order = np.lexsort((-weight, doc))
-        nth = np.arange(len(doc)) - np.searchsorted(doc, np.arange(self.n))[doc[order]]
-        asked = order[(nth < QUERY_TERMS) & (term[order] != END_ID)]
+        # A document's query: all its terms.
+        asked = np.flatnonzero(term != END_ID)
         self.query_terms = term[asked]
         self.queries = np.searchsorted(doc[asked], np.arange(self.n + 1))
         by_term = np.argsort(term, kind="stable")
@@ -145,14 +143,13 @@ class Index:
         self.terms = np.searchsorted(term[by_term], np.arange(len(rarity) + 1))
 
     def like(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents most like ``seed``, best first."""
+        """All unused documents that share a term with ``seed``, best first."""
         terms = self.query_terms[self.queries[seed] : self.queries[seed + 1]]
         places = blocks.spread(self.terms[terms], self.terms[terms + 1] - self.terms[terms])
         score = np.bincount(self.doc[places], self.weight[places], minlength=self.n)
         score[~unused] = 0
-        best = np.argpartition(-score, NEIGHBOURS)[:NEIGHBOURS] if self.n > NEIGHBOURS else np.arange(self.n)
-        best = best[score[best] > 0]
-        return best[np.lexsort((best, -score[best]))]
+        best = np.flatnonzero(score)
+        return best[np.argsort(-score[best], kind="stable")]
 
 
 def filled(sizes: np.ndarray, index: Index | None, window: int) -> list[list[tuple[int, int, int]]]:
@@ -184,7 +181,9 @@ def filled(sizes: np.ndarray, index: Index | None, window: int) -> list[list[tup
         room -= take(seed, room)
         if room:
             cuttable = -1
-            for i in index.like(seed, left > 0).tolist() if index else []:
+            for rank, i in enumerate(index.like(seed, left > 0).tolist() if index else []):
+                if rank >= NEIGHBOURS and cuttable >= 0:
+                    break
                 if left[i] <= room:
                     room -= take(i, room)
                     if not room:
@@ -193,7 +192,7 @@ def filled(sizes: np.ndarray, index: Index | None, window: int) -> list[list[tup
                     cuttable = i
             if room and cuttable >= 0 and left[cuttable]:
                 room -= take(cuttable, room)
-            # Nothing else is like the seed: the next seeds fill what is left.
+            # Nothing else shares a term with the seed: the next seeds fill what is left.
             ahead = nxt
             while room and ahead < len(seeds):
                 if left[seeds[ahead]]:
