@@ -268,6 +268,23 @@ def test_a_seed_asks_with_all_its_terms():
     assert sorted(index.like(0, np.array([False, True, True])).tolist()) == [1, 2]
 
 
+def test_documents_of_one_subject_meet_in_a_shard(spark):
+    draw = random.Random(9)
+    subjects = [["".join(draw.choices("bcdfghklmnprst", k=6)) for _ in range(6)] for _ in range(40)]
+    rows = [(i, " ".join(draw.choices(subjects[i % 40], k=40))) for i in range(800)]
+    pieces = packing.packed(spark.createDataFrame(rows, "doc_id long, text string"), window=1024).collect()
+    shards = {}
+    for p in pieces:
+        shards.setdefault(p["doc_id"] % 40, []).append(p["sequence_id"] >> 40)
+    same = sum(max(map(s.count, set(s))) for s in shards.values())
+    assert same >= 0.6 * len(pieces)
+
+
+def test_crowded_cells_are_dealt_over_shards():
+    found = packing.dealt({(1, -1): 10, (2, 0): 100, (2, 1): 10, (3, -1): 40}, 16)
+    assert found[2, 0] == (1, 10) and found[1, -1] == (0, 1) and all(a + n <= 16 for a, n in found.values())
+
+
 def test_license_scan(spark, docs, empty):
     texts = {n: t for n, t in licenses.TEMPLATES.items()}
     changed = texts["MIT"].replace("Software", "Program", 2).replace("without limitation ", "")

@@ -1,7 +1,8 @@
 """Packing documents into fixed windows with their lexical neighbours.
 
-Documents are cut into token ids once and dealt into shards.  A shard builds a BM25
-inverted index of its documents (document frequencies are those of the whole
+Documents are cut into token ids once and dealt into shards by content: documents with
+the same most telling term meet, and what crowds one term is split by a min-hash of the
+terms, so that copies still meet.  A shard builds a BM25 inverted index of its documents (document frequencies are those of the whole
 corpus), and fills one window after the other: a seed document, then the unused
 documents most like it, the last of them cut where the window is full.  What is cut
 off stays in the index.  Full windows of a long document stand alone.
@@ -28,6 +29,10 @@ NEIGHBOURS = 32
 #: Words a task remembers the ids of; beyond that it starts afresh.
 REMEMBERED = 1_000_000
 K1, B = 1.2, 0.75
+#: Parts by min-hash of the documents of a term that one shard cannot hold.
+PARTS = 256
+#: Ids whose keys are worked out at once.
+KEYED_IDS = 1 << 20
 
 
 def default_tokenizer() -> str:
@@ -125,6 +130,35 @@ def _distinct(ids: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return pairs[starts], np.diff(np.append(starts, len(pairs)))
 
 
+def content_keys(ids: np.ndarray, begins: np.ndarray, frequency: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's rarest term that at least ``least`` documents hold, and a part by min-hash.
+
+    Where no term is so frequent it is the most frequent one.
+    """
+    pairs, _ = _distinct(ids, begins)
+    doc, term = (pairs >> np.uint64(16)).astype(np.int64), (pairs & np.uint64(0xFFFF)).astype(np.int64)
+    common = frequency[term]
+    # Least first: frequent enough and rare; the end id, which all hold, comes last.
+    order = np.lexsort((term, np.where(common >= least, common, -common), common < least, term == END_ID, doc))
+    hashes = blocks.mixed(term.astype(np.uint64) + np.uint64(1))
+    starts = np.searchsorted(doc, np.arange(len(begins) - 1))
+    return term[order][starts], (np.minimum.reduceat(hashes, starts) % np.uint64(PARTS)).astype(np.int64)
+
+
+def dealt(cells: dict[tuple[int, int], int], shards: int) -> dict[tuple[int, int], tuple[int, int]]:
+    """The first shard of each (term, part), and how many shards share it.
+
+    ``cells`` has the weight of each.  They are laid in a row and cut into equal shards;
+    a cell larger than a shard is dealt over several.
+    """
+    target, before, out = max(sum(cells.values()) / shards, 1e-9), 0, {}
+    for cell in sorted(cells):
+        first = min(int(before / target), shards - 1)
+        out[cell] = first, max(1, min(round(cells[cell] / target), shards - first))
+        before += cells[cell]
+    return out
+
+
 class Index:
     """BM25 weights of one shard's documents by term."""
 
@@ -234,14 +268,14 @@ def packed(docs: DataFrame, window: int = 2048, tokenizer: str | None = None) ->
 
     Rows: a null or empty text is the end id alone; a null or repeated id is a
     document of its own; an empty table gives an empty result; further columns are
-    ignored.  Runs agree: shards follow from the ids, order inside them from ids and
-    lengths and contents.
+    ignored.  Runs agree: shards follow from contents and ids, order inside them from
+    ids and lengths and contents.
     """
     path = tokenizer or default_tokenizer()
     spark, shards = docs.sparkSession, exchange.pieces(docs)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, press, names = encoder(path), zstandard.ZstdCompressor(level=1), ["shard", "doc_id", "n", "z", "df", "n_docs"]
+        coder, press, names = encoder(path), zstandard.ZstdCompressor(level=1), ["doc_id", "n", "z", "df", "n_docs"]
         vocabulary = coder.tokenizer.get_vocab_size()
         frequency, n_docs = np.zeros(vocabulary, np.int64), 0
         for block in blocks.cut(batches):
@@ -252,22 +286,18 @@ def packed(docs: DataFrame, window: int = 2048, tokenizer: str | None = None) ->
             n, rows = np.diff(begins), block.num_rows
             yield pa.RecordBatch.from_arrays(
                 [
-                    block.column("shard"), block.column("doc_id"), pa.array(n, pa.int64()),
+                    block.column("doc_id"), pa.array(n, pa.int64()),
                     pa.array([press.compress(raw[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
                     pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.int64()),
                 ],
                 names=names,
             )
         if n_docs:
-            one = [pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary())]
+            one = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary())]
             yield pa.RecordBatch.from_arrays([*one, pa.array([frequency.tobytes()], pa.binary()), pa.array([n_docs])], names=names)
 
-    shard = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(shards)).cast("int")
     tokens = written(
-        docs.select(shard.alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-            encode, "shard int, doc_id long, n long, z binary, df binary, n_docs long"
-        ),
-        "tokens",
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, n long, z binary, df binary, n_docs long"), "tokens"
     )
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,6 +320,58 @@ def packed(docs: DataFrame, window: int = 2048, tokenizer: str | None = None) ->
     rarity = np.log1p((n_docs - frequency + 0.5) / (frequency + 0.5))
     mean = float(tokens.agg(F.avg("n")).first()[0] or 1.0)
 
+    # A term that fewer documents hold than a part of a shard would tear its subject apart.
+    least = max(2.0, n_docs / shards / 8)
+
+    def keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        spread, parts = zstandard.ZstdDecompressor(), []
+        begins = np.concatenate(([0], np.cumsum(batch.column("n").to_numpy())))
+        low = 0
+        while low < batch.num_rows:
+            high = max(low + 1, int(np.searchsorted(begins, begins[low] + KEYED_IDS, side="right")) - 1)
+            ids = np.frombuffer(b"".join(spread.decompress(z) for z in batch.column("z").slice(low, high - low).to_pylist()), np.uint16)
+            parts.append(content_keys(ids, begins[low : high + 1] - begins[low], frequency, least))
+            low = high
+        return np.concatenate([t for t, _ in parts]), np.concatenate([p for _, p in parts])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((1 << 16) * PARTS, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                term, part = keys(batch)
+                np.add.at(total, term * PARTS + part, batch.column("n").to_numpy() + int(mean))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "w"])
+
+    whole = tokens.where("z IS NOT NULL").select("doc_id", "n", "z")
+    cells = whole.select("n", "z").mapInArrow(weigh, "at long, w long").groupBy("at").agg(F.sum("w").alias("w"))
+    cells = cells.select(F.expr(f"at div {PARTS}").alias("term"), F.expr(f"at % {PARTS}").alias("part"), "w")
+    # A row for each term, and for each part of those that one shard cannot hold: as many as the vocabulary and the shards bound.
+    by_cell = {(r["term"], -1): r["w"] for r in cells.groupBy("term").agg(F.sum("w").alias("w")).collect()}
+    target = sum(by_cell.values()) / shards
+    crowded = [term for (term, _), w in by_cell.items() if w > target]
+    for r in cells.where(F.col("term").isin(crowded)).collect() if crowded else []:
+        by_cell[r["term"], r["part"]] = r["w"]
+    for term in crowded:
+        del by_cell[term, -1]
+    first, over = (np.zeros((1 << 16, PARTS), np.int32) for _ in range(2))
+    for (term, part), (shard, n) in dealt(by_cell, shards).items():
+        first[term, slice(None) if part < 0 else part], over[term, slice(None) if part < 0 else part] = shard, n
+    held = np.flatnonzero(over.any(axis=1))
+    row_of = np.zeros(1 << 16, np.int64)
+    row_of[held] = np.arange(len(held))
+    first, over = (z if len(held) else np.zeros((1, PARTS), np.int32) for z in (first[held], over[held]))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                term, part = keys(batch)
+                # What crowds one cell is dealt on by ids and lengths.
+                ids = batch.column("doc_id").fill_null(-1).to_numpy().astype(np.uint64)
+                among = blocks.mixed(blocks.mixed(ids) + batch.column("n").to_numpy().astype(np.uint64))
+                shard = first[row_of[term], part] + (among % over[row_of[term], part].astype(np.uint64)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), *batch.columns], names=["shard", "doc_id", "n", "z"])
+
     def pack(table: pa.Table) -> pa.Table:
         spread, number = zstandard.ZstdDecompressor(), table.column("shard")[0].as_py()
         rows = [(d is None, d or 0, n, spread.decompress(z)) for d, n, z in zip(*(table.column(c).to_pylist() for c in ("doc_id", "n", "z")), strict=True)]
@@ -308,4 +390,4 @@ def packed(docs: DataFrame, window: int = 2048, tokenizer: str | None = None) ->
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         return pa.table([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
 
-    return tokens.where("shard IS NOT NULL").select("shard", "doc_id", "n", "z").groupBy("shard").applyInArrow(pack, OUT)
+    return whole.mapInArrow(deal, "shard int, doc_id long, n long, z binary").groupBy("shard").applyInArrow(pack, OUT)
