@@ -302,6 +302,18 @@ def test_license_scan(spark, docs, empty):
     assert not licenses.scanned(docs.limit(3), {}).collect() and not licenses.scanned(empty).collect()
 
 
+def test_short_notices_with_one_changed_word_are_found(spark):
+    texts = ["Released under an MIT License", "Released under MIT License", "so Released under the big MIT License it is", "a license under the sun"]
+    found = licenses.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    hits = {r["doc_id"]: r["matched_words"] for r in found if r["license"] == "MIT notice"}
+    assert hits == {0: 4, 1: 4, 2: 5}
+
+
+def test_templates_hold_whole_licenses():
+    assert licenses.TEMPLATES["BSD-2-Clause"].endswith("POSSIBILITY OF SUCH DAMAGE.")
+    assert licenses.TEMPLATES["ISC"].endswith("PERFORMANCE OF THIS SOFTWARE.") and "https://unlicense.org" in licenses.TEMPLATES["Unlicense"]
+
+
 def test_nearest_neighbours(spark):
     vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
     found = neighbours.nearest(vectors, "vec_id % 50 = 0").collect()

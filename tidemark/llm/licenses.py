@@ -1,8 +1,9 @@
-"""License notices inside documents: winnowed fingerprints, then banded alignment.
+"""License notices inside documents: winnowed fingerprints or enough words, then banded alignment.
 
 Templates are fingerprinted by winnowing their word n-grams; an inverted index from
 fingerprint to template and place picks candidates wherever a document has one of
-these n-grams.  Each candidate region is aligned with its template inside a band of
+these n-grams, or wherever as many words as must match stand close enough together.
+Each candidate region is aligned with its template inside a band of
 word shifts, and the alignment gives the matched words and their span.
 """
 
@@ -56,17 +57,32 @@ TEMPLATES: dict[str, str] = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
         "the above copyright notice and this permission notice appear in all copies. "
         'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES '
-        "OF MERCHANTABILITY AND FITNESS."
+        "OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY "
+        "DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+        "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
     ),
     "BSD-2-Clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
         "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
         "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
-        "documentation and/or other materials provided with the distribution."
+        "documentation and/or other materials provided with the distribution. "
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+        "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+        "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+        "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+        "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
+        "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
     ),
     "Unlicense": (
         "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
-        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. "
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the "
+        "software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and "
+        "successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this "
+        'software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED '
+        "TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY "
+        "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+        "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org>"
     ),
 }
 
@@ -117,6 +133,26 @@ class Index:
                 j += 1
 
 
+def crowded(template: np.ndarray, hashes: np.ndarray, known: np.ndarray, edges: np.ndarray, need: int) -> np.ndarray:
+    """Places where the template may begin, given the places of known words in ``hashes``.
+
+    A stretch that an alignment reads must hold at least ``need`` words of the template.
+    Of neighbouring places every few are given, so that the band covers the others.
+    """
+    mine = known[np.isin(hashes[known], template)]
+    if need < 1 or len(mine) < need:
+        return np.zeros(0, np.int64)
+    reach = len(template) + 2 * BAND
+    last = mine[need - 1 :]
+    near = last - mine[: len(last)] < reach
+    # The template begins so early at the first, or so late at the last, of these words.
+    low, high = last[near] - reach + 1 + BAND, mine[: len(last)][near] + BAND
+    low, high = np.maximum(low, edges[0] - BAND), np.minimum(high, edges[1] + BAND)
+    step = BAND // 2
+    low, n = low // step, np.maximum(high // step - low // step + 2, 0)
+    return np.unique(blocks.spread(low, n)) * step
+
+
 def aligned(template: np.ndarray, text: np.ndarray, start: int) -> tuple[int, int, int]:
     """Matched words and the span of words in ``text``, when the template begins near ``start``.
 
@@ -161,6 +197,8 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, least: flo
     """
     index = Index(TEMPLATES if templates is None else templates)
 
+    words_known = np.unique(np.concatenate([np.zeros(0, np.uint64), *index.words]))
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks.cut(batches):
             data, offsets = blocks.flat(block.column("text"))
@@ -174,6 +212,13 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, least: flo
                     # One alignment for all hits that its band covers.
                     if not any((int(doc[at]), template, begin + d) in wanted for d in range(-BAND // 2, BAND // 2 + 1)):
                         wanted[(int(doc[at]), template, begin)] = None
+            near = np.flatnonzero(np.isin(hashes, words_known))
+            for number in np.unique(doc[near]).tolist():
+                a, b = int(first[number]), int(first[number + 1])
+                places = near[np.searchsorted(near, a) : np.searchsorted(near, b)]
+                for template, words in enumerate(index.words):
+                    for at in crowded(words, hashes, places, (a, b), -int(-least * len(words) // 1)).tolist():
+                        wanted[(number, template, at - a)] = None
             found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
             for number, template, begin in wanted:
                 words = index.words[template]
