@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.fixed_values import TIMEFRAME_SECONDS
 from tidemark.functions import instants as ts
 from tidemark.functions import money
+from tidemark.operators import order_statistics
 
 INSTRUMENT = ("venue", "symbol")
 
@@ -63,15 +65,17 @@ def refresh_facts(bars: DataFrame, lookback_days: int) -> DataFrame:
     )
 
 
-def window_at(bars: DataFrame, as_ofs: DataFrame, lookback_days: int) -> DataFrame:
-    """Range join of bars to arbitrary instants: ``[as_of - L days, as_of - 1 day]``.
+def window_at(
+    bars: DataFrame, as_ofs: DataFrame, lookback_days: int, bar_seconds: int = TIMEFRAME_SECONDS["1d"]
+) -> DataFrame:
+    """Range join of bars to arbitrary instants: ``[as_of - L days, as_of - 1 bar]``.
 
     Each instant is fanned out to the calendar days its window touches, which
     turns the range into an equality on the day plus an exact filter.  The fan
     out is on the instants, never on the bars.  ``as_ofs`` has (venue, as_of).
     """
     floor = F.col("as_of") - ts.days(lookback_days)
-    ceiling = F.col("as_of") - ts.days(1)
+    ceiling = F.col("as_of") - ts.seconds(bar_seconds)
     touched = as_ofs.distinct().select(
         "venue",
         "as_of",
@@ -99,6 +103,12 @@ def window_statistics(windowed: DataFrame) -> DataFrame:
     )
 
 
+def window_medians(windowed: DataFrame) -> DataFrame:
+    """The same for windows of fine bars: medians by counting, nothing gathered."""
+    medians = order_statistics.exact_medians(windowed, [*INSTRUMENT, "as_of"], "quote_volume")
+    return medians.withColumnRenamed("median", "median_quote_volume")
+
+
 def close_as_of(bars: DataFrame, probes: DataFrame) -> DataFrame:
     """As-of join: the newest close visible at each (venue, symbol, as_of).
 

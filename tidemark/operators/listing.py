@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fv
 from tidemark.functions import instants as ts
-from tidemark.operators import history
+from tidemark.operators import history, intervals
 from tidemark.session import small
 
 METHOD = (
@@ -105,11 +105,6 @@ def refreshes(windows: DataFrame) -> DataFrame:
     )
 
 
-def year_starts(windows: DataFrame) -> DataFrame:
-    """(venue, as_of): year starts inside each venue's observed window."""
-    return refreshes(windows).where(F.month("as_of") == 1)
-
-
 def listed_at_instants(entries: DataFrame, windows: DataFrame, venue_count: int) -> DataFrame:
     """Interval containment: every entry with every refresh at which it was listed.
 
@@ -139,6 +134,16 @@ def listed_on(entries: DataFrame, moments: list[str]) -> DataFrame:
     return entries.withColumn("as_of", F.explode(contained))
 
 
+def listed_when(facts: DataFrame, entries: DataFrame, moment: str, name: str = "listed") -> DataFrame:
+    """Every row of ``facts`` with whether its instrument was listed at the row's own instant.
+
+    Only rebuildable windows count.  A row whose instrument has none is not listed;
+    a row without an instant has no answer.
+    """
+    windows = entries.where("metadata_available").select(*history.INSTRUMENT, "listed_at", "delisted_at")
+    return intervals.label(facts, windows, list(history.INSTRUMENT), moment, "listed_at", "delisted_at", name)
+
+
 def symbols_at(listed: DataFrame) -> DataFrame:
     """Listed and rebuildable."""
     return listed.where("metadata_available").select("venue", "as_of", "symbol")

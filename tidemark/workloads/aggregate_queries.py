@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fv
-from tidemark.operators import costs, coverage, entitlements, history, journal, listing, policy
+from tidemark.operators import costs, coverage, depth, entitlements, history, journal, listing, policy
 from tidemark.operators import decisions as audit
 from tidemark.parameters import profile_table
 from tidemark.session import dimension, lookup, small
@@ -332,6 +332,64 @@ def cost_model(spark, sf_dir):
     )
 
 
+_LEVELS_SQL = """
+    SELECT *, coalesce(sum(quantity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead, first(price) OVER w AS best
+    FROM (SELECT symbol, side, CASE side WHEN 'buy' THEN cents ELSE 180000 - cents END AS price, cents AS rank, sum(p_size)::BIGINT AS quantity
+          FROM (SELECT p_brand AS symbol, p_size, (p_retailprice::DECIMAL(18,2) * 100)::BIGINT AS cents, unnest(['buy', 'sell']) AS side FROM part)
+          WHERE cents < 180000 GROUP BY ALL)
+    WINDOW w AS (PARTITION BY symbol, side ORDER BY rank)"""
+_FILLED_SQL = f"""
+    SELECT *, (2 * spent * 100000000 + filled) // (2 * filled) AS average, best::HUGEINT * 100000000 AS b
+    FROM (SELECT id, venue, symbol, side, wanted, sum(take)::HUGEINT AS filled, sum(price * take)::HUGEINT AS spent,
+                 count(*) FILTER (take > 0) AS levels, any_value(best) AS best
+          FROM (SELECT t.*, price, best, greatest(0, least(quantity, wanted - ahead)) AS take
+                FROM (SELECT row_number() OVER () AS id, venue, symbol, qty::BIGINT * 60 AS wanted,
+                             CASE WHEN l_linenumber % 2 = 1 THEN 'buy' ELSE 'sell' END AS side FROM fx_every_print) t
+                JOIN ({_LEVELS_SQL}) USING (symbol, side))
+          GROUP BY id, venue, symbol, side, wanted)"""
+
+
+def order_book(spark, sf_dir: str):
+    """Parts as levels: each offers its size at its price, and as much is bid below 900."""
+    parts = fx.table(spark, sf_dir, "part").select(
+        fx.brand_number().alias("n"), F.col("p_brand").alias("symbol"), F.col("p_retailprice").cast("decimal(18,2)").alias("ask"),
+        F.col("p_size").alias("quantity"),
+    ).where("ask < 1800")
+    sides = F.array(
+        F.struct(F.lit("ask").alias("side"), F.col("ask").alias("price")),
+        F.struct(F.lit("bid").alias("side"), (F.lit("1800").cast("decimal(18,2)") - F.col("ask")).cast("decimal(18,2)").alias("price")),
+    )
+    return parts.select(fx.venue_of_brand().alias("venue"), "symbol", "quantity", F.inline(sides))
+
+
+@query(
+    "udx_1_depth_slippage",
+    f"""
+    SELECT venue, symbol, side, filled >= wanted AS complete, count(*) AS trades, sum(levels)::BIGINT AS levels,
+           sum(filled)::DECIMAL(34,2)::VARCHAR AS filled, (sum(spent)::DECIMAL(34,0) * 0.01)::DECIMAL(34,4)::VARCHAR AS notional,
+           sum(average)::DECIMAL(38,0)::VARCHAR AS average_e10,
+           sum((2 * (CASE side WHEN 'buy' THEN average - b ELSE b - average END) * 100000000000000 + b) // (2 * b))::DECIMAL(38,0)::VARCHAR AS slippage_e10
+    FROM ({_FILLED_SQL}) GROUP BY ALL""",
+)
+def depth_slippage(spark, sf_dir):
+    """Every print sixty times over against its instrument's book, bought or sold.
+
+    Some orders fit into a few levels, some empty the side; sums are exact to the
+    tenth decimal.
+    """
+    odd = F.col("l_linenumber") % 2 == 1
+    asked = fx.all_prints(spark, sf_dir).select(
+        "venue", "symbol", F.when(odd, depth.BUY).otherwise(depth.SELL).alias("side"), (F.col("qty") * 60).alias("quantity")
+    )
+    book = depth.books(order_book(spark, sf_dir))
+    found = depth.filled(lookup(asked, book, ["venue", "symbol"]))
+    e10 = lambda name: (F.sum(name).cast("decimal(28,10)") * 10_000_000_000).cast("decimal(38,0)").cast("string").alias(f"{name.split('_')[0]}_e10")
+    return found.groupBy("venue", "symbol", "side", "complete").agg(
+        F.count("*").alias("trades"), F.sum("levels").alias("levels"), exact(F.sum("filled"), 2, "filled"),
+        exact(F.sum("notional"), 4, "notional"), e10("average"), e10("slippage_bps"),
+    )
+
+
 @query(
     "udx_2_two_venue_models",
     f"""

@@ -8,7 +8,7 @@ from tidemark.operators import listing
 from tidemark.session import staging_path
 from tidemark.sinks import bars as bar_sink
 from tidemark.sinks import records
-from tidemark.streaming import ingest, live_bars
+from tidemark.streaming import corrected_bars, ingest, live_bars
 from tidemark.workloads import fixtures as fx
 from tidemark.workloads.edge import exact, stamp
 from tidemark.workloads.registry import query
@@ -133,3 +133,88 @@ def closed_bars_stream(spark, sf_dir):
         stamp("open_time"),
         *[exact(name, 2) for name in ("open", "high", "low", "close", "volume")],
     )
+
+
+def _intraday_rows(bars, *more):
+    return bars.select(
+        "symbol",
+        stamp("open_time"),
+        *[exact(name, 2) for name in ("open", "high", "low", "close", "volume")],
+        *more,
+    )
+
+
+#: Where the landed prints of the month are cut.
+_LANDINGS = ("2024-01-12", "2024-01-22")
+_LATENESS = 600
+
+
+def _last_look(spark, sf_dir):
+    """Somebody looks once the hour of the last print and the lateness are over."""
+    newest = fx.intraday_prints(spark, sf_dir).agg(F.max(F.unix_micros("ts")).alias("at")).first()["at"]
+    hour = 3_600_000_000
+    return F.timestamp_micros(F.lit((newest // hour + 1) * hour + _LATENESS * 1_000_000))
+
+
+_HOURS = f"""
+    SELECT symbol, strftime(open_time, {_ISO}) AS open_time, open::DECIMAL(34,2)::VARCHAR AS open,
+           high::DECIMAL(34,2)::VARCHAR AS high, low::DECIMAL(34,2)::VARCHAR AS low,
+           close::DECIMAL(34,2)::VARCHAR AS close, volume::DECIMAL(34,2)::VARCHAR AS volume"""
+
+
+@query("str_2_closed_by_observation", f"{_HOURS} FROM fx_intraday_bars WHERE timeframe = '1h'")
+def closed_by_observation(spark, sf_dir):
+    """Hourly bars of a market that falls silent: the last poll closes the last hour.
+
+    The prints land in three parts, each with its poll, and the stream is run after
+    each landing; no print follows the last one.
+    """
+    root = staging_path(spark, "observed")
+    prints = fx.intraday_prints(spark, sf_dir)
+    first, second = (F.to_timestamp(F.lit(day)) for day in _LANDINGS)
+    parts = (
+        (prints.where(F.col("ts") < first), first),
+        (prints.where((F.col("ts") >= first) & (F.col("ts") < second)), second),
+        (prints.where(F.col("ts") >= second), _last_look(spark, sf_dir)),
+    )
+    for landed, observed_at in parts:
+        live_bars.land(landed, observed_at, f"{root}/landing")
+        stream = live_bars.landed_prints(spark, prints.schema, f"{root}/landing")
+        closed = live_bars.closed_bars(stream, "1h", f"{_LATENESS} seconds", ["ts", "event_id"])
+        live_bars.append_available(closed, f"{root}/bars", f"{root}/checkpoint")
+    return _intraday_rows(spark.read.parquet(f"{root}/bars"))
+
+
+@query(
+    "str_2_late_corrections",
+    f"""
+    {_HOURS}, coalesce(late_prints, 0) AS late_prints
+    FROM fx_intraday_bars LEFT JOIN (
+      SELECT symbol, date_trunc('hour', ts)::TIMESTAMP AS open_time, count(*) AS late_prints
+      FROM fx_intraday WHERE event_id % 20 = 0 AND ts < TIMESTAMP '{_LANDINGS[0]}' GROUP BY ALL) USING (symbol, open_time)
+    WHERE timeframe = '1h'""",
+)
+def late_corrections(spark, sf_dir):
+    """Hourly bars although every twentieth early print lands ten days late.
+
+    The stream and its corrections give the bars of all prints; beside each stands
+    how many of its prints came behind the watermark.
+    """
+    root = staging_path(spark, "corrected")
+    prints = fx.intraday_prints(spark, sf_dir)
+    first, second = (F.to_timestamp(F.lit(day)) for day in _LANDINGS)
+    late = (F.col("event_id") % 20 == 0) & (F.col("ts") < first)
+    keeper = corrected_bars.CorrectedBars(
+        bar_sink.BarStore(spark, f"{root}/store"), f"{root}/live", "1h", _LATENESS, ("ts", "event_id")
+    )
+    parts = (
+        (prints.where((F.col("ts") < first) & ~late), first),
+        (prints.where((F.col("ts") >= first) & (F.col("ts") < second)), second),
+        (prints.where((F.col("ts") >= second) | late), _last_look(spark, sf_dir)),
+    )
+    for landed, observed_at in parts:
+        live_bars.land(landed, observed_at, f"{root}/landing")
+        keeper.run_available(live_bars.landed_prints(spark, prints.schema, f"{root}/landing"))
+    counts = keeper.late_prints().groupBy("symbol", "open_time").agg(F.count("*").alias("late_prints"))
+    bars = keeper.store.table().join(counts, ["symbol", "open_time"], "left")
+    return _intraday_rows(bars, F.coalesce("late_prints", F.lit(0)).alias("late_prints"))

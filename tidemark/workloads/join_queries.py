@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fv
 from tidemark.functions import instants as ts
-from tidemark.operators import coverage, cross_section, history, policy
+from tidemark.operators import coverage, cross_section, history, intervals, listing, order_statistics, policy, rules
 from tidemark.plans.universe import latest_only
+from tidemark.session import staging_path
 from tidemark.sources import bars as bar_source
 from tidemark.workloads import fixtures as fx
 from tidemark.workloads.edge import exact, month, stamp
@@ -69,6 +70,54 @@ def interval_containment(spark, sf_dir):
     return fx.market(spark, sf_dir).listed.select("venue", month(), "symbol", "metadata_available")
 
 
+@query(
+    "jn_3_listed_per_print",
+    """
+    SELECT venue, symbol, listed, count(*) AS prints, sum(quote_qty)::DECIMAL(34,2)::VARCHAR AS turnover,
+           strftime(min(ts), '%Y-%m-%dT%H:%M:%S') AS first_print, strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS last_print
+    FROM (SELECT p.*, EXISTS (SELECT 1 FROM fx_calendar c WHERE c.venue = p.venue AND c.symbol = p.symbol AND c.metadata_available
+                              AND c.listed_at <= p.ts AND (c.delisted_at IS NULL OR p.ts < c.delisted_at)) AS listed
+          FROM fx_every_print p)
+    GROUP BY ALL""",
+)
+def listed_per_print(spark, sf_dir):
+    """Every print against the calendar at its own instant, those outside all windows included."""
+    labelled = listing.listed_when(fx.all_prints(spark, sf_dir), fx.market(spark, sf_dir).calendar, "ts")
+    return labelled.groupBy("venue", "symbol", "listed").agg(
+        F.count("*").alias("prints"),
+        exact(F.sum("quote_qty"), 2, "turnover"),
+        stamp(F.min("ts"), "first_print"),
+        stamp(F.max("ts"), "last_print"),
+    )
+
+
+@query(
+    "jn_3_trading_phase_per_print",
+    """
+    SELECT venue, symbol, busy, count(*) AS prints
+    FROM (SELECT p.*, EXISTS (
+            SELECT 1 FROM fx_bars c WHERE c.volume > 60 AND c.venue = p.venue AND c.symbol = p.symbol AND c.open_time <= p.ts
+            AND p.ts < c.open_time + CASE WHEN volume > 250 THEN INTERVAL 400 DAY WHEN volume > 100 THEN INTERVAL 20 DAY
+                                          ELSE INTERVAL 36 HOUR END) AS busy
+          FROM fx_every_print p)
+    GROUP BY ALL""",
+)
+def trading_phase_per_print(spark, sf_dir):
+    """Very many overlapping phases per instrument, from 36 hours to 400 days, against every print.
+
+    A phase begins with a busy day and lasts the longer, the busier the day was.
+    """
+    long, middle, short = (F.expr(f"INTERVAL {span}") for span in ("400 DAY", "20 DAY", "36 HOUR"))
+    volume = F.col("volume")
+    phases = fx.daily_bars(spark, sf_dir).where(volume > 60).select(
+        "venue", "symbol", F.col("open_time").alias("opened"),
+        (F.when(volume > 250, F.col("open_time") + long).when(volume > 100, F.col("open_time") + middle)
+         .otherwise(F.col("open_time") + short)).alias("ended"),
+    )
+    labelled = intervals.label(fx.all_prints(spark, sf_dir), phases, ["venue", "symbol"], "ts", "opened", "ended", "busy")
+    return labelled.groupBy("venue", "symbol", "busy").agg(F.count("*").alias("prints"))
+
+
 @query(
     "jn_4_candidates",
     f"""
@@ -206,6 +255,66 @@ def trailing_window(spark, sf_dir):
     )
 
 
+_WEEKS = ("2024-01-08", "2024-01-15", "2024-01-22", "2024-01-29", "2024-02-01")
+_MINUTE_SQL = f"""
+    SELECT b.venue, b.symbol, r.as_of, count(*) AS observations,
+           median(b.quote_volume::DECIMAL(28,4)) AS median_quote_volume
+    FROM fx_intraday_bars b JOIN (SELECT unnest([{", ".join(f"TIMESTAMP '{w}'" for w in _WEEKS)}]) AS as_of) r
+      ON b.open_time >= r.as_of - INTERVAL 30 DAY AND b.open_time <= r.as_of - INTERVAL 1 MINUTE
+    WHERE b.timeframe = '1m' GROUP BY b.venue, b.symbol, r.as_of"""
+
+
+def minute_windows(spark, sf_dir: str):
+    """One-minute bars of the thirty days before each of five instants, as a table."""
+    bars = bar_source.from_prints(fx.intraday_prints(spark, sf_dir), "1m", ["ts", "event_id"])
+    asked = spark.range(1).select(
+        F.lit("gamma").alias("venue"), F.explode(F.array(*[F.to_timestamp(F.lit(w)) for w in _WEEKS])).alias("as_of")
+    )
+    windowed = history.window_at(bars, asked, 30, fv.TIMEFRAME_SECONDS["1m"])
+    path = staging_path(spark, "minute-windows")
+    windowed.select("venue", "symbol", "as_of", "open_time", "quote_volume").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query(
+    "agg_1_median_of_minute_bars",
+    f"""
+    SELECT venue, symbol, strftime(as_of, {_ISO}) AS as_of, observations,
+           median_quote_volume::DECIMAL(34,4)::VARCHAR AS median_quote_volume FROM ({_MINUTE_SQL})""",
+)
+def median_of_minute_bars(spark, sf_dir):
+    """Exact medians of windows with tens of thousands of bars: counted, never gathered."""
+    return history.window_medians(minute_windows(spark, sf_dir)).select(
+        "venue", "symbol", stamp("as_of"), "observations", exact("median_quote_volume", 4)
+    )
+
+
+@query(
+    "rul_3_minute_bars",
+    f"""
+    SELECT venue, symbol, strftime(as_of, {_ISO}) AS as_of,
+           CASE WHEN observations < 667 THEN 'not_evaluable' WHEN median_quote_volume >= 450 THEN 'admit' ELSE 'reject' END AS outcome
+    FROM ({_MINUTE_SQL})""",
+)
+def minute_bar_rule(spark, sf_dir):
+    """The turnover rule on minute bars, with a floor and a count that fit them."""
+    rule = rules.median_quote_volume("450", 667)
+    facts = history.window_medians(minute_windows(spark, sf_dir))
+    return facts.select("venue", "symbol", stamp("as_of"), rule.verdict().alias("outcome"))
+
+
+@query(
+    "agg_1_median_of_prints",
+    """
+    SELECT venue, count(*) AS observations, median(quote_qty::DECIMAL(28,4))::DECIMAL(34,4)::VARCHAR AS median_quote_volume
+    FROM fx_every_print GROUP BY ALL""",
+)
+def median_of_prints(spark, sf_dir):
+    """The median trade of a venue over all its prints: two groups that hold everything."""
+    found = order_statistics.exact_medians(fx.all_prints(spark, sf_dir), ["venue"], "quote_qty")
+    return found.select("venue", "observations", exact("median", 4, "median_quote_volume"))
+
+
 @query(
     "win_2_ordered_history",
     f"""
