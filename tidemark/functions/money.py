@@ -9,8 +9,10 @@ PRICE = "decimal(20,10)"
 QUANTITY = "decimal(24,8)"
 #: Four digits short of Spark's maximum so that (a + b) / 2 keeps every digit.
 NOTIONAL = "decimal(34,13)"
-#: Lots: venues state up to twelve decimals.  Times a price this is still exact.
-LOT = "decimal(28,12)"
+#: Lots: any power of ten a decimal can hold beside ten whole digits.
+LOT = "decimal(38,28)"
+#: What a lot is worth; the product of a lot and a price is kept to seventeen decimals.
+LOT_VALUE = "decimal(38,17)"
 MEDIAN = "decimal(37,14)"
 BPS = "decimal(20,10)"
 

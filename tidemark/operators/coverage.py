@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,10 @@ def visibility(every: DataFrame, visible: DataFrame) -> DataFrame:
     )
 
 
-def not_yet_stored(wanted: DataFrame, stored: DataFrame) -> DataFrame:
-    """Resume: wanted instruments without any stored series."""
-    return wanted.join(stored.select(*KEY).distinct(), list(KEY), "left_anti")
+def not_yet_stored(wanted: DataFrame, stored: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """Resume: wanted instruments without any stored series.
+
+    ``also`` names further columns a series is stored by, such as its year.
+    """
+    keys = [*KEY, *also]
+    return wanted.join(stored.select(*keys).distinct(), keys, "left_anti")

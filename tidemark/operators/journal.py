@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.fixed_values import MAX_ATTEMPTS
 
 REQUEST = ("venue", "url", "params")
-#: Further columns that tell requests apart, where a journal has them.
+#: Further columns that tell requests apart, where a journal has them: a request may be
+#: made again by a later run.
 RUN = ("method", "run")
 
 

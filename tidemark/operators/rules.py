@@ -90,7 +90,8 @@ def min_notional_feasible(allowance) -> Rule:
 def lot_size_feasible(allowance) -> Rule:
     def verdict() -> Column:
         lot, close = F.col("lot_size"), F.col("close_as_of")
-        fits = (lot <= 0) | (close <= 0) | (lot * close <= _amount(allowance, money.NOTIONAL))
+        value = (lot.cast(money.LOT) * close.cast(money.PRICE)).cast(money.LOT_VALUE)
+        fits = (lot <= 0) | (close <= 0) | (value <= _amount(allowance, money.NOTIONAL))
         return unless_unknown(F.col("close_as_of").isNull(), admit_when(fits))
 
     return Rule(fv.LOT_SIZE_FEASIBLE, verdict)

@@ -88,7 +88,7 @@ def write_journal(journal: DataFrame, path: str) -> None:
 
 JOURNAL_SCHEMA = """venue string, method string, url string, params map<string,string>,
   requested_at timestamp, responded_at timestamp, status int, payload_bytes bigint, attempt int,
-  outcome string, detail string"""
+  outcome string, detail string, run string"""
 
 
 def read_journal(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +73,14 @@ def load(spark: SparkSession, venue: str, root: str, series_per_line: bool = Fal
     )
 
 
+def together(venues: list[VenueFiles]) -> VenueFiles:
+    """Several venues as one data set; every row says which venue it is from."""
+    metadata, bars, spreads = (
+        reduce(DataFrame.unionByName, [getattr(v, part) for v in venues]) for part in ("metadata", "bars", "spreads")
+    )
+    return VenueFiles(metadata, bars, spreads)
+
+
 def _series(spark: SparkSession, venue: str, root: str, per_line: bool) -> DataFrame:
     schema = "symbol string, timeframe string, rows array<array<string>>"
     if path_exists(spark, f"{root}/bars"):

@@ -8,13 +8,19 @@ from pyspark.sql.types import StructType
 from tidemark.sinks.bars import BarStore
 
 
-def landed_bars(spark: SparkSession, schema: StructType, path: str) -> DataFrame:
-    """New parquet files in a landing folder, as a stream."""
-    return spark.readStream.schema(schema).parquet(path)
+#: Landed files a batch takes in; a backlog of more is several batches.
+FILES_PER_BATCH = 1_000
+
+
+def landed_bars(
+    spark: SparkSession, schema: StructType, path: str, files_per_batch: int = FILES_PER_BATCH
+) -> DataFrame:
+    """New parquet files in a landing folder, as a stream of bounded batches."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
 def ingest_available(stream: DataFrame, store: BarStore, checkpoint: str) -> None:
-    """Take in everything that has landed and stop.
+    """Take in everything that has landed, batch after batch, and stop.
 
     A batch that is replayed after a failure merges to the same rows, because
     the store keeps one row per key.

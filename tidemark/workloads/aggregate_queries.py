@@ -9,7 +9,9 @@ from tidemark import fixed_values as fv
 from tidemark.operators import costs, coverage, depth, entitlements, history, journal, listing, policy
 from tidemark.operators import decisions as audit
 from tidemark.parameters import profile_table
-from tidemark.session import dimension, lookup, small
+from tidemark.session import dimension, lookup, small, staging_path
+from tidemark.sinks import records
+from tidemark.sources import envelopes
 from tidemark.sources import metadata as metadata_source
 from tidemark.workloads import fixtures as fx
 from tidemark.workloads import payloads
@@ -126,6 +128,42 @@ def final_outcome(spark, sf_dir):
     )
 
 
+_RUNS_SQL = """
+    SELECT venue, url, params, run, attempt, CASE WHEN status IS NULL THEN 'transport_error' WHEN status BETWEEN 200 AND 299 THEN 'ok'
+             WHEN status IN (429, 500, 502, 503) THEN 'retryable' ELSE 'rejected' END AS outcome
+    FROM (SELECT venue, url, params, attempt, status, 'first' AS run FROM fx_journal
+          UNION ALL
+          SELECT venue, url, params, attempt, CASE WHEN attempt % 2 = 0 THEN 503 WHEN request % 4 = 0 THEN 404 WHEN request % 4 = 1 THEN 200
+                   WHEN request % 4 = 2 THEN NULL ELSE 429 END, 'second' FROM fx_journal)"""
+
+
+@query(
+    "agg_8_outcome_per_run",
+    f"""
+    SELECT venue, url, params, run, max(attempt)::BIGINT AS attempts,
+           CASE WHEN bool_or(outcome = 'ok') THEN 'ok' WHEN bool_or(outcome = 'rejected') THEN 'rejected'
+                WHEN max(attempt) >= 5 THEN 'unavailable' ELSE 'pending' END AS final_outcome
+    FROM ({_RUNS_SQL}) GROUP BY ALL""",
+)
+def outcome_per_run(spark, sf_dir):
+    """The same requests made by two runs, written as a journal and read back: two answers each."""
+    first = fx.journal(spark, sf_dir).withColumn("run", F.lit("first"))
+    request = F.regexp_extract("params", "start=([0-9]+)", 1).cast("bigint") % 4
+    status = (
+        F.when(F.col("attempt") % 2 == 0, 503).when(request == 0, 404).when(request == 1, 200)
+        .when(request == 2, F.lit(None).cast("int")).otherwise(429)
+    )
+    second = first.withColumns({"run": F.lit("second"), "status": status}).withColumn("outcome", envelopes.response_outcome(F.col("status")))
+    path = staging_path(spark, "runs")
+    records.write_journal(first.unionByName(second), path)
+    lines = records.read_journal(spark, path)
+    # Parameters come back as an object; as text they identify the request again.
+    text = F.concat_ws("&", F.transform(F.array_sort(F.map_keys("params")), lambda k: F.concat(k, F.lit("="), F.col("params")[k])))
+    return journal.final_outcomes(lines.withColumn("params", text)).select(
+        "venue", "url", "params", "run", F.col("attempts").cast("bigint").alias("attempts"), "final_outcome"
+    )
+
+
 def _finals_with_symbol(spark, sf_dir: str):
     return journal.final_outcomes(fx.journal(spark, sf_dir)).withColumn(
         "symbol", F.regexp_extract("params", "symbol=([^&]+)", 1)

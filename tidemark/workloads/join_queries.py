@@ -184,20 +184,19 @@ def evaluation_cells(spark, sf_dir):
 @query(
     "jn_7_not_yet_stored",
     """
-    SELECT venue, symbol FROM fx_listing WHERE key NOT IN (
-      SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 40)""",
+    SELECT venue, symbol, CAST(year AS INT) AS year FROM fx_listing, range(1995, 2002) t(year)
+    WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = key AND year(l_shipdate) = year)""",
 )
 def not_yet_stored(spark, sf_dir):
-    """Resume a collection: parts with a large returned line count as stored."""
+    """Resume a collection of yearly series: a part's year counts as stored with its first line."""
     stored = (
         fx.table(spark, sf_dir, "lineitem")
-        .where("l_returnflag = 'R' AND l_quantity >= 40")
-        .select(F.col("l_partkey").alias("key"))
+        .select(F.col("l_partkey").alias("key"), F.year("l_shipdate").alias("year"))
         .distinct()
         .join(fx.listings(spark, sf_dir), "key")
     )
-    wanted = fx.listings(spark, sf_dir).select("venue", "symbol")
-    return coverage.not_yet_stored(wanted, stored)
+    wanted = fx.listings(spark, sf_dir).select("venue", "symbol", F.explode(F.sequence(F.lit(1995), F.lit(2001))).alias("year"))
+    return coverage.not_yet_stored(wanted, stored, also=["year"])
 
 
 @query(

@@ -139,8 +139,9 @@ def symbol_descriptions(spark, sf_dir: str) -> DataFrame:
     )
 
 
-def pair_descriptions(spark, sf_dir: str) -> DataFrame:
+def pair_descriptions(spark, sf_dir: str, lot_decimals: Column | None = None) -> DataFrame:
     """Pair pages keyed by canonical name; some have no usable display name."""
+    decimals = F.col("size") % 9 if lot_decimals is None else lot_decimals
     kind = F.col("size") % 6
     name = (
         F.when(kind == 0, F.lit(""))
@@ -151,7 +152,7 @@ def pair_descriptions(spark, sf_dir: str) -> DataFrame:
         _quoted(F.col("canonical")),
         F.lit(':{"altname":"'), F.col("symbol"), F.lit('",'), name,
         F.lit('"status":"online","tick_size":"0.1","lot_decimals":'),
-        (F.col("size") % 9).cast("string"),
+        decimals.cast("string"),
         F.lit(',"costmin":"'), F.col("price").cast("string"), F.lit('"}'),
     )
     return _pages(fx.listings(spark, sf_dir).withColumn("row", row), 200).select(

@@ -356,6 +356,42 @@ def recorded_responses(spark, sf_dir):
     )
 
 
+@query(
+    "flt_15_recommendations",
+    """
+    SELECT CASE event_id % 9 WHEN 1 THEN 'action: unknown label' WHEN 2 THEN 'confidence: outside 0..1'
+        WHEN 3 THEN 'unexpected field' WHEN 4 THEN 'strategy: missing required key' WHEN 5 THEN 'strategy: expected string'
+        WHEN 6 THEN 'regime: unknown label' WHEN 7 THEN 'not an object' ELSE 'valid' END AS reason,
+      event_type, count(*) AS responses
+    FROM events GROUP BY ALL""",
+)
+def recommendations(spark, sf_dir):
+    """Recorded recommendations; whatever sizes a position is not the model's to say."""
+    kind = F.col("event_id") % 9
+    share = F.concat(F.lit("0."), (F.col("user_id") % 10).cast("string"))
+    body = (
+        F.when(kind == 1, F.lit('"action":"buy","strategy":"momentum"'))
+        .when(kind == 3, F.lit('"action":"long","strategy":"momentum","position_size":1'))
+        .when(kind == 4, F.lit('"action":"short"'))
+        .when(kind == 5, F.lit('"action":"flat","strategy":7'))
+        .when(kind == 6, F.lit('"action":"flat","strategy":"carry","regime":"sideways"'))
+        .when(kind == 8, F.lit('"action":"no_action","strategy":"carry","regime":"unknown","rationale":"calm"'))
+        .otherwise(F.lit('"action":"long","strategy":"momentum"'))
+    )
+    confidence = F.when(kind == 2, F.lit("1.01")).otherwise(share)
+    response = F.when(kind == 7, F.lit("[1]")).otherwise(
+        F.concat(F.lit("{"), body, F.lit(',"confidence":'), confidence, F.lit("}"))
+    )
+    fault = envelopes.recommendation_fault(F.col("response"))
+    return (
+        fx.table(spark, sf_dir, "events")
+        .select("event_type", response.alias("response"))
+        .select("event_type", F.coalesce(fault, F.lit("valid")).alias("reason"))
+        .groupBy("reason", "event_type")
+        .agg(F.count("*").alias("responses"))
+    )
+
+
 #: Registered secrets for the redaction query; the last one is too short to count.
 SECRETS = ("password", "password123", "licence", "license", "mention", "example", "the")
 

@@ -134,6 +134,30 @@ def parse_pair_metadata(spark, sf_dir):
     )
 
 
+@query(
+    "src_5_fine_lots",
+    """
+    SELECT venue, symbol, decimals, CASE WHEN decimals <= 28 THEN CASE WHEN decimals <= 0 THEN '1' || repeat('0', CAST(-decimals AS INT)) || '.'
+               ELSE '0.' || repeat('0', CAST(decimals AS INT) - 1) || '1' END END AS lot_text,
+           CASE WHEN decimals > 28 THEN 'lot_decimals: outside what a lot can hold' ELSE '' END AS reason
+    FROM (SELECT venue, symbol, key % 36 - 4 AS decimals FROM fx_listing WHERE size % 6 > 1)""",
+)
+def fine_lots(spark, sf_dir):
+    """Lots from 10,000 down to what no decimal can hold; only those are set aside."""
+    pages = payloads.pair_descriptions(spark, sf_dir, F.col("key") % 36 - 4)
+    parsed = metadata.parse_pairs(pages)
+    text = F.col("lot_size").cast("decimal(38,28)").cast("string")
+    # Digits and nothing else, without the zeros behind the last one.
+    plain = F.regexp_replace(text, "0+$", "")
+    return parsed.select(
+        "venue",
+        "symbol",
+        (F.substring("symbol", 2, 20).cast("bigint") % 36 - 4).alias("decimals"),
+        plain.alias("lot_text"),
+        F.coalesce("reason", F.lit("")).alias("reason"),
+    )
+
+
 @query(
     "src_6_metadata_with_halted",
     """
@@ -192,7 +216,7 @@ def level_spreads(spark, sf_dir):
     return spreads.select("venue", "symbol", exact("spread_bps", 4))
 
 
-def landed_venue(spark, sf_dir: str, venue: str) -> str:
+def landed_venue(spark, sf_dir: str, venue: str, bars, described_in: str = "symbol_metadata.json") -> str:
     """Write one venue's folder the way a collector leaves it."""
     root = staging_path(spark, f"landed-{venue}")
     described = fx.metadata(spark, sf_dir).where(F.col("venue") == venue)
@@ -204,7 +228,7 @@ def landed_venue(spark, sf_dir: str, venue: str) -> str:
     )
     one_document(described.groupBy().agg(
         F.to_json(F.map_from_entries(F.collect_list(F.struct("symbol", entry)))).alias("value")
-    ), f"{root}/symbol_metadata.json")
+    ), f"{root}/{described_in}")
     row = F.array(
         F.unix_millis("open_time").cast("string"),
         F.col("close").cast("decimal(18,2)").cast("string"),
@@ -214,8 +238,7 @@ def landed_venue(spark, sf_dir: str, venue: str) -> str:
         ),
     )
     (
-        fx.daily_bars(spark, sf_dir)
-        .where(F.col("venue") == venue)
+        bars.where(F.col("venue") == venue)
         .groupBy("symbol", "timeframe", F.year("open_time").alias("year"))
         .agg(F.sort_array(F.collect_list(row)).alias("rows"))
         .select("symbol", "timeframe", "rows")
@@ -240,26 +263,30 @@ def one_document(frame, path: str) -> None:
 @query(
     "src_10_venue_dataset",
     """
-    SELECT m.symbol, m.quote, m.status, b.bars, b.turnovers, b.last_close,
+    SELECT m.venue, m.symbol, m.quote, m.status, b.bars, b.turnovers, b.last_close,
            m.spread_bps::DECIMAL(10,2)::VARCHAR AS spread_bps
     FROM fx_meta m JOIN (
-      SELECT symbol, count(*) AS bars, count(*) FILTER (quote_volume % 100 <> 0) AS turnovers,
+      SELECT venue, symbol, count(*) AS bars, count(*) FILTER (quote_volume % 100 <> 0) AS turnovers,
              arg_max(close, open_time)::DECIMAL(34,2)::VARCHAR AS last_close
-      FROM fx_bars WHERE venue = 'alpha' GROUP BY ALL) b USING (symbol)
-    WHERE m.venue = 'alpha'""",
+      FROM fx_bars GROUP BY ALL) b USING (venue, symbol)""",
 )
 def venue_dataset(spark, sf_dir):
-    root = landed_venue(spark, sf_dir, "alpha")
-    files = datasets.load(spark, "alpha", root, series_per_line=True)
-    stats = files.bars.groupBy("symbol").agg(
+    """Both venues' folders; the second describes its symbols under the other file name."""
+    bars = fx.staged_bars(spark, sf_dir)
+    found = [
+        datasets.load(spark, venue, landed_venue(spark, sf_dir, venue, bars, described), series_per_line=True)
+        for venue, described in zip(("alpha", "beta"), datasets.METADATA_FILES, strict=True)
+    ]
+    files = datasets.together(found)
+    stats = files.bars.groupBy("venue", "symbol").agg(
         F.count("*").alias("bars"),
         F.count("quote_volume").alias("turnovers"),
         exact(F.max_by("close", "open_time"), 2, "last_close"),
     )
     return (
-        files.metadata.select("symbol", "quote", "status")
-        .join(stats, "symbol")
-        .join(files.spreads.select("symbol", exact("spread_bps", 2)), "symbol", "left")
+        files.metadata.select("venue", "symbol", "quote", "status")
+        .join(stats, ["venue", "symbol"])
+        .join(files.spreads.select("venue", "symbol", exact("spread_bps", 2)), ["venue", "symbol"], "left")
     )
 
 
