@@ -150,6 +150,45 @@ def buffered(verdicts: DataFrame, policy: str) -> DataFrame:
     )
 
 
+#: What a buffered universe has to remember of an instrument from one refresh to the next.
+BUFFER_KEY = ("venue", "quote_policy", "symbol")
+BUFFER_STATE = "venue string, quote_policy string, symbol string, as_of timestamp, passing boolean, buffered_member boolean"
+
+
+def buffer_state(history: DataFrame) -> DataFrame:
+    """The state after the last refresh of a ``buffered`` history."""
+    last = F.max(F.struct("as_of", "passing", "buffered_member")).alias("last")
+    return history.groupBy(*BUFFER_KEY).agg(last).select(*BUFFER_KEY, "last.*")
+
+
+def advance_buffer(state: DataFrame, verdicts: DataFrame, policy: str) -> DataFrame:
+    """The state after one more refresh, from the state before it and its verdicts alone.
+
+    Instruments without a verdict keep what they had.  A verdict that is not newer than
+    an instrument's state has been counted already and changes nothing, so handing in
+    the same refresh twice is harmless.
+    """
+    fresh = verdicts.select(
+        *BUFFER_KEY, F.col("as_of").alias("new_as_of"), F.col(f"`in_{policy}`").alias("new_passing"), F.col("listed").alias("new_listed")
+    )
+    same = [F.col(f"s.{key}") == F.col(f"v.{key}") for key in BUFFER_KEY]
+    both = state.alias("s").join(fresh.alias("v"), same, "full")
+    counts = F.col("new_as_of").isNotNull() & (F.col("as_of").isNull() | (F.col("new_as_of") > F.col("as_of")))
+    before, member = F.coalesce("passing", F.lit(False)), F.coalesce("buffered_member", F.lit(False))
+    decided = (
+        F.when(~F.col("new_listed"), F.lit(False))
+        .when(F.col("new_passing") & before, F.lit(True))
+        .when(~F.col("new_passing") & ~before, F.lit(False))
+        .otherwise(member)
+    )
+    return both.select(
+        *[F.coalesce(f"s.{key}", f"v.{key}").alias(key) for key in BUFFER_KEY],
+        F.when(counts, F.col("new_as_of")).otherwise(F.col("as_of")).alias("as_of"),
+        F.when(counts, F.col("new_passing")).otherwise(F.col("passing")).alias("passing"),
+        F.when(counts, decided).otherwise(F.col("buffered_member")).alias("buffered_member"),
+    )
+
+
 def policy_gap(monthly: DataFrame) -> DataFrame:
     """Research against executable over all refreshes of a venue and quote policy."""
     gap = F.col("research_size") - F.col("executable_size")

@@ -168,6 +168,47 @@ def archive_symbols(pages: DataFrame, prefix: str = ARCHIVE_PREFIX) -> DataFrame
     )
 
 
+def archive_gaps(pages: DataFrame) -> DataFrame:
+    """What is missing of each venue's archive listing: no row if its pages are complete.
+
+    A listing is a chain: it begins with the page that has no marker, and a truncated
+    page names the marker of the next.  A page nobody landed is a row with the marker
+    it should have had and the page that named it; symbols of a listing with gaps are
+    not all symbols.
+    """
+    tag = lambda name: F.trim(F.regexp_extract("payload", f"<{name}>(.*?)</{name}>", 1))
+    read = pages.select(
+        "venue",
+        F.coalesce(F.col("payload").rlike("<ListBucketResult[ >]"), F.lit(False)).alias("is_page"),
+        tag("Marker").alias("marker"),
+        tag("NextMarker").alias("next"),
+        F.coalesce(F.lower(tag("IsTruncated")) == "true", F.lit(False)).alias("truncated"),
+    )
+    listed = read.where("is_page")
+    nothing = F.lit(None).cast("string")
+    landed = listed.select("venue", F.col("marker").alias("next")).distinct()
+    missing = (
+        listed.where("truncated AND next <> ''")
+        .groupBy("venue", "next")
+        .agg(F.min("marker").alias("after"))
+        .join(landed, ["venue", "next"], "left_anti")
+        .select("venue", "after", F.col("next").alias("marker"), F.lit("page not landed").alias("reason"))
+    )
+    open_ended = listed.where("truncated AND next = ''").select(
+        "venue", F.col("marker").alias("after"), nothing.alias("marker"), F.lit("truncated without a next marker").alias("reason")
+    )
+    headless = (
+        read.groupBy("venue")
+        .agg(F.count_if(F.col("is_page") & (F.col("marker") == "")).alias("first_pages"))
+        .where("first_pages = 0")
+        .select("venue", nothing.alias("after"), F.lit("").alias("marker"), F.lit("first page not landed").alias("reason"))
+    )
+    unread = read.where("NOT is_page").select(
+        "venue", nothing.alias("after"), nothing.alias("marker"), F.lit("not a listing page").alias("reason")
+    )
+    return missing.unionByName(open_ended.distinct()).unionByName(headless).unionByName(unread)
+
+
 def trading_summary(metadata: DataFrame, live: DataFrame) -> DataFrame:
     """Symbols described, trading and halted per venue; ``live`` is the profile table."""
     is_live = F.array_contains("live_statuses", F.col("status"))

@@ -58,14 +58,14 @@ def closed_bars(
     )
 
 
-def land(prints: DataFrame, observed_at: Column, path: str) -> None:
+def land(prints: DataFrame, observed_at: Column, path: str, moment: str = "ts") -> None:
     """Add the prints of one poll to a landing folder, and after them the poll.
 
     The poll is a file of its own and the younger one, so that a stream that takes
     one file at a time never meets the poll before its prints.
     """
     prints.write.mode("append").parquet(path)
-    given = {"ts": observed_at}
+    given = {moment: observed_at}
     poll = [given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in prints.schema]
     prints.sparkSession.range(1, numPartitions=1).select(*poll).write.mode("append").parquet(path)
 

@@ -199,6 +199,12 @@ SELECT CASE WHEN n <= 15 THEN 'alpha' ELSE 'beta' END AS venue, 'P' || p_partkey
 FROM (SELECT *, CAST(substr(p_brand, 7) AS INT) AS n FROM part)
 """
 
+VIEWS["fx_archive_page"] = """
+SELECT *, NOT (nth % 7 = 3 OR (venue = 'beta' AND nth = 1)) AS landed
+FROM (SELECT venue, page, row_number() OVER (PARTITION BY venue ORDER BY page) AS nth, count(*) OVER (PARTITION BY venue) AS pages
+      FROM (SELECT DISTINCT venue, key // 20 AS page FROM fx_listing))
+"""
+
 VIEWS["fx_journal"] = """
 SELECT *, CASE WHEN status IS NULL THEN 'transport_error' WHEN status BETWEEN 200 AND 299 THEN 'ok'
                WHEN status IN (408, 425, 429, 500, 502, 503, 504) THEN 'retryable' ELSE 'rejected' END AS outcome,

@@ -8,12 +8,15 @@ from tidemark.operators import listing
 from tidemark.session import staging_path
 from tidemark.sinks import bars as bar_sink
 from tidemark.sinks import records
-from tidemark.streaming import corrected_bars, ingest, live_bars
+from tidemark.streaming import corrected_bars, ingest, live_bars, requests
 from tidemark.workloads import fixtures as fx
 from tidemark.workloads.edge import exact, stamp
 from tidemark.workloads.registry import query
 
 _ISO = "'%Y-%m-%dT%H:%M:%S'"
+#: Where the landed prints of the month are cut.
+_LANDINGS = ("2024-01-12", "2024-01-22")
+_LATENESS = 600
 _BARS = f"""
     SELECT venue, symbol, strftime(open_time, {_ISO}) AS open_time, close::DECIMAL(34,2)::VARCHAR AS close,
            quote_volume::DECIMAL(34,2)::VARCHAR AS quote_volume FROM fx_bars"""
@@ -87,6 +90,40 @@ def journal_lines(spark, sf_dir):
     )
 
 
+@query(
+    "agg_8_outcomes_of_stream",
+    """
+    SELECT venue, url, params, max(attempt)::BIGINT AS attempts,
+           CASE WHEN bool_or(outcome = 'ok') THEN 'ok' WHEN bool_or(outcome = 'rejected') THEN 'rejected' ELSE 'unavailable' END AS final_outcome,
+           arg_max(detail, (outcome = 'ok')::INT * 200 + (outcome = 'rejected')::INT * 100 + attempt) AS detail
+    FROM fx_journal WHERE request % 10 <> 3 OR attempt <= 2 GROUP BY ALL""",
+)
+def outcomes_of_stream(spark, sf_dir):
+    """The journal as it is written, in three landings; every tenth request falls silent after two attempts.
+
+    A last poll, a day after the last attempt, ends the patience with the silent ones.
+    """
+    root = staging_path(spark, "attempts")
+    request = F.regexp_extract("params", "start=([0-9]+)", 1).cast("bigint")
+    attempts = fx.journal(spark, sf_dir).withColumn("run", F.lit("only")).where((request % 10 != 3) | (F.col("attempt") <= 2))
+    newest = attempts.agg(F.max(F.unix_micros("requested_at")).alias("at")).first()["at"]
+    first, second = (F.to_timestamp(F.lit(day)) for day in _LANDINGS)
+    at = F.col("requested_at")
+    day = 86_400_000_000
+    parts = (
+        (attempts.where(at < first), first),
+        (attempts.where((at >= first) & (at < second)), second),
+        (attempts.where(at >= second), F.timestamp_micros(F.lit(newest + 40 * day))),
+    )
+    for landed, observed_at in parts:
+        live_bars.land(landed, observed_at, f"{root}/landing", "requested_at")
+        stream = live_bars.landed_prints(spark, attempts.schema, f"{root}/landing")
+        # Attempts of one request lie up to a month apart in these tables.
+        finals = requests.final_outcomes(stream, "0 seconds", 35 * 86_400)
+        live_bars.append_available(finals, f"{root}/finals", f"{root}/checkpoint")
+    return spark.read.parquet(f"{root}/finals").select("venue", "url", "params", "attempts", "final_outcome", "detail")
+
+
 @query("str_1_incremental_ingest", _BARS)
 def incremental_ingest(spark, sf_dir):
     """Landed files taken in twice from one checkpoint; the second run finds the rest.
@@ -144,11 +181,6 @@ def _intraday_rows(bars, *more):
     )
 
 
-#: Where the landed prints of the month are cut.
-_LANDINGS = ("2024-01-12", "2024-01-22")
-_LATENESS = 600
-
-
 def _last_look(spark, sf_dir):
     """Somebody looks once the hour of the last print and the lateness are over."""
     newest = fx.intraday_prints(spark, sf_dir).agg(F.max(F.unix_micros("ts")).alias("at")).first()["at"]

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tidemark import fixed_values as fv
 from tidemark.operators import costs, listing, policy
 from tidemark.plans import report, universe
+from tidemark.session import staging_path
+from tidemark.sinks import states
 from tidemark.workloads import fixtures as fx
 from tidemark.workloads.edge import exact, month, stamp
 from tidemark.workloads.registry import query
@@ -187,6 +189,43 @@ def two_refresh_buffer(spark, sf_dir):
     )
 
 
+_BUFFERED_SQL = """
+    SELECT *, coalesce(last_value(event IGNORE NULLS) OVER (
+             PARTITION BY venue, quote_policy, symbol ORDER BY as_of
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), FALSE) AS buffered_member
+    FROM (SELECT *, CASE WHEN NOT listed THEN FALSE
+             WHEN in_liquidity AND coalesce(lag(in_liquidity) OVER w, FALSE) THEN TRUE
+             WHEN NOT in_liquidity AND NOT coalesce(lag(in_liquidity) OVER w, FALSE) THEN FALSE END AS event
+          FROM fx_verdicts
+          WINDOW w AS (PARTITION BY venue, quote_policy, symbol ORDER BY as_of))"""
+
+
+@query(
+    "pol_9_carried_state",
+    f"""
+    SELECT venue, quote_policy, symbol, strftime(as_of, '%Y-%m') AS month, in_liquidity AS passing, buffered_member
+    FROM ({_BUFFERED_SQL}) WHERE as_of IN (SELECT as_of FROM fx_refresh GROUP BY as_of ORDER BY as_of DESC LIMIT 3)""",
+)
+def carried_state(spark, sf_dir):
+    """The last three months, each from the state of the month before; the last is taken in twice."""
+    path = staging_path(spark, "verdicts")
+    policy.with_memberships(fx.market(spark, sf_dir).verdicts()).select(
+        "venue", "quote_policy", "symbol", "as_of", "listed", "in_liquidity"
+    ).write.parquet(path)
+    verdicts = spark.read.parquet(path)
+    # One name per month.
+    months = sorted(r["day"] for r in verdicts.select(F.date_format("as_of", "yyyy-MM-dd").alias("day")).distinct().collect())
+    day = F.date_format("as_of", "yyyy-MM-dd")
+    kept = states.BufferStates(spark, staging_path(spark, "buffer"), "liquidity")
+    kept.begin(months[-4], policy.buffered(verdicts.where(day <= months[-4]), "liquidity"))
+    for name in (*months[-3:], months[-1]):
+        kept.take(name, verdicts.where(day == name))
+    found = [kept.at(name).where(day == name) for name in months[-3:]]
+    return found[0].unionByName(found[1]).unionByName(found[2]).select(
+        "venue", "quote_policy", "symbol", month(), "passing", "buffered_member"
+    )
+
+
 @query(
     "pol_10_policy_gap",
     """

@@ -396,6 +396,23 @@ def recommendations(spark, sf_dir):
 SECRETS = ("password", "password123", "licence", "license", "mention", "example", "the")
 
 
+@query(
+    "flt_16_many_secrets",
+    """
+    SELECT doc_id, md5(list_reduce(list_prepend(text, (SELECT list(w ORDER BY -length(w), w) FROM (
+             SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{6,}')) AS w FROM benchmark))),
+           lambda t, w: replace(t, w, '***REDACTED***'))) AS digest
+    FROM documents""",
+)
+def many_secrets(spark, sf_dir):
+    """Every longer word of the benchmark is a secret: one pass over whole texts."""
+    words = F.explode(F.regexp_extract_all("text", F.lit("([a-z]{6,})")))
+    # A register of secrets is a list somebody keeps; here one word each.
+    register = [r["w"] for r in fx.table(spark, sf_dir, "benchmark").select(words.alias("w")).distinct().collect()]
+    documents = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return text.redact_many(documents, register, ["text"]).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 @query(
     "flt_16_redaction",
     """

@@ -183,6 +183,24 @@ def archive_symbols(spark, sf_dir):
     return metadata.archive_symbols(payloads.archive_pages(spark, sf_dir))
 
 
+@query(
+    "src_7_archive_gaps",
+    """
+    SELECT venue, after, marker, reason FROM (
+      SELECT p.venue, 'page not landed' AS reason, CASE WHEN p.nth = 1 THEN '' ELSE 'm' || p.page END AS after, 'm' || n.page AS marker
+      FROM fx_archive_page p JOIN fx_archive_page n ON n.venue = p.venue AND n.nth = p.nth + 1
+      WHERE p.landed AND p.nth <> 2 AND p.nth % 11 <> 5 AND (NOT n.landed OR n.nth = 2)
+      UNION ALL
+      SELECT venue, 'truncated without a next marker', CASE WHEN nth = 1 THEN '' ELSE 'm' || page END, NULL FROM fx_archive_page
+      WHERE landed AND nth % 11 = 5 AND nth < pages
+      UNION ALL SELECT venue, 'first page not landed', NULL, '' FROM fx_archive_page WHERE nth = 1 AND NOT landed
+      UNION ALL SELECT venue, 'not a listing page', NULL, NULL FROM fx_archive_page WHERE nth = 2 AND landed)""",
+)
+def archive_gaps(spark, sf_dir):
+    """Which pages of two venues' archive listings are missing, and which page named them."""
+    return metadata.archive_gaps(payloads.archive_chain(spark, sf_dir))
+
+
 _QUOTED = """
     SELECT *, CASE WHEN key % 50 = 0 THEN 0 ELSE (price * 100)::BIGINT END AS bid,
            (price * 100)::BIGINT + (size - 5) * 5 AS ask FROM fx_listing"""
