@@ -31,6 +31,7 @@ class Market:
     facts: DataFrame
     extents: DataFrame
     given_calendar: DataFrame | None = None
+    staged_windows: DataFrame | None = None
 
     @classmethod
     def of(cls, bars, metadata, spreads, profiles, thresholds) -> Market:
@@ -44,9 +45,9 @@ class Market:
         return cls(bars, metadata, spreads, tuple(profiles), thresholds, facts, extents)
 
     def staged(self, with_bars: bool = False) -> Market:
-        """The same market with its facts and extents in written tables.
+        """The same market with its facts, windows and calendar in written tables.
 
-        The bars are read once.  A written table cuts the lineage and survives
+        The bars are read once, and what every part of a plan asks for is made once.  A written table cuts the lineage and survives
         the loss of executors, which a cached one does not.  ``with_bars`` also
         writes the bars, for jobs that derive them and then need them again.
         """
@@ -56,7 +57,9 @@ class Market:
             facts = history.refresh_facts(bars, self.thresholds.lookback_days)
         facts = self._written(facts, "facts")
         extents = self._written(history.extents_of_facts(facts), "extents")
-        return replace(self, bars=bars, facts=facts, extents=extents)
+        market = replace(self, bars=bars, facts=facts, extents=extents)
+        market = replace(market, staged_windows=market._written(market.windows, "windows"))
+        return replace(market, given_calendar=market._written(market.calendar, "calendar"))
 
     def _written(self, frame: DataFrame, label: str) -> DataFrame:
         path = staging_path(self.spark, label)
@@ -74,6 +77,8 @@ class Market:
     @property
     def windows(self) -> DataFrame:
         """Observed windows of the profiled venues: never more rows than profiles."""
+        if self.staged_windows is not None:
+            return self.staged_windows
         profiled = profile_table(self.spark, self.profiles).select("venue")
         return history.observed_windows(
             self.extents.join(small(profiled, self.venue_count), "venue", "left_semi")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import listing
+from tidemark.operators import history, listing
 from tidemark.session import staging_path
 from tidemark.sinks import bars as bar_sink
-from tidemark.sinks import records
+from tidemark.sinks import bucketed, records
 from tidemark.streaming import corrected_bars, ingest, live_bars, requests
 from tidemark.workloads import fixtures as fx
 from tidemark.workloads.edge import exact, stamp
@@ -45,6 +45,27 @@ def idempotent_write(spark, sf_dir):
     return _bar_rows(store.table())
 
 
+@query(
+    "snk_1_bucketed_store",
+    f"""
+    SELECT venue, symbol, strftime(open_time, {_ISO}) AS open_time, close::DECIMAL(34,2)::VARCHAR AS close,
+           row_number() OVER (PARTITION BY venue, symbol ORDER BY open_time) AS ordinal,
+           strftime(min(open_time) OVER (PARTITION BY venue, symbol), {_ISO}) AS first_open
+    FROM fx_bars""",
+)
+def bucketed_store(spark, sf_dir):
+    """Final copies twice, then early ones; histories and extents are read without a shuffle of bars."""
+    path = staging_path(spark, "bucketed")
+    store = bucketed.BucketedBars(spark, f"bars_{path[-32:]}", path, 8)
+    store.create()
+    final = fx.staged_bars(spark, sf_dir)
+    for batch in (final, final, _early_copy(final)):
+        store.write(batch)
+    return history.ordinals_in_place(store.table()).select(
+        "venue", "symbol", stamp("open_time"), exact("close", 2), "ordinal", stamp("first_open")
+    )
+
+
 @query(
     "snk_2_series_dataset",
     """
