@@ -110,6 +110,7 @@ class Index:
 
     def __init__(self, templates: dict[str, str]):
         self.names, self.words = list(templates), []
+        self.known, self.often = np.zeros(0, np.uint64), []
         codes, template, place = [], [], []
         for i, text in enumerate(templates.values()):
             data, offsets = blocks.flat(pa.array([text]))
@@ -120,6 +121,9 @@ class Index:
                 codes.append(grams[p])
                 template.append(i)
                 place.append(int(p))
+        # Every word of any template, and how often each template has it.
+        self.known = np.unique(np.concatenate([self.known, *self.words]))
+        self.often = [np.bincount(np.searchsorted(self.known, words), minlength=len(self.known)) for words in self.words]
         order = np.argsort(np.array(codes, np.uint64), kind="stable")
         self.codes, self.template, self.place = np.array(codes, np.uint64)[order], np.array(template)[order], np.array(place)[order]
 
@@ -133,24 +137,53 @@ class Index:
                 j += 1
 
 
-def crowded(template: np.ndarray, hashes: np.ndarray, known: np.ndarray, edges: np.ndarray, need: int) -> np.ndarray:
-    """Places where the template may begin, given the places of known words in ``hashes``.
+class Crowds:
+    """Where a block's texts hold so many words of a template that it may stand there.
 
-    A stretch that an alignment reads must hold at least ``need`` words of the template.
-    Of neighbouring places every few are given, so that the band covers the others.
+    An alignment that reaches the coverage matches that many words of the template, each
+    no more often than the template has it; so the stretch it reads holds them, and
+    places whose stretch does not need no alignment.  All stretches of all texts are
+    counted at once: an occurrence of a word that the template has m times counts in
+    the stretches that hold it but not the m-th occurrence before it.
     """
-    mine = known[np.isin(hashes[known], template)]
-    if need < 1 or len(mine) < need:
-        return np.zeros(0, np.int64)
-    reach = len(template) + 2 * BAND
-    last = mine[need - 1 :]
-    near = last - mine[: len(last)] < reach
-    # The template begins so early at the first, or so late at the last, of these words.
-    low, high = last[near] - reach + 1 + BAND, mine[: len(last)][near] + BAND
-    low, high = np.maximum(low, edges[0] - BAND), np.minimum(high, edges[1] + BAND)
-    step = BAND // 2
-    low, n = low // step, np.maximum(high // step - low // step + 2, 0)
-    return np.unique(blocks.spread(low, n)) * step
+
+    def __init__(self, index: Index, hashes: np.ndarray, first: np.ndarray):
+        self.index, self.first, self.size = index, first, len(hashes)
+        at = np.searchsorted(index.known, hashes)
+        at = np.minimum(at, max(len(index.known) - 1, 0))
+        there = np.flatnonzero(index.known[at] == hashes) if len(index.known) else np.zeros(0, np.int64)
+        word = at[there]
+        order = np.argsort(word, kind="stable")
+        self.word, self.place = word[order], there[order]
+        # Where the text of each occurrence begins.
+        self.edge = first[np.searchsorted(first, self.place, side="right") - 1]
+
+    def starts(self, template: int, least: float) -> np.ndarray:
+        """Places near which the template may begin; of neighbours every few, so that the
+        band of an alignment covers the others."""
+        words = self.index.words[template]
+        need, reach = -int(-least * len(words) // 1), len(words) + 2 * BAND
+        often = self.index.often[template][self.word]
+        mine = np.flatnonzero(often > 0)
+        if need < 1 or len(mine) < need:
+            return np.zeros(0, np.int64)
+        word, place, times = self.word[mine], self.place[mine], often[mine]
+        before = mine - times
+        same = (before >= 0) & (self.word[np.maximum(before, 0)] == word)
+        barred = np.where(same, self.place[np.maximum(before, 0)], -1)
+        low = np.maximum(np.maximum(barred, place - reach), self.edge[mine] - 1) + 1
+        counts = np.cumsum(np.bincount(low, minlength=self.size + 1) - np.bincount(place + 1, minlength=self.size + 1))
+        enough = np.flatnonzero(counts[: self.size] >= need)
+        if not len(enough):
+            return enough
+        # A stretch begins BAND words before the template, or where its text begins.
+        step = BAND // 2
+        doc = np.searchsorted(self.first, enough, side="right") - 1
+        opening = enough == self.first[doc]
+        begins = np.concatenate([enough + BAND, *(enough[opening] + d for d in range(-BAND, BAND, step))])
+        owner = np.concatenate((doc, *[doc[opening]] * len(range(-BAND, BAND, step))))
+        cells = np.unique(np.stack((owner, begins // step)), axis=1)
+        return np.concatenate((cells, cells + [[0], [1]]), axis=1).T
 
 
 def aligned(template: np.ndarray, text: np.ndarray, start: int) -> tuple[int, int, int]:
@@ -187,8 +220,10 @@ SCAN = "doc_id long, license string, coverage double, matched_words int, templat
 def scanned(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST_COVERAGE) -> DataFrame:
     """One row per notice found: which, its coverage, matched words, span and passage.
 
-    Every place of every whole text is looked at; ``start_char`` and ``end_char`` count
-    code points.  Of hits of one template that overlap the one with more matched words
+    Every place of every whole text that holds enough words of a template is aligned with
+    it, never more than BAND words off the diagonal: a notice with more words than that
+    inserted or left out in one place is found only if what stands on one side of them
+    reaches the coverage.  ``start_char`` and ``end_char`` count code points.  Of hits of one template that overlap the one with more matched words
     stays.
 
     Rows: a null or blank text has no notice; a null or repeated id is reported as it
@@ -197,8 +232,6 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, least: flo
     """
     index = Index(TEMPLATES if templates is None else templates)
 
-    words_known = np.unique(np.concatenate([np.zeros(0, np.uint64), *index.words]))
-
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks.cut(batches):
             data, offsets = blocks.flat(block.column("text"))
@@ -212,13 +245,10 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, least: flo
                     # One alignment for all hits that its band covers.
                     if not any((int(doc[at]), template, begin + d) in wanted for d in range(-BAND // 2, BAND // 2 + 1)):
                         wanted[(int(doc[at]), template, begin)] = None
-            near = np.flatnonzero(np.isin(hashes, words_known))
-            for number in np.unique(doc[near]).tolist():
-                a, b = int(first[number]), int(first[number + 1])
-                places = near[np.searchsorted(near, a) : np.searchsorted(near, b)]
-                for template, words in enumerate(index.words):
-                    for at in crowded(words, hashes, places, (a, b), -int(-least * len(words) // 1)).tolist():
-                        wanted[(number, template, at - a)] = None
+            crowds = Crowds(index, hashes, first)
+            for template in range(len(index.words)):
+                for number, cell in np.unique(crowds.starts(template, least).reshape(-1, 2), axis=0).tolist():
+                    wanted[(number, template, cell * (BAND // 2) - int(first[number]))] = None
             found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
             for number, template, begin in wanted:
                 words = index.words[template]
