@@ -119,16 +119,22 @@ def _names(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray
 
 
 def doubled(text: np.ndarray) -> np.ndarray:
-    """The suffix array of a string of many letters: ranks of 1, 2, 4, ... letters.
+    """The suffix array of a string of many letters: ranks of as many letters as 62 bits
+    hold, then of twice, four times, ... as many.
 
     A rank is the first place of its group, so groups of one are final and only the
     others are sorted again.
     """
-    n = len(text)
-    order = np.argsort(text, kind="stable")
+    n, letters = len(text), int(text.max()) + 2
+    span, text = max(1, int(62 / np.log2(letters))), text.astype(np.int64)
+    first = np.zeros(n, np.int64)
+    for step in range(min(span, n)):
+        # A letter behind the end is less than every other.
+        first *= letters
+        first[: n - step] += text[step:] + 1
+    order = np.argsort(first)
     rank = np.empty(n, np.int64)
-    live, keys = np.arange(n), text[order]
-    span = 1
+    live, keys = np.arange(n), first[order]
     while True:
         fresh = np.ones(len(live) + 1, bool)
         fresh[1:-1] = keys[1:] != keys[:-1]
@@ -140,7 +146,7 @@ def doubled(text: np.ndarray) -> np.ndarray:
         items = order[live]
         after = items + span
         keys = rank[items] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
-        by = np.argsort(keys, kind="stable")
+        by = np.argsort(keys)
         order[live], keys = items[by], keys[by]
         span *= 2
 
