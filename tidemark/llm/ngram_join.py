@@ -64,7 +64,7 @@ def _ask_frequency(n: int, shards: int):
         order = np.argsort(shard, kind="stable")
         for some in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
             if len(some):
-                yield int(shard[some[0]]), bucket, blocks.packed(slot[some].astype(np.uint32), (slot[some] >> _U(32)).astype(np.uint8), counts[some].astype(np.uint16))
+                yield int(shard[some[0]]), bucket, blocks.packed(slot[some].astype(np.uint32), (slot[some] >> _U(32)).astype(np.uint8), np.minimum(counts[some], 65_535).astype(np.uint16))
 
     return question
 
