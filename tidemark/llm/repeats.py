@@ -126,6 +126,15 @@ def _code(anchor: np.ndarray, shards: int) -> np.ndarray:
     return anchor % _U(shards * _SLOTS)
 
 
+#: What the seven bits of a told count stand for: small ones exactly, others to a fifth.
+_COUNTS = np.array([c if c < 64 else int(64 * 2 ** ((c - 64) / 4)) for c in range(128)], np.int64)
+
+
+def _small(counts: np.ndarray) -> np.ndarray:
+    """Counts in seven bits, rounded down; up to three million."""
+    return (np.searchsorted(_COUNTS, counts, side="right") - 1).astype(np.int64)
+
+
 def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(shard, kind="stable")
     cuts = np.flatnonzero(np.diff(shard[order])) + 1
@@ -153,7 +162,7 @@ def _ask_anchors(search: Search, shards: int) -> Callable:
             again = owner[starts] != owner[starts + counts - 1]
         else:
             again = (counts > 1) | (np.maximum.reduceat(twice, starts) if len(starts) else False)
-        told = (np.minimum(counts, 127) | (again << 7)).astype(np.uint8)
+        told = (_small(counts) | (again << 7)).astype(np.uint8)
         codes = codes[starts]
         bucket = table.column("_bucket")[0].as_py()
         slot = codes // _U(shards)
@@ -171,7 +180,7 @@ def _answer_anchors(search: Search, shards: int) -> Callable:
         told = np.concatenate([t for _, _, t in read]).astype(np.int64)
         order = np.argsort(every, kind="stable")
         starts = np.flatnonzero(np.concatenate(([True], np.diff(every[order]) != 0)))
-        counts = np.add.reduceat(told[order] & 127, starts)
+        counts = np.add.reduceat(_COUNTS[told[order] & 127], starts)
         again = np.add.reduceat((told[order] >> 7) + 1, starts) > 1
         mark = np.repeat(np.where(again, 1 + (counts >= search.crowded), 0), np.diff(np.append(starts, len(every))))
         marks = np.zeros(len(every), np.uint8)
