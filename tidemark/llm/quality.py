@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,17 +100,23 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -500, 500)))
 
 
-def fitted(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, seed: int, epochs: int = 8, rate: float = 0.1, shrink: float = 2e-3) -> Model:
-    """Proximal AdaGrad on the negative log-likelihood of the grades."""
+def fitted(
+    places: np.ndarray, ends: np.ndarray, grades: np.ndarray, n_grades: int, seed: int,
+    epochs: int = 8, rate: float = 0.1, shrink: float = 2e-3,
+) -> Model:
+    """Proximal AdaGrad on the negative log-likelihood of the grades.
+
+    The features of row i are ``places[ends[i]:ends[i + 1]]``.
+    """
     weights, history = np.zeros(DIMENSIONS), np.full(DIMENSIONS, 1e-3)
     thresholds, moved = np.linspace(-1.0, 1.0, n_grades - 1), np.full(n_grades - 1, 1e-3)
     draw = np.random.default_rng(seed)
-    for _ in range(epochs if len(rows) else 0):
-        order = draw.permutation(len(rows))
+    for _ in range(epochs if len(grades) else 0):
+        order = draw.permutation(len(grades))
         for at in range(0, len(order), 128):
             some = order[at : at + 128]
-            sizes = np.array([len(rows[i]) for i in some])
-            flat, owner = np.concatenate([rows[i] for i in some]), np.repeat(np.arange(len(some)), sizes)
+            sizes = ends[some + 1] - ends[some]
+            flat, owner = places[blocks.spread(ends[some], sizes)], np.repeat(np.arange(len(some)), sizes)
             score, y = np.bincount(owner, weights[flat], minlength=len(some)), grades[some]
             upper = np.concatenate((thresholds, [np.inf]))[y] - score
             lower = np.concatenate(([-np.inf], thresholds))[y] - score
@@ -128,8 +135,8 @@ def fitted(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, seed: int,
                 moved[j] += g * g
                 thresholds[j] -= rate * g / np.sqrt(moved[j])
             thresholds = np.maximum.accumulate(thresholds)
-    places = np.flatnonzero(np.abs(weights) > 1e-6)
-    return Model(places, weights[places], thresholds)
+    used = np.flatnonzero(np.abs(weights) > 1e-6)
+    return Model(used, weights[used], thresholds)
 
 
 def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, sample_rows: int = SAMPLE_ROWS, seed: int = 11) -> Model:
@@ -162,8 +169,12 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, sample_rows: int = S
     )
     if not found.num_rows:
         return Model(np.zeros(0, np.int64), np.zeros(0), np.full(n_grades - 1, -40.0))
-    rows = [np.asarray(v, np.int64) for v in found.column("features").to_pylist()]
-    return fitted(rows, found.column("grade").to_numpy().astype(np.int64), n_grades, seed)
+    # One array of 32-bit numbers for all rows, as Arrow holds them, and where each row ends.
+    ends = np.concatenate(([0], np.cumsum(pc.list_value_length(found.column("features")).to_numpy()))).astype(np.int64)
+    places = np.concatenate([np.zeros(0, np.int32), *(chunk.flatten().to_numpy() for chunk in found.column("features").chunks)])
+    grades = found.column("grade").to_numpy().astype(np.int64)
+    del found
+    return fitted(places, ends, grades, n_grades, seed)
 
 
 def graded(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
