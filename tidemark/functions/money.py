@@ -9,10 +9,9 @@ PRICE = "decimal(20,10)"
 QUANTITY = "decimal(24,8)"
 #: Four digits short of Spark's maximum so that (a + b) / 2 keeps every digit.
 NOTIONAL = "decimal(34,13)"
-#: Lots: any power of ten a decimal can hold beside ten whole digits.
-LOT = "decimal(38,28)"
-#: What a lot is worth; the product of a lot and a price is kept to seventeen decimals.
-LOT_VALUE = "decimal(38,17)"
+#: Lots: sixteen whole digits and all decimals that a decimal can hold beside them.  Times
+#: a price, eleven decimals are kept, more than any account is stated in.
+LOT = "decimal(38,22)"
 MEDIAN = "decimal(37,14)"
 BPS = "decimal(20,10)"
 

@@ -137,16 +137,16 @@ def parse_pair_metadata(spark, sf_dir):
 @query(
     "src_5_fine_lots",
     """
-    SELECT venue, symbol, decimals, CASE WHEN decimals <= 28 THEN CASE WHEN decimals <= 0 THEN '1' || repeat('0', CAST(-decimals AS INT)) || '.'
+    SELECT venue, symbol, decimals, CASE WHEN decimals <= 22 THEN CASE WHEN decimals <= 0 THEN '1' || repeat('0', CAST(-decimals AS INT)) || '.'
                ELSE '0.' || repeat('0', CAST(decimals AS INT) - 1) || '1' END END AS lot_text,
-           CASE WHEN decimals > 28 THEN 'lot_decimals: outside what a lot can hold' ELSE '' END AS reason
+           CASE WHEN decimals > 22 THEN 'lot_decimals: outside what a lot can hold' ELSE '' END AS reason
     FROM (SELECT venue, symbol, key % 36 - 4 AS decimals FROM fx_listing WHERE size % 6 > 1)""",
 )
 def fine_lots(spark, sf_dir):
     """Lots from 10,000 down to what no decimal can hold; only those are set aside."""
     pages = payloads.pair_descriptions(spark, sf_dir, F.col("key") % 36 - 4)
     parsed = metadata.parse_pairs(pages)
-    text = F.col("lot_size").cast("decimal(38,28)").cast("string")
+    text = F.col("lot_size").cast("string")
     # Digits and nothing else, without the zeros behind the last one.
     plain = F.regexp_replace(text, "0+$", "")
     return parsed.select(
