@@ -7,6 +7,7 @@ one text longer than that is a block of its own.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,9 @@ FOLDED_VALUE = BYTE_VALUE[FOLD]
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+#: Only some C libraries can be asked to give memory back.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, _U), "down": np.ones(1, _U)}
 
 
@@ -139,6 +143,14 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(first, lengths) + np.repeat(starts, lengths)
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: a worker lives on for the stages that follow,
+    and what it keeps they cannot have."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def covered(starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
     """Which of ``size`` places lie in at least one of the half-open stretches."""
     steps = np.zeros(size + 1, np.int64)

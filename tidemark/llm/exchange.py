@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm import blocks
 from tidemark.llm.tables import parts
 
 ASKED = "_shard int, _bucket int, _blob binary"
@@ -103,7 +104,9 @@ def tell(
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return arrow.empty_table()
-        return pa.Table.from_batches(list(use(table, replies.column("_blob").to_pylist())), arrow)
+        found = pa.Table.from_batches(list(use(table, replies.column("_blob").to_pylist())), arrow)
+        blocks.give_back()
+        return found
 
     return buckets.groupBy("_bucket").cogroup(answers.groupBy("_bucket")).applyInArrow(run, schema)
 
@@ -123,6 +126,7 @@ def ask_again(
 def _rows(found: Iterator[tuple], *names: str) -> pa.Table:
     rows = list(found)
     columns = [pa.array([r[i] for r in rows], pa.int32()) for i in range(len(names))]
+    blocks.give_back()
     return pa.table([*columns, pa.array([r[-1] for r in rows], pa.binary())], names=[*names, "_blob"])
 
 

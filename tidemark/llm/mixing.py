@@ -36,7 +36,7 @@ def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source and the number of words of every text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks.cut(batches):
+        for block in blocks.cut(batches, most=1 << 20):
             _, _, first = blocks.words(*blocks.flat(block.column("text")))
             yield pa.RecordBatch.from_arrays(
                 [block.column("doc_id"), block.column("source"), pa.array(np.diff(first), pa.int64())],
@@ -207,7 +207,7 @@ def repeated(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float
     schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in docs.schema), T.StructField("_size", T.LongType())])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks.cut(batches):
+        for block in blocks.cut(batches, most=1 << 20):
             _, _, first = blocks.words(*blocks.flat(block.column("text")))
             yield pa.RecordBatch.from_arrays([*block.columns, pa.array(np.diff(first), pa.int64())], names=schema.names)
 

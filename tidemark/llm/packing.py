@@ -27,7 +27,7 @@ END_ID = 1
 #: Of so many best neighbours those that fit whole go before one that has to be cut.
 NEIGHBOURS = 32
 #: Words a task remembers the ids of; beyond that it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 K1, B = 1.2, 0.75
 #: Parts by min-hash of the documents of a term that one shard cannot hold.
 PARTS = 256
@@ -82,10 +82,10 @@ class Encoder:
             whole = data.tobytes()
             at = where[new]
             strings = [self.lead + whole[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            for begin in range(0, len(strings), 20_000):
-                some = [e.ids for e in self.tokenizer.encode_batch(strings[begin : begin + 20_000], add_special_tokens=False)]
+            for begin in range(0, len(strings), 2_000):
+                some = [e.ids for e in self.tokenizer.encode_batch(strings[begin : begin + 2_000], add_special_tokens=False)]
                 self.ids.append(np.array([i for ids in some for i in ids], np.uint16))
-                for i, ids in zip(new[begin : begin + 20_000], some, strict=True):
+                for i, ids in zip(new[begin : begin + 2_000], some, strict=True):
                     known[raw[i]] = len(self.starts)
                     self.starts.append(self.total)
                     self.sizes.append(len(ids))
@@ -278,7 +278,8 @@ def packed(docs: DataFrame, window: int = 2048, tokenizer: str | None = None) ->
         coder, press, names = encoder(path), zstandard.ZstdCompressor(level=1), ["doc_id", "n", "z", "df", "n_docs"]
         vocabulary = coder.tokenizer.get_vocab_size()
         frequency, n_docs = np.zeros(vocabulary, np.int64), 0
-        for block in blocks.cut(batches):
+        # Encodings take far more memory than their texts.
+        for block in blocks.cut(batches, most=1 << 20):
             ids, begins = coder.encode(block.column("text"))
             frequency += np.bincount((_distinct(ids, begins)[0] & np.uint64(0xFFFF)).astype(np.int64), minlength=vocabulary)
             n_docs += block.num_rows
@@ -292,6 +293,7 @@ def packed(docs: DataFrame, window: int = 2048, tokenizer: str | None = None) ->
                 ],
                 names=names,
             )
+        blocks.give_back()
         if n_docs:
             one = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary())]
             yield pa.RecordBatch.from_arrays([*one, pa.array([frequency.tobytes()], pa.binary()), pa.array([n_docs])], names=names)

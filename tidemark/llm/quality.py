@@ -31,6 +31,8 @@ from tidemark.llm import blocks
 SAMPLE_ROWS = 12_000
 DIMENSIONS = 1 << 18
 _SHAPES = 64
+#: Bytes of text looked at in one piece: features take some thirty times as much.
+BLOCK = 1 << 20
 
 
 def _shape(data: np.ndarray, offsets: np.ndarray, first: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -150,13 +152,14 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, sample_rows: int = S
     )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks.cut(batches):
+        for block in blocks.cut(batches, most=BLOCK):
             doc, word, shape = features(block.column("text"))
             rows = block.num_rows
             pairs = np.unique(np.concatenate((doc, np.repeat(np.arange(rows), shape.shape[1]))) * DIMENSIONS + np.concatenate((word, shape.ravel())))
             ends = np.searchsorted(pairs // DIMENSIONS, np.arange(rows + 1))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((pairs % DIMENSIONS).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("grade"), lists], names=["doc_id", "grade", "features"])
+        blocks.give_back()
 
     # The sample is at most sample_rows rows of two numbers, so its broadcast is bounded.
     rated = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
@@ -181,7 +184,7 @@ def graded(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """doc_id, expected_grade, tail (P(grade >= 1), P(grade >= 2), ...), keep for every row."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks.cut(batches):
+        for block in blocks.cut(batches, most=BLOCK):
             tails = model.tails(block.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -201,9 +204,10 @@ def selected(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema])
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks.cut(batches):
+        for block in blocks.cut(batches, most=BLOCK):
             keep = model.tails(block.column("text"))[:, -1] >= least
             yield block.filter(pa.array(keep))
+        blocks.give_back()
 
     return docs.mapInArrow(pick, schema)
 
