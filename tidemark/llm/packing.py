@@ -27,12 +27,27 @@ END_ID = 1
 #: Of so many best neighbours those that fit whole go before one that has to be cut.
 NEIGHBOURS = 32
 #: Words a task remembers the ids of; beyond that it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 K1, B = 1.2, 0.75
 #: Parts by min-hash of the documents of a term that one shard cannot hold.
 PARTS = 256
 #: Ids whose keys are worked out at once.
 KEYED_IDS = 1 << 20
+#: Seeds that a shard scores at a time, and cells of its matrix of common terms.
+AHEAD, COLUMN_CELLS = 32, 6 << 20
+#: Stands between words asked about in one text.
+MARK = b"|"
+#: A min-hash value for every term.
+TERM_HASHES = blocks.mixed(np.arange(1 << 16, dtype=np.uint64) + np.uint64(1))
+#: Bytes that separate, letters, digits, signs, and what stays with its neighbours.
+KIND = np.full(256, 4, np.uint8)
+KIND[33:127] = 3
+KIND[48:58] = 2
+KIND[65:91] = KIND[97:123] = 1
+KIND[[ord(c) for c in "'<|>"]] = 4
+KIND[blocks.SPACE] = 0
+#: Whether two kinds that stand side by side are one piece.
+JOINED = np.array([a > 0 and b > 0 and (4 in (a, b) or (a == b and a != 2)) for a in range(5) for b in range(5)])
 
 
 def default_tokenizer() -> str:
@@ -45,56 +60,106 @@ class Encoder:
     """Ids of whole texts, word by word: the tokenizers used never join across white space.
 
     ``lead`` goes before every word, ``end`` is the id after every text, and ``fold``
-    makes A-Z small.
+    makes A-Z small.  ``fine`` is for tokenizers that also keep ASCII letters, digits and
+    signs apart and make letters small: they are asked about such pieces, of which far
+    fewer differ than of words.
     """
 
-    def __init__(self, path: str, end: int = END_ID, lead: str = "", fold: bool = False):
+    def __init__(self, path: str, end: int = END_ID, lead: str = "", fold: bool = False, fine: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.lead, self.fold = Tokenizer.from_file(path), end, lead, fold
+        self.tokenizer, self.end, self.lead, self.fold, self.fine = Tokenizer.from_file(path), end, lead, fold, fine
         if fold:
             self.tokenizer.encode_special_tokens = True
+        sign = self._asked([lead + MARK.decode()])[0]
+        #: The id of the sign between words that are asked about together, if it is one id.
+        self.mark = sign[0] if len(sign) == 1 else None
         self._forget()
 
+    def _asked(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.starts, self.sizes, self.total = [], [], 0
+        # Hashes ascending, and where the ids of each begin and how many they are.
+        self.known, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint16)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id after it, and where each begins."""
-        ids, begins, _ = self.tokens(texts)
-        return ids, begins
-
-    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Like ``encode``, and where the ids of each word begin."""
         data, offsets = blocks.flat(texts)
         if self.fold:
             data = blocks.FOLD[data]
-        starts, ends, first = blocks.words(data, offsets)
+        if self.fine:
+            starts, ends, first = pieces(data, offsets)
+            data = _small(data, starts, ends)
+        else:
+            starts, ends, first = blocks.words(data, offsets)
         hashes, where, number = np.unique(blocks.word_hashes(data, starts, ends, fold=False), return_index=True, return_inverse=True)
         if len(self.known) > REMEMBERED:
             self._forget()
-        known, raw = self.known, hashes.tolist()
-        new = [i for i, h in enumerate(raw) if h not in known]
-        if new:
-            whole = data.tobytes()
-            at = where[new]
-            strings = [self.lead + whole[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            for begin in range(0, len(strings), 2_000):
-                some = [e.ids for e in self.tokenizer.encode_batch(strings[begin : begin + 2_000], add_special_tokens=False)]
-                self.ids.append(np.array([i for ids in some for i in ids], np.uint16))
-                for i, ids in zip(new[begin : begin + 2_000], some, strict=True):
-                    known[raw[i]] = len(self.starts)
-                    self.starts.append(self.total)
-                    self.sizes.append(len(ids))
-                    self.total += len(ids)
-        every = self.ids[0] if len(self.ids) == 1 else np.concatenate(self.ids) if self.ids else np.zeros(0, np.uint16)
-        self.ids = [every]
-        entry = np.fromiter((known[h] for h in raw), np.int64, len(raw))
-        begin, size = np.array(self.starts, np.int64)[entry][number], np.array(self.sizes, np.int64)[entry][number]
-        return laid_out(every, begin, size, first, self.end)
+        at = np.searchsorted(self.known, hashes)
+        new = np.ones(len(hashes), bool)
+        inside = at < len(self.known)
+        new[inside] = self.known[at[inside]] != hashes[inside]
+        if new.any():
+            whole, which = data.tobytes(), where[new]
+            ids, sizes = self._of_words([whole[a:b] for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)])
+            known = np.concatenate((self.known, hashes[new]))
+            order = np.argsort(known, kind="stable")
+            self.known = known[order]
+            self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))[order]
+            self.sizes, self.ids = np.concatenate((self.sizes, sizes))[order], np.concatenate((self.ids, ids))
+            at = np.searchsorted(self.known, hashes)
+        ids, begins, _ = laid_out(self.ids, self.starts[at][number], self.sizes[at][number], first, self.end)
+        return ids, begins
+
+    def _of_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words in a row, and how many each has; many words are asked about in one text."""
+        alone = [MARK in w or self.mark is None for w in words]
+        together, parts, sizes = [w for w, a in zip(words, alone, strict=True) if not a], [], []
+        for low in range(0, len(together), 200 * 64):
+            some = together[low : low + 200 * 64]
+            texts = [self.lead + (b" " + MARK + b" ").join(some[i : i + 200]).decode() + " " + MARK.decode() for i in range(0, len(some), 200)]
+            ids = np.concatenate([np.array(a, np.uint16) for a in self._asked(texts)])
+            marks = np.flatnonzero(ids == self.mark)
+            if len(marks) != len(some):
+                raise ValueError("the tokenizer does not keep words apart at white space")
+            parts.append(np.delete(ids, marks))
+            sizes.append(np.diff(np.concatenate(([-1], marks))) - 1)
+        single = [np.array(a, np.uint16) for a in self._asked([self.lead + w.decode() for w, a in zip(words, alone, strict=True) if a])]
+        ids = np.concatenate([np.zeros(0, np.uint16), *parts, *single])
+        size = np.concatenate([np.zeros(0, np.int64), *sizes, np.array([len(a) for a in single], np.int64)])
+        # Back to the order of ``words``.
+        order = np.argsort(np.argsort(np.array(alone), kind="stable"), kind="stable")
+        begin = np.cumsum(size) - size
+        return ids[blocks.spread(begin[order], size[order])], size[order]
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Like ``blocks.words``, cut between ASCII letters, digits and signs too, digits one by one.
+
+    Other bytes, apostrophes and what special tokens are written with stay with what
+    stands beside them.
+    """
+    kind = KIND[data]
+    joined = np.zeros(len(data) + 1, bool)
+    joined[1:-1] = JOINED[kind[:-1] * np.uint8(5) + kind[1:]] if len(data) else False
+    joined[offsets] = False
+    solid = kind > 0
+    starts, ends = np.flatnonzero(solid & ~joined[:-1]), np.flatnonzero(solid & ~joined[1:]) + 1
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def _small(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A-Z made small, but not in pieces that may hold a special token, which is written in one way."""
+    small = blocks.FOLD[data]
+    signs = np.flatnonzero(data == ord("<"))
+    if len(signs):
+        some = np.unique(np.searchsorted(starts, signs, side="right") - 1)
+        places = blocks.spread(starts[some], ends[some] - starts[some])
+        small[places] = data[places]
+    return small
 
 
 def laid_out(every: np.ndarray, begin: np.ndarray, size: np.ndarray, first: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,27 +187,38 @@ def encoder(path: str, **settings) -> Encoder:
     return _encoders[key]
 
 
-def _distinct(ids: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document << 16 | id) once each, ascending, and how often."""
-    doc = np.repeat(np.arange(len(begins) - 1, dtype=np.uint64), np.diff(begins))
-    pairs = np.sort((doc << np.uint64(16)) | ids.astype(np.uint64))
-    starts = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1]))) if len(pairs) else np.zeros(0, np.int64)
-    return pairs[starts], np.diff(np.append(starts, len(pairs)))
+def _distinct(ids: np.ndarray, begins: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Documents, their ids once each, ascending, and how often; a stretch of documents at a time."""
+    low, n = 0, len(begins) - 1
+    while low < n:
+        high = min(max(low + 1, int(np.searchsorted(begins, begins[low] + KEYED_IDS, side="right")) - 1), low + (1 << 16), n)
+        doc = np.repeat(np.arange(high - low, dtype=np.uint32), np.diff(begins[low : high + 1]))
+        pairs = (doc << np.uint32(16)) | ids[begins[low] : begins[high]]
+        pairs.sort()
+        starts = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1]))) if len(pairs) else np.zeros(0, np.int64)
+        found = pairs[starts]
+        yield (found >> np.uint32(16)).astype(np.int32) + np.int32(low), found.astype(np.uint16), np.diff(np.append(starts, len(pairs))).astype(np.int32)
+        low = high
 
 
-def content_keys(ids: np.ndarray, begins: np.ndarray, frequency: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Each document's rarest term that at least ``least`` documents hold, and a part by min-hash.
+def content_order(frequency: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Terms, most telling first, and the place of each in that order.
 
-    Where no term is so frequent it is the most frequent one.
+    A document's most telling term is the rarest that at least ``least`` documents hold;
+    where no term is so frequent it is the most frequent one.
     """
-    pairs, _ = _distinct(ids, begins)
-    doc, term = (pairs >> np.uint64(16)).astype(np.int64), (pairs & np.uint64(0xFFFF)).astype(np.int64)
-    common = frequency[term]
-    # Least first: frequent enough and rare; the end id, which all hold, comes last.
-    order = np.lexsort((term, np.where(common >= least, common, -common), common < least, term == END_ID, doc))
-    hashes = blocks.mixed(term.astype(np.uint64) + np.uint64(1))
-    starts = np.searchsorted(doc, np.arange(len(begins) - 1))
-    return term[order][starts], (np.minimum.reduceat(hashes, starts) % np.uint64(PARTS)).astype(np.int64)
+    term = np.arange(len(frequency))
+    # The end id, which all hold, comes last.
+    order = np.lexsort((term, np.where(frequency >= least, frequency, -frequency), frequency < least, term == END_ID))
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order))
+    return order, place
+
+
+def content_keys(ids: np.ndarray, begins: np.ndarray, order: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's most telling term, and a part by min-hash of its terms."""
+    first = np.minimum.reduceat(place[ids], begins[:-1])
+    return order[first], (np.minimum.reduceat(TERM_HASHES[ids], begins[:-1]) % np.uint64(PARTS)).astype(np.int64)
 
 
 def dealt(cells: dict[tuple[int, int], int], shards: int) -> dict[tuple[int, int], tuple[int, int]]:
@@ -160,30 +236,86 @@ def dealt(cells: dict[tuple[int, int], int], shards: int) -> dict[tuple[int, int
 
 
 class Index:
-    """BM25 weights of one shard's documents by term."""
+    """BM25 weights of one shard's documents by term.
+
+    Weights are whole 64ths, so sums do not depend on their order.  Terms that many of
+    the documents hold are columns of a matrix, the others lists; seeds are asked for
+    several at a time, and documents that are used up are dropped from both.
+    """
 
     def __init__(self, ids: np.ndarray, begins: np.ndarray, rarity: np.ndarray, mean: float):
-        self.n = len(begins) - 1
-        pairs, counts = _distinct(ids, begins)
-        doc, term = (pairs >> np.uint64(16)).astype(np.int64), (pairs & np.uint64(0xFFFF)).astype(np.int64)
+        n = len(begins) - 1
         length = np.diff(begins)
-        weight = rarity[term] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * length[doc] / mean))
+        docs, terms, weights = [np.zeros(0, np.int32)], [np.zeros(0, np.uint16)], [np.zeros(0, np.float32)]
+        for doc, term, counts in _distinct(ids, begins):
+            weight = rarity[term] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * length[doc] / mean))
+            asked = term != END_ID
+            docs.append(doc[asked])
+            terms.append(term[asked])
+            weights.append(np.maximum(np.round(weight[asked] * 64), 1).astype(np.float32))
+        doc, self.query_terms, weight = np.concatenate(docs), np.concatenate(terms), np.concatenate(weights)
+        del docs, terms, weights
         # A document's query: all its terms.
-        asked = np.flatnonzero(term != END_ID)
-        self.query_terms = term[asked]
-        self.queries = np.searchsorted(doc[asked], np.arange(self.n + 1))
+        self.queries = np.searchsorted(doc, np.arange(n + 1))
+        held = np.bincount(self.query_terms, minlength=len(rarity))
+        common = np.flatnonzero(held > n / 16)
+        common = common[np.argsort(-held[common], kind="stable")][: max(1, min(1024, COLUMN_CELLS // max(n, 1)))]
+        self.column = np.full(len(rarity), -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        self.matrix = np.zeros((n, len(common)), np.float32)
+        column = self.column[self.query_terms]
+        dense = column >= 0
+        self.matrix[doc[dense], column[dense]] = weight[dense]
+        doc, term, weight = doc[~dense], self.query_terms[~dense], weight[~dense]
         by_term = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[by_term], weight[by_term]
         self.terms = np.searchsorted(term[by_term], np.arange(len(rarity) + 1))
+        self.listed, self.scores = np.arange(n), {}
+
+    def _drop(self, unused: np.ndarray) -> None:
+        keep = unused[self.listed]
+        if 4 * keep.sum() > 3 * len(keep):
+            return
+        number, stays = np.cumsum(keep, dtype=np.int32) - 1, keep[self.doc]
+        self.listed, self.matrix = self.listed[keep], self.matrix[keep]
+        self.terms = np.concatenate(([0], np.cumsum(stays)))[self.terms]
+        self.doc, self.weight = number[self.doc[stays]], self.weight[stays]
+
+    def _score(self, seeds: np.ndarray, unused: np.ndarray) -> None:
+        """Works out what each of ``seeds`` has in common with every unused document."""
+        self._drop(unused)
+        asked, lists = np.zeros((len(seeds), self.matrix.shape[1]), np.float32), []
+        for at, seed in enumerate(seeds.tolist()):
+            terms = self.query_terms[self.queries[seed] : self.queries[seed + 1]]
+            column = self.column[terms]
+            asked[at, column[column >= 0]] = 1
+            rare = terms[column < 0].astype(np.int64)
+            places = blocks.spread(self.terms[rare], self.terms[rare + 1] - self.terms[rare])
+            lists.append(np.bincount(self.doc[places], self.weight[places], minlength=len(self.listed)))
+        score = asked @ self.matrix.T
+        self.scores = {seed: score[at] + lists[at].astype(np.float32) for at, seed in enumerate(seeds.tolist())}
 
     def like(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """All unused documents that share a term with ``seed``, best first."""
-        terms = self.query_terms[self.queries[seed] : self.queries[seed + 1]]
-        places = blocks.spread(self.terms[terms], self.terms[terms + 1] - self.terms[terms])
-        score = np.bincount(self.doc[places], self.weight[places], minlength=self.n)
-        score[~unused] = 0
+        return np.fromiter(self.ranked(seed, unused), np.int64)
+
+    def ranked(self, seed: int, unused: np.ndarray, ahead: np.ndarray | None = None) -> Iterator[int]:
+        """All unused documents that share a term with ``seed``, best first, ties by number.
+
+        ``ahead`` are the seeds that are likely to be asked for next.
+        """
+        if seed not in self.scores:
+            more = np.zeros(0, np.int64) if ahead is None else ahead[(ahead != seed) & unused[ahead]]
+            self._score(np.append(seed, more[:AHEAD]), unused)
+        score = np.where(unused[self.listed], self.scores.pop(seed), np.float32(0))
         best = np.flatnonzero(score)
-        return best[np.argsort(-score[best], kind="stable")]
+        if len(best) > 4 * NEIGHBOURS:
+            # Most windows are full long before the last of these.
+            bound = np.partition(score[best], len(best) - 2 * NEIGHBOURS)[len(best) - 2 * NEIGHBOURS]
+            top = best[score[best] >= bound]
+            yield from self.listed[top[np.argsort(-score[top], kind="stable")]].tolist()
+            best = best[score[best] < bound]
+        yield from self.listed[best[np.argsort(-score[best], kind="stable")]].tolist()
 
 
 def filled(sizes: np.ndarray, index: Index | None, window: int) -> list[list[tuple[int, int, int]]]:
@@ -215,7 +347,7 @@ def filled(sizes: np.ndarray, index: Index | None, window: int) -> list[list[tup
         room -= take(seed, room)
         if room:
             cuttable = -1
-            for rank, i in enumerate(index.like(seed, left > 0).tolist() if index else []):
+            for rank, i in enumerate(index.ranked(seed, left > 0, seeds[nxt : nxt + 4 * AHEAD]) if index else []):
                 if rank >= NEIGHBOURS and cuttable >= 0:
                     break
                 if left[i] <= room:
@@ -271,17 +403,18 @@ def packed(docs: DataFrame, window: int = 2048, tokenizer: str | None = None) ->
     ignored.  Runs agree: shards follow from contents and ids, order inside them from
     ids and lengths and contents.
     """
-    path = tokenizer or default_tokenizer()
+    path, fine = tokenizer or default_tokenizer(), tokenizer is None
     spark, shards = docs.sparkSession, exchange.pieces(docs)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, press, names = encoder(path), zstandard.ZstdCompressor(level=1), ["doc_id", "n", "z", "df", "n_docs"]
+        coder, press, names = encoder(path, fine=fine), zstandard.ZstdCompressor(level=1), ["doc_id", "n", "z", "df", "n_docs"]
         vocabulary = coder.tokenizer.get_vocab_size()
         frequency, n_docs = np.zeros(vocabulary, np.int64), 0
         # Encodings take far more memory than their texts.
         for block in blocks.cut(batches, most=1 << 20):
             ids, begins = coder.encode(block.column("text"))
-            frequency += np.bincount((_distinct(ids, begins)[0] & np.uint64(0xFFFF)).astype(np.int64), minlength=vocabulary)
+            for _, terms, _ in _distinct(ids, begins):
+                frequency += np.bincount(terms, minlength=vocabulary)
             n_docs += block.num_rows
             raw, cuts = ids.tobytes(), (begins * 2).tolist()
             n, rows = np.diff(begins), block.num_rows
@@ -323,7 +456,7 @@ def packed(docs: DataFrame, window: int = 2048, tokenizer: str | None = None) ->
     mean = float(tokens.agg(F.avg("n")).first()[0] or 1.0)
 
     # A term that fewer documents hold than a part of a shard would tear its subject apart.
-    least = max(2.0, n_docs / shards / 8)
+    order, place = content_order(frequency, max(2.0, n_docs / shards / 8))
 
     def keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         spread, parts = zstandard.ZstdDecompressor(), []
@@ -332,7 +465,7 @@ def packed(docs: DataFrame, window: int = 2048, tokenizer: str | None = None) ->
         while low < batch.num_rows:
             high = max(low + 1, int(np.searchsorted(begins, begins[low] + KEYED_IDS, side="right")) - 1)
             ids = np.frombuffer(b"".join(spread.decompress(z) for z in batch.column("z").slice(low, high - low).to_pylist()), np.uint16)
-            parts.append(content_keys(ids, begins[low : high + 1] - begins[low], frequency, least))
+            parts.append(content_keys(ids, begins[low : high + 1] - begins[low], order, place))
             low = high
         return np.concatenate([t for t, _ in parts]), np.concatenate([p for _, p in parts])
 
@@ -381,15 +514,15 @@ def packed(docs: DataFrame, window: int = 2048, tokenizer: str | None = None) ->
         ids = np.frombuffer(b"".join(r[3] for r in rows), np.uint16)
         sizes = np.array([r[2] for r in rows], np.int64)
         begins = np.concatenate(([0], np.cumsum(sizes)))
-        wide = ids.astype("<u4")
         out: list[tuple] = []
         for at, sequence in enumerate(filled(sizes, Index(ids, begins, rarity, mean), window)):
             offset = 0
             for doc, start, length in sequence:
                 low = int(begins[doc]) + start
-                out.append((None if rows[doc][0] else rows[doc][1], start, length, zlib.crc32(wide[low : low + length]), int(sizes[doc]), (number << 40) | at, offset))
+                out.append((None if rows[doc][0] else rows[doc][1], start, length, zlib.crc32(ids[low : low + length].astype("<u4")), int(sizes[doc]), (number << 40) | at, offset))
                 offset += length
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        blocks.give_back()
         return pa.table([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
 
     return whole.mapInArrow(deal, "shard int, doc_id long, n long, z binary").groupBy("shard").applyInArrow(pack, OUT)
