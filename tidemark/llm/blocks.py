@@ -38,7 +38,7 @@ _powers: dict[str, np.ndarray] = {"up": np.ones(1, _U), "down": np.ones(1, _U)}
 def _power(kind: str, n: int) -> np.ndarray:
     have = _powers[kind]
     if len(have) < n:
-        size = max(n, BLOCK_BYTES + 1)
+        size = -(-n // (1 << 20)) << 20
         steps = np.full(size, _BASE if kind == "up" else _INVERSE, _U)
         steps[0] = 1
         _powers[kind] = have = np.cumprod(steps)

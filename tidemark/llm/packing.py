@@ -26,7 +26,7 @@ from tidemark.llm.tables import written
 END_ID = 1
 #: Of so many best neighbours those that fit whole go before one that has to be cut.
 NEIGHBOURS = 32
-#: Words a task remembers the ids of; beyond that it starts afresh.
+#: Words a task remembers the ids of; beyond that it starts afresh, as it does when it ends.
 REMEMBERED = 1_000_000
 K1, B = 1.2, 0.75
 #: Parts by min-hash of the documents of a term that one shard cannot hold.
@@ -67,16 +67,30 @@ class Encoder:
 
     def __init__(self, path: str, end: int = END_ID, lead: str = "", fold: bool = False, fine: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.end, self.lead, self.fold, self.fine = Tokenizer.from_file(path), end, lead, fold, fine
-        if fold:
-            self.tokenizer.encode_special_tokens = True
+        self.path, self.end, self.lead, self.fold, self.fine = path, end, lead, fold, fine
+        self._tokenizer = None
         sign = self._asked([lead + MARK.decode()])[0]
         #: The id of the sign between words that are asked about together, if it is one id.
         self.mark = sign[0] if len(sign) == 1 else None
         self._forget()
 
+    @property
+    def tokenizer(self):
+        """Read from its file when it is needed."""
+        if self._tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self._tokenizer = Tokenizer.from_file(self.path)
+            if self.fold:
+                self._tokenizer.encode_special_tokens = True
+        return self._tokenizer
+
+    def rest(self) -> None:
+        """Lets go of the tokenizer and of the words: idle workers keep what they hold."""
+        self._tokenizer = None
+        self._forget()
+        blocks.give_back()
+
     def _asked(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
@@ -426,7 +440,7 @@ def packed(docs: DataFrame, window: int = 2048, tokenizer: str | None = None) ->
                 ],
                 names=names,
             )
-        blocks.give_back()
+        coder.rest()
         if n_docs:
             one = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary())]
             yield pa.RecordBatch.from_arrays([*one, pa.array([frequency.tobytes()], pa.binary()), pa.array([n_docs])], names=names)
