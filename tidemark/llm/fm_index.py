@@ -201,10 +201,16 @@ def shortened(docs: DataFrame, window: int = 35, gram: int = 8) -> DataFrame:
     """The rows of ``docs`` with repeated stretches cut out of ``text`` and ``n_chars`` set anew.
 
     A text that loses nothing stays as it is, line ends included; rows that lose all
-    their words are dropped.  Other columns are carried unchanged.
+    their words are dropped.  Other columns are carried unchanged, whatever their names.
+
+    Rows: a null text becomes an empty one and stays, as blank texts do; null and repeated
+    ids are rows like any other; an empty table gives an empty one; a text of any length
+    is cut whole.
     """
     search, index = _search(window, gram)
-    carry = [c for c in docs.columns if c not in ("text", "n_chars")]
+    # Numbered on the way, so that no column has a name that the exchange uses.
+    names = {c: c if c in ("doc_id", "text", "n_chars") else f"column{i}" for i, c in enumerate(docs.columns)}
+    carry = [name for name in names.values() if name not in ("text", "n_chars")]
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema])
 
     def finish(rows: pa.Table, there: repeats.Texts, mask: np.ndarray) -> pa.RecordBatch:
@@ -218,6 +224,6 @@ def shortened(docs: DataFrame, window: int = 35, gram: int = 8) -> DataFrame:
         columns = {c: rows.column(c).combine_chunks() for c in carry}
         columns["text"] = pa.array(texts, pa.string())
         columns["n_chars"] = pa.array([len(t) for t in texts], pa.int64())
-        return pa.RecordBatch.from_arrays([columns[c] for c in schema.names], names=schema.names).filter(pa.array(stay))
+        return pa.RecordBatch.from_arrays([columns[names[c]] for c in schema.names], names=schema.names).filter(pa.array(stay))
 
-    return repeats.removed(docs, search, index, finish, schema, carry)
+    return repeats.removed(docs.toDF(*names.values()), search, index, finish, schema, carry)

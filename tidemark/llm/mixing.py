@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import blocks
-from tidemark.llm.tables import written
+from tidemark.llm.tables import unused, written
 
 #: Budgets above this are first met by even shares; the rest is fitted exactly.
 FITTED_BUDGET = 100_000
@@ -202,31 +202,35 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0
 def repeated(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, seed: int = 17) -> DataFrame:
     """The rows of ``docs``, columns unchanged, each as often as the mix takes it.
 
-    A document without words is never taken.
+    A document without words, so one with a null text too, is never taken.  Null ids and
+    null sources are values like any other; rows that share id, source and number of words
+    share what is taken of them in order of their texts; an empty table gives an empty one;
+    a text of any length is measured whole; further columns are carried, whatever their names.
     """
-    schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in docs.schema), T.StructField("_size", T.LongType())])
+    words, copies, alike, nth, times, time = unused(docs.columns, "_size", "_copies", "_rows", "_nth", "_times", "_time")
+    schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in docs.schema), T.StructField(words, T.LongType())])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks.cut(batches, most=1 << 20):
             _, _, first = blocks.words(*blocks.flat(block.column("text")))
             yield pa.RecordBatch.from_arrays([*block.columns, pa.array(np.diff(first), pa.int64())], names=schema.names)
 
-    same = ["doc_id", "source", "_size"]
+    same = ["doc_id", "source", words]
     # Rows that share id, source and size share what is taken of them, in order of their texts.
     choice = (
         mix(docs, weights, most, seed)
         .groupBy("doc_id", "source", "size")
-        .agg(F.sum(F.when(F.col("size") > 0, F.expr("taken div size"))).alias("_copies"), F.count("*").alias("_rows"))
-        .where("_copies > 0")
+        .agg(F.sum(F.when(F.col("size") > 0, F.expr("taken div size"))).alias(copies), F.count("*").alias(alike))
+        .where(F.col(copies) > 0)
     )
-    on = F.expr("d.doc_id <=> c.doc_id AND d.source <=> c.source AND d._size = c.size")
-    found = docs.mapInArrow(measure, schema).alias("d").join(choice.alias("c"), on).select("d.*", "_copies", "_rows")
-    several = found.where("_rows > 1").withColumn("_nth", F.row_number().over(Window.partitionBy(*same).orderBy("text")))
+    on = F.expr(f"d.doc_id <=> c.doc_id AND d.source <=> c.source AND d.{words} = c.size")
+    found = docs.mapInArrow(measure, schema).alias("d").join(choice.alias("c"), on).select("d.*", copies, alike)
+    several = found.where(F.col(alike) > 1).withColumn(nth, F.row_number().over(Window.partitionBy(*same).orderBy("text")))
     counted = (
-        found.where("_rows = 1")
-        .withColumn("_nth", F.lit(1))
+        found.where(F.col(alike) == 1)
+        .withColumn(nth, F.lit(1))
         .unionByName(several)
-        .withColumn("_times", F.expr("_copies div _rows + CAST(_nth <= _copies % _rows AS INT)").cast("int"))
-        .where("_times > 0")
+        .withColumn(times, F.expr(f"{copies} div {alike} + CAST({nth} <= {copies} % {alike} AS INT)").cast("int"))
+        .where(F.col(times) > 0)
     )
-    return counted.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_times")).alias("_time")).drop("_time")
+    return counted.select(*docs.columns, F.explode(F.sequence(F.lit(1), times)).alias(time)).drop(time)

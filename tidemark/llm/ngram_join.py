@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import blocks, exchange
 from tidemark.llm.components import components
-from tidemark.llm.tables import written
+from tidemark.llm.tables import unused, written
 
 _U = np.uint64
 _SLOTS = 1 << 40
@@ -292,13 +292,17 @@ def joined(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 def one_of_each(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """The rows of ``docs``, columns unchanged, of which each component keeps its least id.
 
-    Of rows with the same id one stays; rows without id all stay.
+    Of rows with the same id one stays, the first by its text; rows without id all stay, and
+    so do null and blank texts, which are linked with nothing.  An empty table gives an empty
+    one; a text of any length is compared whole; further columns are carried, whatever their
+    names.
     """
+    (nth,) = unused(docs.columns, "_nth")
     found = joined(docs, n, percent).select("doc_id", "component_id")
     keep = found.where("doc_id = component_id").select("doc_id").distinct()
     numbered = docs.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi")
     repeated = numbered.groupBy("doc_id").agg(F.count("*").alias("_copies")).where("_copies > 1").select("doc_id")
     once = numbered.join(repeated, "doc_id", "left_anti")
     first = Window.partitionBy("doc_id").orderBy("text")
-    again = numbered.join(repeated, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
+    again = numbered.join(repeated, "doc_id", "left_semi").withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).drop(nth)
     return once.unionByName(again).unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)

@@ -200,7 +200,12 @@ def graded(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
 
 def selected(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, columns unchanged, whose chance of the highest grade is at least ``least``."""
+    """The rows of ``docs``, columns unchanged, whose chance of the highest grade is at least ``least``.
+
+    Each row is judged by its whole text alone: repeated rows alike, a null or blank text as
+    one without words.  An empty table gives an empty one; further columns are carried,
+    whatever their names.
+    """
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema])
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
