@@ -118,7 +118,7 @@ class Encoder:
         new[inside] = self.known[at[inside]] != hashes[inside]
         if new.any():
             whole, which = data.tobytes(), where[new]
-            ids, sizes = self._of_words([whole[a:b] for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)])
+            ids, sizes = self.of_words([whole[a:b] for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)])
             known = np.concatenate((self.known, hashes[new]))
             order = np.argsort(known, kind="stable")
             self.known = known[order]
@@ -128,7 +128,7 @@ class Encoder:
         ids, begins, _ = laid_out(self.ids, self.starts[at][number], self.sizes[at][number], first, self.end)
         return ids, begins
 
-    def _of_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def of_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words in a row, and how many each has; many words are asked about in one text."""
         alone = [MARK in w or self.mark is None for w in words]
         together, parts, sizes = [w for w, a in zip(words, alone, strict=True) if not a], [], []
