@@ -123,7 +123,7 @@ def _nearest_smaller(values: np.ndarray) -> np.ndarray:
         near[bad] = near[near[bad]]
 
 
-def repeated_windows(data: np.ndarray, sizes: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated_windows(data: np.ndarray, sizes: np.ndarray, counts: np.ndarray, window: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Which windows of the pieces (words joined by spaces) occur again, and windows per piece.
 
     A piece stands for ``counts`` equal stretches of documents.
@@ -131,7 +131,7 @@ def repeated_windows(data: np.ndarray, sizes: np.ndarray, counts: np.ndarray, wi
     offsets = np.concatenate(([0], np.cumsum(sizes)))
     starts, ends, first = blocks.words(data, offsets)
     n_words = np.diff(first)
-    known, letters = np.unique(blocks.word_hashes(data, starts, ends, fold=False), return_inverse=True)
+    known, letters = np.unique(blocks.word_hashes(data, starts, ends, fold=False, seed=seed), return_inverse=True)
     letters = letters.astype(np.int64) + 2
     pieces = len(sizes)
     text = np.ones(len(letters) + pieces + 1, np.int64)
@@ -147,11 +147,13 @@ def repeated_windows(data: np.ndarray, sizes: np.ndarray, counts: np.ndarray, wi
 
 
 def _search(window: int, gram: int) -> tuple[repeats.Search, repeats.Index]:
+    search = repeats.Search(window, gram, by_word=True, earlier=False)
+
     def index(data: np.ndarray, sizes: np.ndarray, owners: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        again, windows = repeated_windows(data, sizes, counts, window)
+        again, windows = repeated_windows(data, sizes, counts, window, search.seed)
         return np.where(again, 0, repeats.NOWHERE), windows
 
-    return repeats.Search(window, gram, by_word=True, earlier=False), index
+    return search, index
 
 
 def _kept_texts(there: repeats.Texts, mask: np.ndarray) -> list[bytes]:

@@ -38,11 +38,11 @@ TILE = 1500
 DENSE, COLUMNS = 48, 2048
 
 
-def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(texts: pa.Array, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The distinct n-gram hashes of every text, ascending, and where each text's begin."""
     data, offsets = blocks.flat(texts)
     starts, ends, first = blocks.words(data, offsets)
-    rolling = blocks.Rolling(blocks.word_hashes(data, starts, ends, fold=True))
+    rolling = blocks.Rolling(blocks.word_hashes(data, starts, ends, fold=True, seed=seed), seed)
     n_words = np.diff(first)
     grams = np.where(n_words >= n, n_words - n + 1, np.minimum(n_words, 1))
     begin = blocks.spread(first[:-1], grams)
@@ -56,9 +56,9 @@ def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(doc, np.arange(len(n_words) + 1))
 
 
-def _ask_frequency(n: int, shards: int):
+def _ask_frequency(n: int, shards: int, seed: int = 0):
     def question(table: pa.Table) -> Iterator[tuple[int, int, bytes]]:
-        every = [shingles(texts, n)[0] for _, texts in exchange.opened(table, blocks.BLOCK_BYTES)]
+        every = [shingles(texts, n, seed)[0] for _, texts in exchange.opened(table, blocks.BLOCK_BYTES)]
         codes, counts = np.unique(np.concatenate(every) % _U(shards * _SLOTS), return_counts=True)
         bucket, slot, shard = table.column("_bucket")[0].as_py(), codes // _U(shards), (codes % _U(shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
@@ -93,7 +93,7 @@ PROFILE = "doc_id long, n long, key binary, grams binary, prefix array<long>, pl
 def profiles(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """One row per row of ``docs``: set size, a 128-bit key of the set and, where its first
     n-grams occur in another document, what the join needs of it."""
-    shards = exchange.pieces(docs)
+    shards, seed = exchange.pieces(docs), blocks.fresh_seed()
     buckets = exchange.bucketed(docs)
 
     def use(table: pa.Table, replies: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +106,7 @@ def profiles(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         codes, ranks = codes[order], ranks[order]
         seen: set[bytes] = set()
         for rows, texts in exchange.opened(table, blocks.BLOCK_BYTES):
-            hashes, begins = shingles(texts, n)
+            hashes, begins = shingles(texts, n, seed)
             sizes = np.diff(begins)
             rank = np.zeros(len(hashes), np.int64)
             if len(codes):
@@ -149,7 +149,7 @@ def profiles(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
                 names=["doc_id", "n", "key", "grams", "prefix", "place", "stars"],
             )
 
-    frequencies = exchange.answer(exchange.ask(buckets, _ask_frequency(n, shards)), _answer_frequency)
+    frequencies = exchange.answer(exchange.ask(buckets, _ask_frequency(n, shards, seed)), _answer_frequency)
     return exchange.tell(buckets, frequencies, use, PROFILE)
 
 

@@ -15,13 +15,14 @@ An anchor that very many stretches share does not fill one shard: its stretches
 are cut into single windows, and each goes to the shard of its own hash.
 
 The rows of equal anchors are only candidates; windows are compared symbol by
-symbol in the shard's index.
+symbol in the shard's index.  Equal stretches, and equal words, are told by hashes of
+64 bits that are drawn anew for every job, so no text can be made to be confused.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -62,14 +63,23 @@ class Search:
     earlier: bool
     #: Anchors that occur this often are dealt out window by window.
     crowded: int = 4000
+    #: Of the hashes; each job has its own.
+    seed: int = field(default_factory=blocks.fresh_seed)
 
     def texts(self, texts: pa.Array) -> Texts:
         data, offsets = blocks.flat(texts)
         if self.by_word:
             starts, ends, first = blocks.words(data, offsets)
-            return Texts(blocks.word_hashes(data, starts, ends, fold=False), first, data, starts, ends, offsets)
+            return Texts(blocks.word_hashes(data, starts, ends, fold=False, seed=self.seed), first, data, starts, ends, offsets)
         places = np.arange(len(data))
-        return Texts(blocks.BYTE_VALUE[data], offsets, data, places, places + 1, offsets)
+        return Texts(blocks.byte_values(self.seed)[data], offsets, data, places, places + 1, offsets)
+
+    def rolling(self, texts: Texts) -> blocks.Rolling:
+        return blocks.Rolling(texts.symbols, self.seed)
+
+    def own(self, texts: Texts, rolling: blocks.Rolling, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The hash by which a stretch is known."""
+        return blocks.digested(rolling.of(first, end), texts.symbols, first, end, self.seed, 2 * blocks.LONG)
 
 
 @dataclass(frozen=True)
@@ -96,7 +106,7 @@ def _least(values: np.ndarray, reach: int) -> np.ndarray:
 
 def runs(search: Search, texts: Texts) -> Runs:
     none = np.zeros(0, np.int64)
-    grams = blocks.Rolling(texts.symbols).windows(search.gram)
+    grams = search.rolling(texts).windows(search.gram)
     reach = search.window - search.gram + 1
     if len(grams) < reach:
         return Runs(none, none, none.astype(_U), none.astype(bool))
@@ -222,14 +232,14 @@ def _ask_stretches(search: Search, shards: int) -> Callable:
         bucket = table.column("_bucket")[0].as_py()
         for rows, texts in exchange.opened(table, BLOCK):
             there = search.texts(texts)
-            found, rolling = runs(search, there), blocks.Rolling(there.symbols)
+            found, rolling = runs(search, there), search.rolling(there)
             hit, at = known.find(_code(found.anchor, shards))
             crowded = hit & (mark[at] == 2 if len(mark) else False)
             whole = np.flatnonzero(hit & ~crowded)
             one, one_end = _single(found, np.flatnonzero(crowded))
             first = np.concatenate((found.first[whole], one))
             end = np.concatenate((found.last[whole], one_end)) - 1 + search.window
-            own = rolling.of(first, end)
+            own = search.own(there, rolling, first, end)
             route = np.concatenate((found.anchor[whole], own[len(whole) :]))
             if not len(first):
                 continue
@@ -323,13 +333,13 @@ def removed(
             there = search.texts(texts)
             mask = np.zeros(len(there.symbols), bool)
             if len(keys):
-                found, rolling = runs(search, there), blocks.Rolling(there.symbols)
-                hit, at = known.find(rolling.of(found.first, found.last - 1 + search.window))
+                found, rolling = runs(search, there), search.rolling(there)
+                hit, at = known.find(search.own(there, rolling, found.first, found.last - 1 + search.window))
                 first, at = found.first[hit], at[hit]
                 if lone.any():
                     # Windows of crowded anchors were asked about one by one.
                     one, one_end = _single(found, np.flatnonzero(~hit))
-                    hit, at_one = known.find(rolling.of(one, one_end - 1 + search.window))
+                    hit, at_one = known.find(search.own(there, rolling, one, one_end - 1 + search.window))
                     first, at = np.concatenate((first, one[hit])), np.concatenate((at, at_one[hit]))
                 seg = blocks.spread(at_segment[at], n[at])
                 start = np.repeat(first, n[at])
