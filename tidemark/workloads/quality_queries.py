@@ -109,14 +109,15 @@ def listing_window_validity(spark, sf_dir):
     """
     SELECT event_type, reason, count(*) AS rows, sum(good)::DECIMAL(34,2)::VARCHAR AS total FROM (
       SELECT event_type,
-        CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 THEN 'not a finite decimal'
-             WHEN event_id % 13 = 0 THEN 'below zero' ELSE 'ok' END AS reason,
-        CASE WHEN event_id % 7 <> 0 AND event_id % 11 <> 0 AND event_id % 13 <> 0
-             THEN value::DECIMAL(18,2) END AS good
-      FROM events) GROUP BY ALL""",
+        CASE WHEN price IS NULL THEN 'not a finite decimal' WHEN price < 0 THEN 'below zero' ELSE 'ok' END AS reason,
+        CASE WHEN price >= 0 THEN price::DECIMAL(18,2) END AS good
+      FROM (SELECT event_type,
+              TRY_CAST(CASE WHEN event_id % 7 = 0 THEN 'NaN' WHEN event_id % 11 = 0 THEN amount || 'x'
+                            WHEN event_id % 13 = 0 THEN '-' || amount ELSE amount END AS DECIMAL(20,10)) AS price
+            FROM (SELECT event_id, event_type, value::DECIMAL(18,2)::VARCHAR AS amount FROM events))) GROUP BY ALL""",
 )
 def money_checks(spark, sf_dir):
-    """Price texts, some of them not numbers and some of them negative."""
+    """Price texts, some of them not numbers and some of them negative; minus nothing is not negative."""
     amount = F.col("value").cast("decimal(18,2)").cast("string")
     raw = (
         F.when(F.col("event_id") % 7 == 0, F.lit("NaN"))
