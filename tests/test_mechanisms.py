@@ -125,6 +125,21 @@ def test_walking_a_book(spark):
     assert all(r["total_bps"] == r["slippage_bps"] + 8 for r in priced.collect())
 
 
+def test_a_long_book_is_searched_by_halves(spark):
+    n = 3_000
+    levels = [("v", "s", "ask", Decimal(i), Decimal(2)) for i in range(1, n + 1)]
+    book = depth.books(spark.createDataFrame(levels, "venue string, symbol string, side string, price decimal(20,10), quantity decimal(24,8)"))
+    asked = [0, 1, 2, 3, 1023, 1024, 1025, 2048, 2 * n - 1, 2 * n, 2 * n + 1]
+    trades = spark.createDataFrame([("v", "s", "buy", Decimal(q)) for q in asked], "venue string, symbol string, side string, quantity decimal(24,8)")
+    found = depth.filled(trades.join(book, ["venue", "symbol"], "left"))
+    # No order looks at every level.
+    assert "filter(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    for r in found.collect():
+        had = min(int(r["quantity"]), 2 * n)
+        whole, rest = divmod(had, 2)
+        assert (r["levels"], r["filled"], r["notional"]) == (whole + rest, had, whole * (whole + 1) + rest * (whole + 1))
+
+
 def test_bucketed_bars_are_read_without_an_exchange(spark, tmp_path):
     store = bucketed.BucketedBars(spark, f"bars_{abs(hash(str(tmp_path)))}", str(tmp_path / "bars"), 4)
     store.create()

@@ -19,6 +19,8 @@ from tidemark.functions import money
 BUY, SELL = "buy", "sell"
 #: Price times quantity with every digit of both: 20 before the point, 18 after it.
 EXACT = "decimal(38,18)"
+#: Steps of a search by halves through a book of any length.
+_HALVES = [1 << bit for bit in range(29, -1, -1)]
 
 
 def notional(price: Column, quantity: Column) -> Column:
@@ -68,8 +70,9 @@ def filled(trades: DataFrame, side: str = "side", quantity: str = "quantity") ->
     """
     wanted = F.col(quantity).cast(money.QUANTITY)
     book = F.when(F.col(side) == BUY, F.col("asks")).when(F.col(side) == SELL, F.col("bids"))
-    taken = F.filter("_book", lambda level: level["through"] <= F.col("_wanted"))
-    whole = F.coalesce(F.array_size(taken), F.lit(0))
+    # Running sums only grow, so the levels that are emptied are found by halves.
+    further = lambda at, step: F.get("_book", at + step - 1)["through"] <= F.col("_wanted")
+    whole = F.aggregate(F.lit(_HALVES), F.lit(0), lambda at, step: F.when(further(at, step), at + step).otherwise(at))
     zero = F.lit(0)
     last = F.get("_book", F.col("_whole") - 1)
     cut = F.get("_book", F.col("_whole"))

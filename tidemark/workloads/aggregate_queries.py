@@ -413,18 +413,23 @@ def depth_slippage(spark, sf_dir):
     """Every print sixty times over against its instrument's book, bought or sold.
 
     Some orders fit into a few levels, some empty the side; sums are exact to the
-    tenth decimal.
+    tenth decimal.  Equal orders are filled equally, so a book is walked once for each
+    different one.
     """
     odd = F.col("l_linenumber") % 2 == 1
     asked = fx.all_prints(spark, sf_dir).select(
         "venue", "symbol", F.when(odd, depth.BUY).otherwise(depth.SELL).alias("side"), (F.col("qty") * 60).alias("quantity")
     )
+    orders = asked.groupBy("venue", "symbol", "side", "quantity").agg(F.count("*").alias("equal"))
     book = depth.books(order_book(spark, sf_dir))
-    found = depth.filled(lookup(asked, book, ["venue", "symbol"]))
-    e10 = lambda name: (F.sum(name).cast("decimal(28,10)") * 10_000_000_000).cast("decimal(38,0)").cast("string").alias(f"{name.split('_')[0]}_e10")
+    found = depth.filled(lookup(orders, book, ["venue", "symbol"]))
+    # Beside twelve digits of count there is room for the digits that each amount has.
+    total = lambda name, kind: F.sum(F.col(name).cast(kind) * F.col("equal").cast("decimal(12,0)"))
+    e10 = lambda name: (total(name, "decimal(20,10)").cast("decimal(28,10)") * 10_000_000_000).cast("decimal(38,0)").cast("string").alias(f"{name.split('_')[0]}_e10")
     return found.groupBy("venue", "symbol", "side", "complete").agg(
-        F.count("*").alias("trades"), F.sum("levels").alias("levels"), exact(F.sum("filled"), 2, "filled"),
-        exact(F.sum("notional"), 4, "notional"), e10("average"), e10("slippage_bps"),
+        F.sum("equal").alias("trades"), F.sum(F.col("levels") * F.col("equal")).alias("levels"),
+        exact(total("filled", "decimal(24,2)"), 2, "filled"), exact(total("notional", "decimal(26,4)"), 4, "notional"),
+        e10("average"), e10("slippage_bps"),
     )
 
 
