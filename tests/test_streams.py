@@ -137,6 +137,33 @@ def test_silent_requests_end(spark, tmp_path):
     }
 
 
+def test_many_requests_are_few_states(spark, tmp_path):
+    draw = random.Random(2)
+    landing, rows = str(tmp_path / "landing"), []
+    for i in range(400):
+        for attempt in range(1, draw.randint(1, 5) + 1):
+            outcome = draw.choice(["ok", "rejected", "retryable"])
+            rows.append(("v", None if i % 7 == 0 else "/k", f"q{i}", "r", START + timedelta(minutes=i + attempt), attempt, outcome, f"{outcome} {attempt}"))
+    draw.shuffle(rows)
+    for some, poll in ((rows[:500], 6), (rows[500:], 10), ([], 40)):
+        live_bars.land(spark.createDataFrame(some, ATTEMPTS), at(START + timedelta(hours=poll)), landing, "requested_at")
+        stream = live_bars.landed_prints(spark, spark.createDataFrame([], ATTEMPTS).schema, landing)
+        finals = requests.final_outcomes(stream, "12 hours", 20 * 3600, buckets=8)
+        query = finals.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start(str(tmp_path / "finals"))
+        query.awaitTermination()
+        assert max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) <= 8
+    decided = {}
+    for _, _, params, _, _, attempt, outcome, detail in rows:
+        rank = ({"ok": 2, "rejected": 1}.get(outcome, 0), attempt)
+        most, best, text = decided.get(params, (0, (0, 0), ""))
+        decided[params] = (max(most, attempt), *max((best, text), (rank, detail)))
+    names = {2: "ok", 1: "rejected", 0: "unavailable"}
+    found = spark.read.parquet(str(tmp_path / "finals")).collect()
+    assert sorted((r["params"], r["attempts"], r["final_outcome"], r["detail"]) for r in found) == sorted(
+        (params, most, names[best[0]], text) for params, (most, best, text) in decided.items()
+    )
+
+
 def test_a_backlog_is_taken_in_by_bounded_batches(spark, tmp_path):
     landing, seen = str(tmp_path / "landing"), []
     for i in range(5):
