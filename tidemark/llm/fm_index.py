@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tidemark.llm import blocks, repeats
-from tidemark.llm.suffixes import common_prefixes, doubled
+from tidemark.llm.suffixes import common_prefixes, doubled, places
 
 _U = np.uint64
 
@@ -44,8 +44,8 @@ class Wavelet:
         self.levels: list[tuple[int, Bits, int]] = []
         row = letters
         for bit in range(max(int(n_letters - 1).bit_length(), 1) - 1, -1, -1):
-            ones = (row >> bit) & 1
-            self.levels.append((bit, Bits(ones), int(len(row) - ones.sum())))
+            ones = ((row >> bit) & 1).astype(np.uint8)
+            self.levels.append((bit, Bits(ones), len(row) - int(np.count_nonzero(ones))))
             row = np.concatenate((row[ones == 0], row[ones == 1]))
         self.starts = np.zeros(n_letters, np.int64)
         self.starts = self._follow(np.arange(n_letters), np.zeros(n_letters, np.int64))
@@ -64,14 +64,14 @@ class FMIndex:
     """Backward search over ``text`` (its only 0 at the end); each place has a weight."""
 
     def __init__(self, text: np.ndarray, weights: np.ndarray, n_letters: int):
-        order = doubled(text)
         n = len(text)
-        self.n = n
-        self.wavelet = Wavelet(text[order - 1], n_letters)
+        self.n, kind = n, places(n)
+        order = doubled(text).astype(kind)
+        self.wavelet = Wavelet(text[order - 1].astype(kind), n_letters)
         sizes = np.bincount(text, minlength=n_letters)
         self.first = np.cumsum(sizes) - sizes
         self.weight = np.concatenate(([0], np.cumsum(weights[order])))
-        shared = np.full(n + 1, -1, np.int64)
+        shared = np.full(n + 1, -1, kind)
         shared[1:n] = common_prefixes(text, order)[order[1:]]
         self.shared = shared
         self.left, self.right = _nearest_smaller(shared), n - _nearest_smaller(shared[::-1])[::-1]
@@ -115,7 +115,7 @@ class FMIndex:
 
 def _nearest_smaller(values: np.ndarray) -> np.ndarray:
     """For every place the nearest one to the left with a smaller value, else 0."""
-    near = np.arange(len(values)) - 1
+    near = np.arange(len(values), dtype=places(len(values))) - 1
     while True:
         bad = np.flatnonzero((near >= 0) & (values[np.maximum(near, 0)] >= values))
         if not len(bad):
@@ -135,11 +135,12 @@ def repeated_windows(data: np.ndarray, sizes: np.ndarray, counts: np.ndarray, wi
     letters = letters.astype(np.int64) + 2
     pieces = len(sizes)
     text = np.ones(len(letters) + pieces + 1, np.int64)
-    places = np.arange(len(letters)) + np.repeat(np.arange(pieces), n_words)
-    text[places] = letters
+    at = np.arange(len(letters)) + np.repeat(np.arange(pieces), n_words)
+    text[at] = letters
     text[-1] = 0
     weights = np.zeros(len(text), np.int64)
-    weights[places] = np.repeat(counts, n_words)
+    weights[at] = np.repeat(counts, n_words)
+    del at
     index = FMIndex(text, weights, len(known) + 2)
     longest = index.matching(letters, first[1:], n_words)
     room = np.repeat(first[1:], n_words) - np.arange(len(letters)) >= window

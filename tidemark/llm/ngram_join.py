@@ -58,7 +58,7 @@ def shingles(texts: pa.Array, n: int, seed: int = 0) -> tuple[np.ndarray, np.nda
 
 def _ask_frequency(n: int, shards: int, seed: int = 0):
     def question(table: pa.Table) -> Iterator[tuple[int, int, bytes]]:
-        every = [shingles(texts, n, seed)[0] for _, texts in exchange.opened(table, blocks.BLOCK_BYTES)]
+        every = [shingles(texts, n, seed)[0] for _, texts in exchange.opened(table, blocks.BLOCK_BYTES // 4)]
         codes, counts = np.unique(np.concatenate(every) % _U(shards * _SLOTS), return_counts=True)
         bucket, slot, shard = table.column("_bucket")[0].as_py(), codes // _U(shards), (codes % _U(shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
@@ -105,7 +105,7 @@ def profiles(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         order = np.argsort(codes)
         codes, ranks = codes[order], ranks[order]
         seen: set[bytes] = set()
-        for rows, texts in exchange.opened(table, blocks.BLOCK_BYTES):
+        for rows, texts in exchange.opened(table, blocks.BLOCK_BYTES // 4):
             hashes, begins = shingles(texts, n, seed)
             sizes = np.diff(begins)
             rank = np.zeros(len(hashes), np.int64)
