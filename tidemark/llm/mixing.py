@@ -217,11 +217,13 @@ def repeated(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float
 
     same = ["doc_id", "source", words]
     # Rows that share id, source and size share what is taken of them, in order of their texts.
-    choice = (
+    # They are read twice below; as a table the plan of the mix is not there twice.
+    choice = written(
         mix(docs, weights, most, seed)
         .groupBy("doc_id", "source", "size")
         .agg(F.sum(F.when(F.col("size") > 0, F.expr("taken div size"))).alias(copies), F.count("*").alias(alike))
-        .where(F.col(copies) > 0)
+        .where(F.col(copies) > 0),
+        "mixing-choice",
     )
     on = F.expr(f"d.doc_id <=> c.doc_id AND d.source <=> c.source AND d.{words} = c.size")
     found = docs.mapInArrow(measure, schema).alias("d").join(choice.alias("c"), on).select("d.*", copies, alike)

@@ -251,7 +251,7 @@ def joined(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     sets = written(rows.where("grams IS NOT NULL").dropDuplicates(["key"]).select("key", "n", "grams", "prefix", "place", "stars"), "ngram-sets")
     star = sets.select("key", F.posexplode("stars").alias("k", "star"))
     hubs = star.groupBy("k", "star").agg(F.min("key").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    spokes = star.join(hubs, ["k", "star"]).where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
+    spokes = star.join(hubs, ["k", "star"]).where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b"))
     near = components(_linked(spokes, sets, percent))
     known = written(near, "ngram-near")
 
@@ -265,7 +265,7 @@ def joined(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     column = entries.groupBy("gram").agg(F.min("key").alias("least"), F.min("component").alias("x"), F.max("component").alias("y"))
     meeting = entries.join(column.where("x <> y").select("gram", "least"), "gram").select(F.col("key").alias("a"), F.col("least").alias("b"))
     # Sets that meet in a column, directly or through others, are one cluster of the matrix.
-    cluster = written(components(meeting.distinct()), "ngram-clusters")
+    cluster = written(components(meeting), "ngram-clusters")
     tiles = cluster.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("t")).select(F.col("component").alias("cluster"), "t")
     placed = (
         cluster.select(F.col("node").alias("key"), F.col("component").alias("cluster"))
@@ -299,7 +299,8 @@ def one_of_each(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """
     (nth,) = unused(docs.columns, "_nth")
     found = joined(docs, n, percent).select("doc_id", "component_id")
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
+    # A table of its own, or the plan below would hold the whole join three times.
+    keep = written(found.where("doc_id = component_id").select("doc_id").distinct(), "ngram-kept")
     numbered = docs.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi")
     repeated = numbered.groupBy("doc_id").agg(F.count("*").alias("_copies")).where("_copies > 1").select("doc_id")
     once = numbered.join(repeated, "doc_id", "left_anti")

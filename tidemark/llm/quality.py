@@ -168,16 +168,28 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, sample_rows: int = S
         .groupBy("doc_id")
         .agg(F.min("grade").alias("grade"), F.min("features").alias("features"))
         .toArrow()
-        .sort_by("doc_id")
     )
     if not found.num_rows:
         return Model(np.zeros(0, np.int64), np.zeros(0), np.full(n_grades - 1, -40.0))
-    # One array of 32-bit numbers for all rows, as Arrow holds them, and where each row ends.
-    ends = np.concatenate(([0], np.cumsum(pc.list_value_length(found.column("features")).to_numpy()))).astype(np.int64)
-    places = np.concatenate([np.zeros(0, np.int32), *(chunk.flatten().to_numpy() for chunk in found.column("features").chunks)])
-    grades = found.column("grade").to_numpy().astype(np.int64)
-    del found
-    return fitted(places, ends, grades, n_grades, seed)
+    # One array of 32-bit numbers for all rows, laid by doc_id, and where each row ends.
+    column, order = found.column("features"), np.argsort(found.column("doc_id").to_numpy(), kind="stable")
+    sizes, grades = pc.list_value_length(column).to_numpy(), found.column("grade").to_numpy().astype(np.int64)[order]
+    ends = np.concatenate(([0], np.cumsum(sizes[order]))).astype(np.int64)
+    begins, row = np.empty(len(order), np.int64), 0
+    begins[order] = ends[:-1]
+    places = np.empty(ends[-1], np.int32)
+    for chunk in column.chunks:
+        flat, at = chunk.flatten().to_numpy(), 0
+        for begin, size in zip(begins[row : row + len(chunk)].tolist(), sizes[row : row + len(chunk)].tolist(), strict=True):
+            places[begin : begin + size] = flat[at : at + size]
+            at += size
+        row += len(chunk)
+    del found, column
+    model = fitted(places, ends, grades, n_grades, seed)
+    del places
+    # The driver lives on for the stages that follow, as the workers do.
+    blocks.give_back()
+    return model
 
 
 def graded(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
